@@ -205,8 +205,8 @@ def columns_of_class(df: DataFrame, wanted: str, overrides: dict[str, str] | Non
 
 
 def clip_outliers(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Clamp every numeric column to its domain range, then to its 0.5/99.5 percentiles."""
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    """Clamp every numeric column but ids to its domain range, then to its 0.5/99.5 percentiles."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in DROP_COLUMNS]
     capped = df.withColumns({c: clip(F.col(c), *DOMAIN_CAPS[c]) for c in numeric if c in DOMAIN_CAPS})
     low, high = CLIP_QUANTILES
     wanted = {f"{side}_{c}": (c, p) for c in numeric for side, p in (("_low", low), ("_high", high))}
@@ -227,3 +227,12 @@ def feature_candidates(numeric: list[str], target: str, keep_leaking: bool = Tru
     """Numeric columns fit for ranking. `keep_leaking=False` also drops other statistics of the target."""
     out = [c for c in numeric if c not in EXCLUDED_COLUMNS and c not in DROP_COLUMNS and c != target]
     return out if keep_leaking else [c for c in out if c not in LEAKING_COLUMNS]
+
+
+def analysis_roles(df: DataFrame, keep_leaking: bool = True) -> DataFrame:
+    """One row per column: dropped, target, excluded, feature or other."""
+    name = F.col("column_name")
+    left_out = EXCLUDED_COLUMNS if keep_leaking else [*EXCLUDED_COLUMNS, *LEAKING_COLUMNS]
+    role = (F.when(name.isin(DROP_COLUMNS), "dropped").when(name == choose_target(df.columns), "target")
+            .when(name.isin(left_out), "excluded").when(F.col("column_class") == "numeric", "feature").otherwise("other"))
+    return classify_columns(df).select("column_name", "column_class", role.alias("role"))

@@ -537,7 +537,7 @@ def _(t):
 
 @query("f13_analysis_columns")
 def _(t):
-    return t.analysis.select("trip_id", t.target, *t.numeric_features)
+    return route.analysis_roles(t.trip_features)
 
 
 @query("f15_feature_ranking", digits=6)
