@@ -112,7 +112,10 @@ def route_diagnostics(scored: DataFrame) -> DataFrame:
 
 
 def aggregate_telemetry(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per trip. `idle_time_total` adds the trip value once per row, as its consumers expect."""
+    """One row per trip. `idle_time_total` adds the trip value once per row, as its consumers expect.
+
+    A trip's own measures are equal on all its rows; `max` gives their mean without rounding noise.
+    """
     def first(c: str) -> Column:
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
 
@@ -131,11 +134,11 @@ def aggregate_telemetry(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
         F.avg(speed).alias("speed_avg"), F.stddev_samp(speed).alias("speed_std"), F.max(speed).alias("speed_max"),
         F.coalesce(F.sum("idle_time_min"), F.lit(0.0)).alias("idle_time_total"),
         F.coalesce(F.sum("moving_time_min"), F.lit(0.0)).alias("moving_time_total"),
-        F.avg("idle_percentage").alias("idle_percentage"), F.avg("idle_efficiency").alias("idle_efficiency_mean"),
+        F.max("idle_percentage").alias("idle_percentage"), F.max("idle_efficiency").alias("idle_efficiency_mean"),
         first("trip_distance_km").alias("trip_distance_km"), first("trip_duration_min").alias("trip_duration_min"),
-        F.avg("distance_efficiency").alias("distance_efficiency_mean"),
-        F.avg("time_efficiency").alias("time_efficiency_mean"),
-        F.avg("signal_reliability").alias("signal_reliability"),
+        F.max("distance_efficiency").alias("distance_efficiency_mean"),
+        F.max("time_efficiency").alias("time_efficiency_mean"),
+        F.max("signal_reliability").alias("signal_reliability"),
         F.count("speed_kmh").alias("n_telemetry_points"),
         (F.count_if(changed) / F.lit(2.0)).alias("n_stops")]
     return aggregate_with_quantiles(scored, ["trip_id"], aggs, {

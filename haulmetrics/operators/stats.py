@@ -3,7 +3,7 @@
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulmetrics.functions.scalars import ratio
 from haulmetrics.functions.tails import chi_square_tail, student_two_sided
@@ -58,63 +58,105 @@ def with_value_buckets(df: DataFrame, columns: list[str], bucket_rows: int) -> D
     return out.withColumns({f"_b_{c}": F.col(f"_b_{c}").cast("int") for c in columns})
 
 
-def average_ranks(df: DataFrame, columns: list[str], bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
-    """Per column and distinct value: how often it occurs and its average rank.
+def average_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the average rank within `keys` to a table of distinct values.
 
-    Values are counted before ranking, so ties cost one row, and the running count is cut by
-    value range, so no task holds a whole column.
+    `counts` has one row per `keys`, `bucket` and `value`, with the number of `ties`. Values are
+    counted before ranking, so ties cost one row; the running count is cut by value range, so
+    no task holds a whole column.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    cut = with_value_buckets(doubles, columns, bucket_rows)
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_b_{c}").alias("bucket"), F.col(c).alias("value"))
-                      for c in columns])
-    counts = (cut.select(F.inline(cells)).where(F.col("value").isNotNull())
-              .groupBy("name", "bucket", "value").agg(F.count(F.lit(1)).alias("ties")))
-    walked = Timeline(("name",), ("value",)).running(counts, {"upto": F.col("ties")})
-    return walked.select("name", "value", "ties", (F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"))
+    walked = Timeline(tuple(keys), ("value",)).running(counts, {"upto": F.col("ties")})
+    return walked.withColumn("rank", F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2).drop("upto")
 
 
 # ---- correlation ----------------------------------------------------------------------------
 
-def _correlate(df: DataFrame, pairs: dict[tuple[str, str], tuple[str, str]], name: str) -> DataFrame:
-    """Pairwise-complete correlation; `pairs` maps a reported pair to the two columns to use."""
-    cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(cx).cast("double").alias("vx"),
-                               F.col(cy).cast("double").alias("vy")) for (x, y), (cx, cy) in pairs.items()])
-    complete = df.select(F.inline(cells)).where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-    return complete.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.corr("vx", "vy").alias(name))
+def _columns_of(pairs: list[tuple[str, str]]) -> list[str]:
+    return list(dict.fromkeys(c for p in pairs for c in p))
+
+
+def _doubles(columns: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in columns])
+
+
+def _table(rows: list[list[int]]) -> Column:
+    """A small literal table of integer lists, indexed by position."""
+    return F.array(*[F.array(*map(F.lit, r)).cast("array<int>") for r in rows])
+
+
+def _named(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    names = F.array(*map(F.lit, columns))
+    rest = [c for c in pairs.columns if c not in ("i", "j")]
+    return pairs.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), *rest)
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    return _correlate(df, {p: p for p in pairs}, "pearson_r")
+    """Linear correlation of each pair over the rows complete for it."""
+    columns = _columns_of(pairs)
+    partners = _table([[columns.index(y) for x, y in pairs if x == c] for c in columns])
+    cells = (df.select(_doubles(columns).alias("v")).select("v", F.posexplode("v").alias("i", "vx"))
+             .where(F.col("vx").isNotNull()).select("v", "i", "vx", F.explode(partners[F.col("i")]).alias("j"))
+             .select("i", "j", "vx", F.col("v")[F.col("j")].alias("vy")).where(F.col("vy").isNotNull()))
+    return _named(cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("vx", "vy").alias("pearson_r")), columns)
+
+
+def _complete_counts(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], int]:
+    """Rows in which columns i and j are both present, from the few patterns of gaps."""
+    bits = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                for i, c in enumerate(columns)), F.lit(0).cast("bigint"))
+    patterns = df.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    both = (patterns.select("bits", "n", F.explode(at).alias("i")).where(F.getbit("bits", "i") == 1)
+            .select("bits", "n", "i", F.explode(at).alias("j")).where(F.getbit("bits", "j") == 1)
+            .groupBy("i", "j").agg(F.sum("n").alias("n")))
+    return {(r.i, r.j): r.n for r in both.collect()}
 
 
 def spearman_pairs(df: DataFrame, row_id: str, pairs: list[tuple[str, str]],
                    bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
     """Pearson correlation of average ranks, ranked within the rows complete for the pair.
 
-    A column is re-ranked for a partner only where the partner has gaps it does not share.
+    A column is ranked once over its own rows, and again only within the rows of a partner
+    that has gaps of its own; partners with equal gaps share that ranking.
     """
-    columns = list(dict.fromkeys(c for p in pairs for c in p))
-    counts = df.agg(*[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)],
-                    *[F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias(f"p{i}")
-                      for i, (x, y) in enumerate(pairs)]).first()
-    present = {c: counts[f"c{i}"] for i, c in enumerate(columns)}
-    ranked, chosen = {}, {}
-    for i, (x, y) in enumerate(pairs):
-        names = []
-        for own, other in ((x, y), (y, x)):
-            same = counts[f"p{i}"] == present[own]
-            name = own if same else f"{own}|{other}"
-            ranked[name] = F.col(own) if same else F.when(F.col(other).isNotNull(), F.col(own))
-            names.append(name)
-        chosen[x, y] = tuple(names)
-    slots = {name: f"v{i}" for i, name in enumerate(ranked)}
-    wide = df.select(row_id, *[ranked[n].cast("double").alias(s) for n, s in slots.items()])
-    ranks = average_ranks(wide, list(slots.values()), bucket_rows)
-    cells = _long(wide, [row_id], {s: F.col(s) for s in slots.values()})
-    by_row = (cells.join(ranks, ["name", "value"]).groupBy(row_id)
-              .agg(*[F.max(F.when(F.col("name") == s, F.col("rank"))).alias(s) for s in slots.values()]))
-    return _correlate(by_row, {p: (slots[a], slots[b]) for p, (a, b) in chosen.items()}, "spearman_r")
+    columns = _columns_of(pairs)
+    size = len(columns)
+    together = _complete_counts(df, columns)
+
+    def count(i: int, j: int) -> int:
+        return together.get((i, j), 0)
+
+    def context(i: int, j: int) -> int:
+        """Column whose rows column i is ranked in when paired with j."""
+        if count(i, i) == count(i, j):
+            return i
+        return next(c for c in range(size) if count(c, c) == count(j, j) == count(c, j))
+
+    lookups, contexts = [], [set() for _ in columns]
+    for x, y in pairs:
+        i, j = columns.index(x), columns.index(y)
+        ci, cj = context(i, j), context(j, i)
+        contexts[i].add(ci)
+        contexts[j].add(cj)
+        lookups.append((i, j, i * size + ci, j * size + cj))
+
+    cut = with_value_buckets(df.select(row_id, *[F.col(c).cast("double").alias(c) for c in columns]), columns, bucket_rows)
+    wanted = _table([sorted(c) for c in contexts])
+    cells = (cut.select(row_id, _doubles(columns).alias("v"), F.array(*[F.col(f"_b_{c}") for c in columns]).alias("b"))
+             .select(row_id, "v", "b", F.posexplode("v").alias("i", "value")).where(F.col("value").isNotNull())
+             .select(row_id, "v", "i", "value", F.col("b")[F.col("i")].alias("bucket"), F.explode(wanted[F.col("i")]).alias("within"))
+             .where(F.col("v")[F.col("within")].isNotNull()).drop("v"))
+    counts = cells.groupBy("i", "within", "bucket", "value").agg(F.count(F.lit(1)).alias("ties"))
+    ranks = average_ranks(counts, ["i", "within"]).select("i", "within", "bucket", "value", "rank")
+    # A row has at most one entry per column and context.
+    entry = F.struct((F.col("i") * size + F.col("within")).alias("k"), "rank")
+    by_row = (cells.join(ranks, ["i", "within", "bucket", "value"]).groupBy(row_id)
+              .agg(F.map_from_entries(F.collect_list(entry)).alias("ranks")))
+    lookup = F.array(*[F.struct(*[F.lit(n).alias(a) for a, n in zip(("i", "j", "kx", "ky"), line)]) for line in lookups])
+    both = by_row.select("ranks", F.inline(lookup)).select(
+        "i", "j", F.try_element_at("ranks", "kx").alias("rx"), F.try_element_at("ranks", "ky").alias("ry"))
+    return _named(both.where(F.col("rx").isNotNull() & F.col("ry").isNotNull()).groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman_r")), columns)
 
 
 def feature_ranking(df: DataFrame, row_id: str, features: list[str], target: str,
@@ -247,25 +289,33 @@ def box_statistics(df: DataFrame, category: str, target: str, hot_rows: int = HO
 
 def kruskal_wallis(df: DataFrame, categories: list[str], target: str,
                    bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
-    """Tie-corrected H, degrees of freedom and p-value per categorical feature with two groups or more."""
-    tests = None
-    for feature in categories:
-        rows = top_category_rows(df, feature, target)
-        ranks = average_ranks(rows, ["value"], bucket_rows)
-        groups = (rows.groupBy("category", "value").agg(F.count(F.lit(1)).alias("c"))
-                  .join(ranks, "value").groupBy("category")
-                  .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum")))
-        t = F.col("ties").cast("double")
-        tie_loss = ranks.agg(F.coalesce(F.sum(t * t * t - t), F.lit(0.0))).scalar()
-        n = F.col("_n").cast("double")
-        h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / F.nullif(1 - F.col("_ties") / (n * n * n - n), F.lit(0.0))
-        test = (groups.agg(F.sum("n").alias("_n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_s"),
-                           F.count(F.lit(1)).alias("_groups"))
-                .withColumn("_ties", tie_loss).where(F.col("_groups") >= 2)
-                .select(F.lit(feature).alias("feature"), h.alias("kw_statistic"),
-                        (F.col("_groups") - 1).cast("bigint").alias("degrees_of_freedom")))
-        tests = test if tests is None else tests.unionByName(test)
-    return (tests.withColumn("kw_pvalue", chi_square_tail("kw_statistic", F.col("degrees_of_freedom").cast("double")))
+    """Tie-corrected H, degrees of freedom and p-value per categorical feature with two groups or more.
+
+    Only a feature's most frequent categories take part; that list has a fixed size, and the
+    row numbering behind it is cut to size before the shuffle.
+    """
+    named = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in categories])
+    cut = with_value_buckets(df.select(F.col(target).cast("double").alias("value"), *categories), ["value"], bucket_rows)
+    cells = (cut.select("value", F.col("_b_value").alias("bucket"), F.inline(named))
+             .where(F.col("value").isNotNull() & F.col("category").isNotNull()))
+    order = Window.partitionBy("feature").orderBy(F.desc("n"), "category")
+    top = (cells.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+           .withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= BOX_CATEGORIES).select("feature", "category"))
+    counts = (cells.join(F.broadcast(top), ["feature", "category"], "left_semi")
+              .groupBy("feature", "bucket", "value", "category").agg(F.count(F.lit(1)).alias("c")))
+    ranks = average_ranks(counts.groupBy("feature", "bucket", "value").agg(F.sum("c").alias("ties")), ["feature"])
+    t = F.col("ties").cast("double")
+    ties = ranks.groupBy("feature").agg(F.sum(t * t * t - t).alias("tie_loss"))
+    groups = (counts.join(ranks, ["feature", "bucket", "value"]).groupBy("feature", "category")
+              .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum")))
+    tests = (groups.groupBy("feature").agg(
+                F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("groups"),
+                F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("squares"))
+             .where(F.col("groups") >= 2).join(ties, "feature"))
+    n = F.col("n")
+    h = ratio(12 / (n * (n + 1)) * F.col("squares") - 3 * (n + 1), 1 - F.col("tie_loss") / (n * n * n - n))
+    return (tests.select("feature", h.alias("kw_statistic"), (F.col("groups") - 1).alias("degrees_of_freedom"))
+            .withColumn("kw_pvalue", chi_square_tail("kw_statistic", F.col("degrees_of_freedom").cast("double")))
             .orderBy("kw_pvalue", "feature"))
 
 

@@ -44,13 +44,19 @@ def forget() -> None:
     _tables.clear()
 
 
+TIE_NUDGE = 1e-9
+
+
 def tidy(df: DataFrame, digits: int = 5) -> DataFrame:
-    """Comparable output: rounded doubles without negative zero, epoch seconds, text dates, long integers."""
+    """Comparable output: rounded doubles without negative zero, epoch seconds, text dates, long integers.
+
+    Two engines may end on either side of a rounding tie; the nudge settles ties for both.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + F.lit(TIE_NUDGE), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_seconds(c.cast("timestamp"))
         elif isinstance(f.dataType, T.DateType):

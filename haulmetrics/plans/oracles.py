@@ -8,7 +8,8 @@ import re
 
 from haulmetrics.operators import features, route
 
-D = "DOUBLE"
+# Settles rounding ties the same way as the Spark side.
+NUDGE = "1e-9::DOUBLE"
 
 
 def km(a: str, b: str, c: str, d: str) -> str:
@@ -172,10 +173,10 @@ BLOCKS: dict[str, str] = {
       arg_min(lon, s) AS lon_start, arg_max(lon, s) AS lon_end, avg(route_eff) AS route_eff_avg, stddev_samp(route_eff) AS route_eff_std,
       avg(CASE WHEN route_eff > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS route_eff_high_pct, avg(speed_mps) AS speed_avg,
       stddev_samp(speed_mps) AS speed_std, max(speed_mps) AS speed_max, coalesce(sum(idle_time_min), 0) AS idle_time_total,
-      coalesce(sum(moving_time_min), 0) AS moving_time_total, avg(idle_percentage) AS idle_percentage, avg(idle_efficiency) AS idle_efficiency_mean,
+      coalesce(sum(moving_time_min), 0) AS moving_time_total, max(idle_percentage) AS idle_percentage, max(idle_efficiency) AS idle_efficiency_mean,
       arg_min(trip_distance_km, s) FILTER (trip_distance_km IS NOT NULL) AS trip_distance_km,
       arg_min(trip_duration_min, s) FILTER (trip_duration_min IS NOT NULL) AS trip_duration_min,
-      avg(distance_efficiency) AS distance_efficiency_mean, avg(time_efficiency) AS time_efficiency_mean, avg(signal_reliability) AS signal_reliability,
+      max(distance_efficiency) AS distance_efficiency_mean, max(time_efficiency) AS time_efficiency_mean, max(signal_reliability) AS signal_reliability,
       count(speed_kmh) AS n_telemetry_points,
       count(*) FILTER (s_prev IS NULL OR coalesce(speed_mps > 0.5, false) <> coalesce(speed_mps_prev > 0.5, false)) / 2.0::DOUBLE AS n_stops,
       quantile_cont(route_eff, 0.5) AS route_eff_med, quantile_cont(speed_mps, 0.1) AS speed_p10, quantile_cont(speed_mps, 0.9) AS speed_p90
@@ -337,12 +338,12 @@ def report(columns: str, source: str, digits: int = 5) -> str:
     out = []
     for c in (x.strip() for x in columns.split(",")):
         name, _, how = c.partition(":")
-        out.append(f"round({name}, {digits}) + 0.0 AS {name}" if how == "r" else name)
+        out.append(f"{rounded(name, digits)} AS {name}" if how == "r" else name)
     return with_blocks(f"SELECT {', '.join(out)} FROM {source}")
 
 
 def rounded(x: str, digits: int = 5) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    return f"round({x} + {NUDGE}, {digits}) + 0.0"
 
 
 TRIP_OUT = ("vehicle_id, trip_id, timestamp_start, timestamp_end, lat_start:r, lon_start:r, lat_end:r, lon_end:r, Trip_Distance_km:r, Trip_Duration_min:r, "
@@ -503,7 +504,7 @@ def oracles() -> dict[str, str]:
         "f17_spearman_matrix": r("x, y, spearman_r:r", "mps", 6),
         "f18_correlation_summary": with_blocks(f"SELECT feature, {rounded('pearson_r', 6)} AS pearson_r, {rounded('spearman_r', 6)} AS spearman_r FROM (SELECT feature, corr(x, y) AS pearson_r, corr(rx, ry) AS spearman_r FROM ptr WHERE nr <= 30 GROUP BY feature UNION ALL SELECT '{TARGET}', 1.0, 1.0)"),
         "f19_histogram": with_blocks(f"""SELECT bin, {rounded('lo + bin * wd')} AS bin_start, {rounded('lo + (bin + 1) * wd')} AS bin_end, count(an.trip_id) AS row_count
-            FROM range(50) g(bin), {_SPAN} LEFT JOIN an ON CAST(least(floor(({TARGET} - lo) / wd), 49) AS BIGINT) = bin GROUP BY bin, lo, wd"""),
+            FROM range(50) g(bin), {_SPAN} LEFT JOIN an ON CAST(least(floor(({TARGET} - lo) / wd), 49) AS BIGINT) = bin AND {TARGET} IS NOT NULL GROUP BY bin, lo, wd"""),
         "f20_value_counts": with_blocks(f"SELECT {rounded('hour_of_day')} AS hour_of_day, count(*) AS row_count, (SELECT count(DISTINCT hour_of_day) FROM an) AS distinct_values FROM an WHERE hour_of_day IS NOT NULL GROUP BY an.hour_of_day ORDER BY count(*) DESC, an.hour_of_day LIMIT 20"),
         "f21_grid_counts": with_blocks(f"""SELECT CAST(least(floor((speed_avg - x0) / (x1 - x0) * 30), 29) AS BIGINT) AS x_cell, CAST(least(floor(({TARGET} - y0) / (y1 - y0) * 30), 29) AS BIGINT) AS y_cell, count(*) AS row_count
             FROM an, (SELECT min(speed_avg) AS x0, max(speed_avg) AS x1, min({TARGET}) AS y0, max({TARGET}) AS y1 FROM an WHERE speed_avg IS NOT NULL AND {TARGET} IS NOT NULL) WHERE speed_avg IS NOT NULL AND {TARGET} IS NOT NULL GROUP BY 1, 2"""),
