@@ -49,6 +49,12 @@ def middle_of_three(a: Column, b: Column, c: Column) -> Column:
             .otherwise((F.least(a, b, c) + F.greatest(a, b, c)) / 2))
 
 
+def round_half_even(x: Column, places: int) -> Column:
+    """Rounding of the scaled double to the nearest even, as array libraries do it."""
+    scale = F.lit(float(10 ** places))
+    return F.rint(x * scale) / scale
+
+
 def hours_minutes(minutes: Column) -> Column:
     """Whole minutes as zero-padded `HHh MMm`."""
     whole = minutes.cast("bigint")

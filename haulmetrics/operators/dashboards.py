@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from haulmetrics.functions.scalars import total
+from haulmetrics.functions.scalars import round_half_even, total
 from haulmetrics.operators.points import VEHICLE_LINE
 from haulmetrics.operators.stats import RANK_BUCKET_ROWS, with_value_buckets
 from haulmetrics.operators.timeline import BUCKET_SECONDS, Timeline, time_bucket
@@ -16,13 +16,16 @@ MAP_BOX = {"lat": (1, 7), "lon": (100, 119)}
 
 def speed_by_day_of_month(trips: DataFrame) -> DataFrame:
     return (trips.groupBy(F.date_format("timestamp_start", "dd").alias("time"))
-            .agg(F.bround(F.avg("Avg_Speed"), 2).alias("value")))
+            .agg(round_half_even(F.avg("Avg_Speed"), 2).alias("value")))
 
 
 def driver_ranking(days: DataFrame) -> DataFrame:
-    """Vehicles by total moving minutes, ranked from 0; equal times go by vehicle name."""
+    """Vehicles by total moving minutes, ranked from 0; equal times go by vehicle name.
+
+    Times are compared to a millionth of a minute, so the order of a sum cannot break a tie.
+    """
     moved = (days.groupBy(F.col("vehicle_id").alias("vehicle")).agg(F.sum("Total_Moving_min").alias("time"))
-             .withColumn("fall", -F.col("time")))
+             .withColumn("fall", -F.round("time", 6)))
     cut = with_value_buckets(moved, ["fall"], RANK_BUCKET_ROWS)
     ranked = Timeline((), ("fall", "vehicle"), "_b_fall").running(cut, {"position": F.lit(1)})
     return ranked.select((F.col("position") - 1).alias("rank"), "vehicle", "time")
@@ -61,12 +64,12 @@ def thinned_track(pings: DataFrame, degrees: float, time: str = "ts",
 def vehicle_stats(days: DataFrame) -> DataFrame:
     """Distance, fuel, cost, mean driven distance per day and idle minutes per vehicle."""
     sums = days.groupBy("vehicle_id").agg(
-        F.bround(total(F.col("Total_Distance_km")), 2).alias("month_total_distance"),
-        F.bround(F.avg(F.when(F.col("Total_Distance_km") != 0, F.col("Total_Distance_km"))), 2).alias("day_total_distance_avg"),
-        F.bround(total(F.when(F.col("Total_Idle_min") != 0, F.col("Total_Idle_min"))), 0).alias("total_idle_min"))
-    litres = F.bround(LITRES_PER_100_KM * (F.col("month_total_distance") / 100), 2)
+        round_half_even(total(F.col("Total_Distance_km")), 2).alias("month_total_distance"),
+        round_half_even(F.avg(F.when(F.col("Total_Distance_km") != 0, F.col("Total_Distance_km"))), 2).alias("day_total_distance_avg"),
+        round_half_even(total(F.when(F.col("Total_Idle_min") != 0, F.col("Total_Idle_min"))), 0).alias("total_idle_min"))
+    litres = round_half_even(LITRES_PER_100_KM * (F.col("month_total_distance") / 100), 2)
     return (sums.withColumn("fuel_liters", litres)
-            .withColumn("total_wasted", F.bround(F.col("fuel_liters") * F.lit(PRICE_PER_LITRE), 2)))
+            .withColumn("total_wasted", round_half_even(F.col("fuel_liters") * F.lit(PRICE_PER_LITRE), 2)))
 
 
 def next_trip_features(trips: DataFrame) -> DataFrame:
@@ -84,4 +87,5 @@ def in_map_box(df: DataFrame) -> DataFrame:
 
 
 def efficiency_percent(prediction: Column) -> Column:
-    return F.round(prediction * 100, 2)
+    """Percent with two places, ties up."""
+    return F.floor(prediction * 100 * 100 + 0.5) / F.lit(100.0)

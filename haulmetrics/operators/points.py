@@ -100,12 +100,9 @@ def scale_factors(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def fuse_distance(steps: DataFrame, factors: DataFrame) -> DataFrame:
-    """Scaled odometer step, else GPS step, else 0; and whether neither source was usable.
-
-    The join side has one row per vehicle; Spark broadcasts it when its measured size allows.
-    """
+    """Scaled odometer step, else GPS step, else 0; and whether neither source was usable."""
     odometer_ok = F.col("odo_step_km").isNotNull() & ~F.col("invalid_odo_step") & (F.col("odo_step_km") >= 0)
-    return (steps.join(factors, "vehicle_id", "left")
+    return (VEHICLE_LINE.attach(steps, factors)
             .withColumn("scale_factor", F.coalesce("scale", F.lit(1.0))).drop("scale")
             .withColumn("from_odometer", odometer_ok)
             .withColumn("from_gps", ~odometer_ok & F.col("gps_step_km").isNotNull())

@@ -114,7 +114,8 @@ def route_diagnostics(scored: DataFrame) -> DataFrame:
 def aggregate_telemetry(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per trip. `idle_time_total` adds the trip value once per row, as its consumers expect.
 
-    A trip's own measures are equal on all its rows; `max` gives their mean without rounding noise.
+    A trip's own measures are equal on all its rows; `max` gives their mean and, times the row count, their
+    sum without rounding noise.
     """
     def first(c: str) -> Column:
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
@@ -122,6 +123,9 @@ def aggregate_telemetry(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     def last(c: str) -> Column:
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
 
+    def once_per_row(c: str) -> Column:
+        return F.coalesce(F.max(c), F.lit(0.0)) * F.count(c)
+
     eff, speed = F.col("route_eff"), F.col("speed_mps")
     moving = is_true(speed > STATIONARY_MPS)
     changed = F.col("first_of_trip") | (moving != is_true(F.col("speed_mps_prev") > STATIONARY_MPS))
@@ -132,8 +136,7 @@ def aggregate_telemetry(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
         F.avg(eff).alias("route_eff_avg"), F.stddev_samp(eff).alias("route_eff_std"),
         F.avg(is_true(eff > 0.5).cast("int")).alias("route_eff_high_pct"),
         F.avg(speed).alias("speed_avg"), F.stddev_samp(speed).alias("speed_std"), F.max(speed).alias("speed_max"),
-        F.coalesce(F.sum("idle_time_min"), F.lit(0.0)).alias("idle_time_total"),
-        F.coalesce(F.sum("moving_time_min"), F.lit(0.0)).alias("moving_time_total"),
+        once_per_row("idle_time_min").alias("idle_time_total"), once_per_row("moving_time_min").alias("moving_time_total"),
         F.max("idle_percentage").alias("idle_percentage"), F.max("idle_efficiency").alias("idle_efficiency_mean"),
         first("trip_distance_km").alias("trip_distance_km"), first("trip_duration_min").alias("trip_duration_min"),
         F.max("distance_efficiency").alias("distance_efficiency_mean"),

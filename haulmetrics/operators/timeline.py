@@ -89,3 +89,13 @@ class Timeline:
         for name in totals:
             rows = rows.withColumn(name, (F.col(name) + F.col(f"_carry_{name}")).cast("bigint"))
         return rows.drop(*[f"_carry_{n}" for n in totals])
+
+    def attach(self, df: DataFrame, per_key: DataFrame, line: DataFrame | None = None) -> DataFrame:
+        """Left-join a table with one row per key to the rows, piece by piece.
+
+        The per-key values go to the list of pieces first, and from there to the rows: the rows
+        stay partitioned by piece, and no key meets all its rows in one task. `line` may name a
+        cheaper table with the same pieces.
+        """
+        pieces = (df if line is None else line).select(*self._piece).distinct().join(per_key, list(self.keys), "left")
+        return df.join(pieces, self._piece, "left")

@@ -43,11 +43,12 @@ def engine_on_rows(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> Dat
     Engine-on pings of a trip are consecutive, so the next ping belongs to the trip exactly if its engine
     is on: one pass over the vehicle line serves both numbering and time to next.
     """
-    df = VEHICLE_LINE.neighbours(on_vehicle_line(pings, width_seconds), before=["engine_on"], after=["ts", "engine_on"])
+    line = on_vehicle_line(pings, width_seconds)
+    df = VEHICLE_LINE.neighbours(line, before=["engine_on"], after=["ts", "engine_on"])
     df = df.withColumn("_starts", F.col("engine_on") & ~is_true(F.col("prev.engine_on")))
     started = df.groupBy("vehicle_id").agg(F.count_if("_starts").alias("trips"))
     df = VEHICLE_LINE.running(df, {"_number": F.col("_starts").cast("int")})
-    df = df.where("engine_on").join(vehicle_offsets(started), "vehicle_id")
+    df = VEHICLE_LINE.attach(df.where("engine_on"), vehicle_offsets(started), line)
     gap = (F.unix_micros("next.ts") - F.unix_micros("ts")) / F.lit(1e6)
     to_next = F.when(is_true(F.col("next.engine_on")), F.least(gap, F.lit(float(GAP_CAP_SECONDS))))
     return (df.withColumn("trip_id", (F.col("offset") + F.col("_number")).cast("bigint"))
@@ -107,10 +108,11 @@ def add_efficiencies(trips: DataFrame) -> DataFrame:
 def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS) -> DataFrame:
     """Months in service per vehicle: highest odometer over the monthly distance of its last days.
 
-    Two aggregations; the join side between them has one row per vehicle.
+    The newest time of a vehicle reaches its pings through the pieces of its timeline.
     """
     latest = pings.groupBy("vehicle_id").agg(F.max("ts").alias("_latest"), F.max("odometer_km").alias("_odometer"))
-    recent = (pings.select("vehicle_id", "ts", "odometer_km").join(latest.select("vehicle_id", "_latest"), "vehicle_id")
+    line = on_vehicle_line(pings.select("vehicle_id", "ts", "odometer_km"))
+    recent = (VEHICLE_LINE.attach(line, latest.select("vehicle_id", "_latest"))
               .where(F.col("ts") >= F.col("_latest") - F.expr(f"INTERVAL {window_days} DAYS")))
     known = F.when(F.col("odometer_km").isNotNull(), F.col("ts"))
     daily = (recent.groupBy("vehicle_id", F.to_date("ts").alias("day"))

@@ -694,7 +694,7 @@ def _(t):
 
 @query("g10_hours_minutes")
 def _(t):
-    return dashboards.driver_ranking(t.days).select("vehicle", hours_minutes(F.round("time")).alias("driven"))
+    return dashboards.driver_ranking(t.days).select("vehicle", hours_minutes(F.floor(F.round("time", 6) + 0.5)).alias("driven"))
 
 
 @query("g11_efficiency_percent")

@@ -172,8 +172,8 @@ BLOCKS: dict[str, str] = {
     "tf0": """SELECT trip_id, min(s) AS trip_start, max(s) AS trip_end, arg_min(lat, s) AS lat_start, arg_max(lat, s) AS lat_end,
       arg_min(lon, s) AS lon_start, arg_max(lon, s) AS lon_end, avg(route_eff) AS route_eff_avg, stddev_samp(route_eff) AS route_eff_std,
       avg(CASE WHEN route_eff > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS route_eff_high_pct, avg(speed_mps) AS speed_avg,
-      stddev_samp(speed_mps) AS speed_std, max(speed_mps) AS speed_max, coalesce(sum(idle_time_min), 0) AS idle_time_total,
-      coalesce(sum(moving_time_min), 0) AS moving_time_total, max(idle_percentage) AS idle_percentage, max(idle_efficiency) AS idle_efficiency_mean,
+      stddev_samp(speed_mps) AS speed_std, max(speed_mps) AS speed_max, coalesce(max(idle_time_min), 0) * count(idle_time_min) AS idle_time_total,
+      coalesce(max(moving_time_min), 0) * count(moving_time_min) AS moving_time_total, max(idle_percentage) AS idle_percentage, max(idle_efficiency) AS idle_efficiency_mean,
       arg_min(trip_distance_km, s) FILTER (trip_distance_km IS NOT NULL) AS trip_distance_km,
       arg_min(trip_duration_min, s) FILTER (trip_duration_min IS NOT NULL) AS trip_duration_min,
       max(distance_efficiency) AS distance_efficiency_mean, max(time_efficiency) AS time_efficiency_mean, max(signal_reliability) AS signal_reliability,
@@ -256,7 +256,7 @@ BLOCKS["bx1"] = "SELECT cat, count(*) AS n, quantile_cont(v, 0.25) AS q1, quanti
 BLOCKS["bx"] = """SELECT bx1.cat AS category, n, q1, median, q3,
       min(v) FILTER (v BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5) AS whisker_low, max(v) FILTER (v BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5) AS whisker_high,
       count(*) FILTER (NOT (v BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5)) AS outliers FROM bx0 JOIN bx1 USING (cat) GROUP BY ALL"""
-BLOCKS["rank"] = "SELECT row_number() OVER (ORDER BY time DESC, vehicle) - 1 AS rank, vehicle, time FROM (SELECT vehicle_id AS vehicle, sum(Total_Moving_min) AS time FROM vd GROUP BY 1)"
+BLOCKS["rank"] = "SELECT row_number() OVER (ORDER BY round(time, 6) DESC, vehicle) - 1 AS rank, vehicle, time FROM (SELECT vehicle_id AS vehicle, sum(Total_Moving_min) AS time FROM vd GROUP BY 1)"
 
 # modelling features
 BLOCKS["ta"] = """SELECT trip_id, coalesce(avg(speed_kmh), 0) AS speed_mean, coalesce(stddev_samp(speed_kmh), 0) AS speed_std, coalesce(min(speed_kmh), 0) AS speed_min,
@@ -539,8 +539,8 @@ def oracles() -> dict[str, str]:
             + ", ".join(f"{rounded(f'avg({c})', 4)} AS {c}" for c in ("Trip_Distance_km", "Trip_Duration_min", "Idle_Time_min", "Moving_Time_min", "Avg_Speed", "Idle_Percentage", "Age_of_Truck_months"))
             + " FROM et WHERE lat_start <> 0 AND lat_end <> 0 AND lon_start <> 0 AND lon_end <> 0 GROUP BY vehicle_id"),
         "g09_map_box": with_blocks(f"SELECT vehicle_id, s, {rounded('lat * 2')} AS lat, {rounded('lon')} AS lon FROM t WHERE lat * 2 BETWEEN 1 AND 7 AND lon BETWEEN 100 AND 119"),
-        "g10_hours_minutes": with_blocks("SELECT vehicle, printf('%02dh %02dm', CAST(round(time) AS BIGINT) // 60, CAST(round(time) AS BIGINT) % 60) AS driven FROM rank"),
-        "g11_efficiency_percent": with_blocks("SELECT trip_id, round(Idle_Efficiency * 100, 2) + 0.0 AS percent FROM et"),
+        "g10_hours_minutes": with_blocks("SELECT vehicle, printf('%02dh %02dm', CAST(floor(round(time, 6) + 0.5) AS BIGINT) // 60, CAST(floor(round(time, 6) + 0.5) AS BIGINT) % 60) AS driven FROM rank"),
+        "g11_efficiency_percent": with_blocks("SELECT trip_id, round(floor(Idle_Efficiency * 100 * 100 + 0.5) / 100 + 1e-9, 5) + 0.0 AS percent FROM et"),
         "h01_speed_profile": r("trip_id, speed_mean:r, speed_median:r, speed_p25:r, speed_p75:r, speed_p90:r, speed_std:r, speed_min:r, speed_max:r, speed_iqr:r, speed_cv:r", "ta"),
         "h02_stop_overspeed": r("trip_id, stop_count, overspeed_count, telemetry_rows", "ta"),
         "h03_idle_moving_shares": r("trip_id, idle_event_count, idle_percentage_rows:r, moving_event_count, moving_percentage_rows:r", "ta"),

@@ -4,6 +4,8 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from haulmetrics.functions.scalars import ratio, round_half_even
+
 # The raw file's columns.
 RAW_COLUMNS = ["Timestamp", "Latitude", "Longitude", "Speed", "EngineStatus", "Odometer",
                "FuelLevelPercentage", "GPSLocated", "Direction"]
@@ -81,7 +83,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
                      *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
     lines = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("missing_count"))
                       for i, c in enumerate(df.columns)])
-    percent = F.bround(F.try_divide(F.col("missing_count").cast("double"), F.col("_rows").cast("double")) * 100, 2)
+    percent = round_half_even(ratio(F.col("missing_count"), F.col("_rows")) * 100, 2)
     return (counted.select("_rows", F.inline(lines))
             .select("column_name", "missing_count", percent.alias("missing_percentage")))
 
