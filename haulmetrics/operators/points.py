@@ -25,24 +25,21 @@ CLEAN_COLUMNS = [
 
 def on_vehicle_line(df: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Add the sort key `seq` and its time bucket."""
-    return (df.withColumn("seq", time_order(F.col("ts")))
-            .withColumn("bucket", time_bucket(F.col("seq"), width_seconds)))
+    seq = time_order(F.col("ts"))
+    return df.withColumns({"seq": seq, "bucket": time_bucket(seq, width_seconds)})
 
 
-def with_smoothed_speed(df: DataFrame) -> DataFrame:
+def smoothed_speed() -> Column:
     """Centred median over three pings of a vehicle. Expects `prev` and `next` speeds."""
-    return df.withColumn("speed_smoothed", middle_of_three(
-        F.col("prev.speed_kmh"), F.col("speed_kmh"), F.col("next.speed_kmh")))
+    return middle_of_three(F.col("prev.speed_kmh"), F.col("speed_kmh"), F.col("next.speed_kmh"))
 
 
-def with_lag_features(df: DataFrame) -> DataFrame:
+def lag_features() -> dict[str, Column]:
     """Previous place and time, hours since, and great-circle step."""
-    return (df.withColumn("lat_prev", F.col("prev.lat")).withColumn("lon_prev", F.col("prev.lon"))
-            .withColumn("time_prev", F.col("prev.ts"))
-            .withColumn("time_delta_hours", (F.unix_micros("ts") - F.unix_micros("time_prev")) / F.lit(1e6) / 3600)
-            .withColumn("time_delta_min", F.col("time_delta_hours") * 60)
-            .withColumn("gps_step_raw", great_circle_km(
-                F.col("lat_prev"), F.col("lon_prev"), F.col("lat"), F.col("lon"))))
+    hours = (F.unix_micros("ts") - F.unix_micros("prev.ts")) / F.lit(1e6) / 3600
+    return {"lat_prev": F.col("prev.lat"), "lon_prev": F.col("prev.lon"), "time_prev": F.col("prev.ts"),
+            "time_delta_hours": hours, "time_delta_min": hours * 60,
+            "gps_step_raw": great_circle_km(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))}
 
 
 def implied_speed(step_km: Column, hours: Column) -> Column:
@@ -79,16 +76,14 @@ def point_steps(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFr
     df = VEHICLE_LINE.neighbours(
         on_vehicle_line(pings, width_seconds),
         before=["ts", "lat", "lon", "odometer_km", "engine_on", "speed_kmh"], after=["speed_kmh"])
-    df = with_lag_features(with_smoothed_speed(df))
-    return (df.withColumn("implied_speed_kmh", implied_speed(F.col("gps_step_raw"), F.col("time_delta_hours")))
-            .withColumn("gps_step_km", valid_gps_step(
-                F.col("gps_step_raw"), F.col("implied_speed_kmh"), F.col("gps_ok")))
-            .withColumn("odo_step_km", F.col("odometer_km") - F.col("prev.odometer_km"))
-            .withColumn("invalid_odo_step", invalid_odometer(F.col("odo_step_km"), F.col("time_delta_hours")))
-            .withColumn("odo_gps_ratio", calibration_ratio())
-            .withColumn("starts_trip", hybrid_trip_start())
-            .withColumn("first_ping", F.col("prev").isNull())
-            .drop("prev", "next"))
+    df = df.withColumns({
+        **lag_features(), "speed_smoothed": smoothed_speed(), "odo_step_km": F.col("odometer_km") - F.col("prev.odometer_km"),
+        "starts_trip": hybrid_trip_start(), "first_ping": F.col("prev").isNull()}).drop("prev", "next")
+    df = df.withColumns({
+        "implied_speed_kmh": implied_speed(F.col("gps_step_raw"), F.col("time_delta_hours")),
+        "invalid_odo_step": invalid_odometer(F.col("odo_step_km"), F.col("time_delta_hours"))})
+    df = df.withColumn("gps_step_km", valid_gps_step(F.col("gps_step_raw"), F.col("implied_speed_kmh"), F.col("gps_ok")))
+    return df.withColumn("odo_gps_ratio", calibration_ratio())
 
 
 def scale_factors(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -99,45 +94,46 @@ def scale_factors(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return medians.select("vehicle_id", clip(F.col("median_ratio"), *SCALE_RANGE).alias("scale"))
 
 
-def fuse_distance(steps: DataFrame, factors: DataFrame) -> DataFrame:
-    """Scaled odometer step, else GPS step, else 0; and whether neither source was usable."""
+def fuse_distance(steps: DataFrame) -> DataFrame:
+    """Scaled odometer step, else GPS step, else 0; and whether neither source was usable.
+
+    Expects the vehicle's `scale`; NULL means 1.
+    """
     odometer_ok = F.col("odo_step_km").isNotNull() & ~F.col("invalid_odo_step") & (F.col("odo_step_km") >= 0)
-    return (VEHICLE_LINE.attach(steps, factors)
-            .withColumn("scale_factor", F.coalesce("scale", F.lit(1.0))).drop("scale")
-            .withColumn("from_odometer", odometer_ok)
-            .withColumn("from_gps", ~odometer_ok & F.col("gps_step_km").isNotNull())
-            .withColumn("fused_step_km", F.when(F.col("from_odometer"), F.col("odo_step_km") * F.col("scale_factor"))
-                        .when(F.col("from_gps"), F.col("gps_step_km")).otherwise(F.lit(0.0)))
-            .withColumn("distance_missing", (F.col("fused_step_km") == 0) & F.col("gps_step_km").isNull()
-                        & (F.col("odo_step_km").isNull() | F.col("invalid_odo_step"))))
+    scale = F.coalesce("scale", F.lit(1.0))
+    fused = (F.when(odometer_ok, F.col("odo_step_km") * scale).when(F.col("gps_step_km").isNotNull(), F.col("gps_step_km"))
+             .otherwise(F.lit(0.0)))
+    no_source = F.col("gps_step_km").isNull() & (F.col("odo_step_km").isNull() | F.col("invalid_odo_step"))
+    return steps.withColumns({
+        "scale_factor": scale, "from_odometer": odometer_ok, "from_gps": ~odometer_ok & F.col("gps_step_km").isNotNull(),
+        "fused_step_km": fused, "distance_missing": no_source & (fused == 0)}).drop("scale")
 
 
 def label_speeding(df: DataFrame) -> DataFrame:
     fast = is_true(F.col("speed_smoothed") > SPEED_LIMIT_KMH)
     good = is_true(F.col("gps_ok"))
-    return (df.withColumn("flagged_over120", ~good & fast).withColumn("speeding_over120", good & fast)
-            .withColumn("exclude_from_metrics", ~good & fast))
+    return df.withColumns({"flagged_over120": ~good & fast, "speeding_over120": good & fast, "exclude_from_metrics": ~good & fast})
 
 
 def label_motion(df: DataFrame) -> DataFrame:
     """Idle and moving by smoothed speed, with the engine on."""
-    return (df.withColumn("is_idle", F.col("engine_on") & is_true(F.col("speed_smoothed") < 1))
-            .withColumn("is_moving", F.col("engine_on") & is_true(F.col("speed_smoothed") >= 1)))
+    return df.withColumns({"is_idle": F.col("engine_on") & is_true(F.col("speed_smoothed") < 1),
+                           "is_moving": F.col("engine_on") & is_true(F.col("speed_smoothed") >= 1)})
 
 
-def number_trips(steps: DataFrame, legacy: bool = False) -> DataFrame:
-    """Add `trip_id` (running number per vehicle) and `trip_key`.
+def number_trips(steps: DataFrame, legacy: bool = False, per_vehicle: DataFrame | None = None) -> DataFrame:
+    """Add `trip_id` (running number per vehicle) and `trip_key`, and the columns of `per_vehicle`.
 
     With `legacy`, the first ping never opens a trip, so numbering starts at 0.
     """
     starts = F.col("starts_trip") & ~F.col("first_ping") if legacy else F.col("starts_trip")
-    df = VEHICLE_LINE.running(steps, {"trip_id": starts.cast("int")})
+    df = VEHICLE_LINE.running(steps, {"trip_id": starts.cast("int")}, per_vehicle)
     return df.withColumn("trip_key", F.concat_ws("_", "vehicle_id", F.col("trip_id").cast("string")))
 
 
 def clean_points(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fully labelled pings. Reads `steps` several times: pass the staged table."""
-    df = fuse_distance(number_trips(steps), scale_factors(steps, hot_rows))
+    df = fuse_distance(number_trips(steps, per_vehicle=scale_factors(steps, hot_rows)))
     return label_motion(label_speeding(df)).withColumnRenamed("ts", "timestamp_utc")
 
 

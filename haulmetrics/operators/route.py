@@ -68,17 +68,15 @@ def track_features(rows: DataFrame, width_seconds: int = BUCKET_SECONDS) -> Data
            .withColumn("bucket", time_bucket(F.col("seq"), width_seconds)))
     df = TRIP_LINE.neighbours(cut, before=["seq", "lat", "lon", "speed_kmh"])
     here = (F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
-    df = (df.withColumn("speed_mps", F.col("speed_kmh") / F.lit(3.6))
-          .withColumn("speed_mps_prev", F.col("prev.speed_kmh") / F.lit(3.6))
-          .withColumn("first_of_trip", F.col("prev").isNull())
-          .withColumn("dist_to_prev", great_circle_m(*here))
-          .withColumn("time_delta", (F.col("seq") - F.col("prev.seq")) / F.lit(1e6))
-          .withColumn("implied_speed", ratio(F.col("dist_to_prev"), F.col("time_delta"))))
+    df = df.withColumns({
+        "speed_mps": F.col("speed_kmh") / F.lit(3.6), "speed_mps_prev": F.col("prev.speed_kmh") / F.lit(3.6),
+        "first_of_trip": F.col("prev").isNull(), "dist_to_prev": great_circle_m(*here), "bearing_any": compass_bearing(*here),
+        "time_delta": (F.col("seq") - F.col("prev.seq")) / F.lit(1e6)}).drop("prev", "bucket")
+    df = df.withColumn("implied_speed", ratio(F.col("dist_to_prev"), F.col("time_delta")))
     unreliable = is_true(F.col("implied_speed") > JUMP_MPS)
-    return (df.withColumn("bearing_track", F.when(~unreliable, compass_bearing(*here)))
-            .withColumn("movement_speed", F.col("implied_speed"))
-            .withColumn("speed_ratio", ratio(F.col("movement_speed"), F.col("speed_mps")))
-            .drop("prev", "bucket"))
+    return df.withColumns({
+        "bearing_track": F.when(~unreliable, F.col("bearing_any")), "movement_speed": F.col("implied_speed"),
+        "speed_ratio": ratio(F.col("implied_speed"), F.col("speed_mps"))}).drop("bearing_any")
 
 
 def forward_progress() -> Column:
@@ -169,12 +167,20 @@ def trip_features(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: Spark type, distinct non-NULL values, rows."""
-    counted = df.agg(F.count(F.lit(1)).alias("row_count"),
-                     *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)])
-    lines = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"),
-                               F.col(f"d{i}").alias("distinct_values")) for i, f in enumerate(df.schema.fields)])
-    return counted.select("row_count", F.inline(lines))
+    """One row per column: Spark type, distinct non-NULL values, rows.
+
+    Values are counted as (column, value) pairs: one narrow shuffle for all columns.
+    """
+    def text(f: T.StructField) -> Column:
+        plain = F.col(f.name) + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        return plain.cast("string")
+
+    cells = df.select(F.posexplode(F.array(*[text(f) for f in df.schema.fields])).alias("pos", "value"))
+    distinct = cells.groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(_kind(f.dataType)).alias("kind")) for f in df.schema.fields])
+    return (distinct.groupBy("pos").agg(F.sum("n").alias("row_count"), F.count("value").alias("distinct_values"))
+            .select("row_count", lines[F.col("pos")]["name"].alias("column_name"),
+                    lines[F.col("pos")]["kind"].alias("kind"), "distinct_values"))
 
 
 def _kind(dtype: T.DataType) -> str:

@@ -51,51 +51,42 @@ class Timeline:
 
         A struct is NULL only where there is no such row.
         """
-        at = self._position()
-        ends = []
-        if before:
-            ends += [F.max_by(c, at).alias(f"_last_{c}") for c in before]
-        if after:
-            ends += [F.min_by(c, at).alias(f"_first_{c}") for c in after]
-        pieces = df.groupBy(*self._piece).agg(*ends)
-        carried, rows = [F.col(c) for c in self._piece], df
-        if before:
-            last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in before])
-            carried.append(F.lag(last).over(self._across()).alias("_carry_prev"))
-            rows = rows.withColumn("prev", F.lag(F.struct(*before)).over(self._inside()))
-        if after:
-            first = F.struct(*[F.col(f"_first_{c}").alias(c) for c in after])
-            carried.append(F.lead(first).over(self._across()).alias("_carry_next"))
-            rows = rows.withColumn("next", F.lead(F.struct(*after)).over(self._inside()))
-        rows = rows.join(pieces.select(*carried), self._piece, "left")
-        if before:
-            rows = rows.withColumn("prev", F.coalesce("prev", "_carry_prev")).drop("_carry_prev")
-        if after:
-            rows = rows.withColumn("next", F.coalesce("next", "_carry_next")).drop("_carry_next")
-        return rows
-
-    def running(self, df: DataFrame, totals: dict[str, Column]) -> DataFrame:
-        """Add running sums (current row included) of integer expressions."""
-        pieces = df.groupBy(*self._piece).agg(*[F.sum(x).alias(f"_sum_{n}") for n, x in totals.items()])
+        at, piece = self._position(), self._piece
+        ends = [F.max_by(c, at).alias(f"_last_{c}") for c in before] + [F.min_by(c, at).alias(f"_first_{c}") for c in after]
+        inside, carried, joined = [], [F.col(c) for c in piece], []
+        for name, columns, end, step in (("prev", before, "_last_", F.lag), ("next", after, "_first_", F.lead)):
+            if columns:
+                edge = F.struct(*[F.col(end + c).alias(c) for c in columns])
+                inside.append(step(F.struct(*columns)).over(self._inside()).alias(f"_in_{name}"))
+                carried.append(step(edge).over(self._across()).alias(f"_carry_{name}"))
+                joined.append(F.coalesce(f"_in_{name}", f"_carry_{name}").alias(name))
+        pieces = df.groupBy(*piece).agg(*ends).select(*carried)
+        kept = [c for c in df.columns if c not in ("prev", "next")]
+        return df.select(*kept, *inside).join(pieces, piece, "left").select(*kept, *joined)
+
+    def running(self, df: DataFrame, totals: dict[str, Column], per_key: DataFrame | None = None) -> DataFrame:
+        """Add running sums (current row included) of integer expressions.
+
+        `per_key` is a table with one row per key whose columns come along with the carried
+        totals (see `attach`).
+        """
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
-        carried = pieces.select(
-            *self._piece,
-            *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in totals])
         upto = self._inside().rowsBetween(Window.unboundedPreceding, 0)
-        rows = df
-        for name, x in totals.items():
-            rows = rows.withColumn(name, F.sum(x).over(upto))
-        rows = rows.join(carried, self._piece, "left")
-        for name in totals:
-            rows = rows.withColumn(name, (F.col(name) + F.col(f"_carry_{name}")).cast("bigint"))
-        return rows.drop(*[f"_carry_{n}" for n in totals])
-
-    def attach(self, df: DataFrame, per_key: DataFrame, line: DataFrame | None = None) -> DataFrame:
+        pieces = (df.groupBy(*self._piece).agg(*[F.sum(x).alias(f"_sum_{n}") for n, x in totals.items()])
+                  .select(*self._piece, *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals]))
+        extra = []
+        if per_key is not None:
+            extra = [c for c in per_key.columns if c not in self.keys]
+            pieces = pieces.join(per_key, list(self.keys), "left")
+        rows = df.select("*", *[F.sum(x).over(upto).alias(f"_in_{n}") for n, x in totals.items()])
+        sums = [(F.col(f"_in_{n}") + F.coalesce(f"_carry_{n}", F.lit(0))).cast("bigint").alias(n) for n in totals]
+        return rows.join(pieces, self._piece, "left").select(*[c for c in df.columns if c not in totals], *sums, *extra)
+
+    def attach(self, df: DataFrame, per_key: DataFrame) -> DataFrame:
         """Left-join a table with one row per key to the rows, piece by piece.
 
         The per-key values go to the list of pieces first, and from there to the rows: the rows
-        stay partitioned by piece, and no key meets all its rows in one task. `line` may name a
-        cheaper table with the same pieces.
+        stay partitioned by piece, and no key meets all its rows in one task.
         """
-        pieces = (df if line is None else line).select(*self._piece).distinct().join(per_key, list(self.keys), "left")
+        pieces = df.select(*self._piece).distinct().join(per_key, list(self.keys), "left")
         return df.join(pieces, self._piece, "left")

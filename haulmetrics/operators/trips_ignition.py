@@ -47,16 +47,13 @@ def engine_on_rows(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> Dat
     df = VEHICLE_LINE.neighbours(line, before=["engine_on"], after=["ts", "engine_on"])
     df = df.withColumn("_starts", F.col("engine_on") & ~is_true(F.col("prev.engine_on")))
     started = df.groupBy("vehicle_id").agg(F.count_if("_starts").alias("trips"))
-    df = VEHICLE_LINE.running(df, {"_number": F.col("_starts").cast("int")})
-    df = VEHICLE_LINE.attach(df.where("engine_on"), vehicle_offsets(started), line)
+    df = VEHICLE_LINE.running(df, {"_number": F.col("_starts").cast("int")}, vehicle_offsets(started)).where("engine_on")
     gap = (F.unix_micros("next.ts") - F.unix_micros("ts")) / F.lit(1e6)
     to_next = F.when(is_true(F.col("next.engine_on")), F.least(gap, F.lit(float(GAP_CAP_SECONDS))))
-    return (df.withColumn("trip_id", (F.col("offset") + F.col("_number")).cast("bigint"))
-            .withColumn("delta_t_sec", F.coalesce(to_next, F.lit(0.0)))
-            .withColumn("is_idle", is_true(F.col("speed_kmh") <= IDLE_KMH))
-            .withColumn("is_moving", is_true(F.col("speed_kmh") > IDLE_KMH))
-            .withColumnRenamed("ts", "timestamp").withColumnRenamed("gps_ok", "gps_valid")
-            .drop("_starts", "_number", "offset", "prev", "next"))
+    return (df.withColumns({
+                "trip_id": (F.col("offset") + F.col("_number")).cast("bigint"), "delta_t_sec": F.coalesce(to_next, F.lit(0.0)),
+                "is_idle": is_true(F.col("speed_kmh") <= IDLE_KMH), "is_moving": is_true(F.col("speed_kmh") > IDLE_KMH)})
+            .withColumnsRenamed({"ts": "timestamp", "gps_ok": "gps_valid"}).drop("_starts", "_number", "offset", "prev", "next"))
 
 
 def row_output(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Named queries: one per operator, each over a whole table of the driver's data."""
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -22,9 +23,17 @@ class Fixture(Tables):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        super().__init__(telemetry_view.pings(spark, sf_dir))
         self.every_ping = telemetry_view.all_pings(spark, sf_dir)
-        self.raw = telemetry_view.raw_text(self.every_ping)
+        super().__init__(telemetry_view.one_per_second(self.every_ping))
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        bare = self.pings.drop("event_id", "k", "direction", "fuel_level")
+        return self._save(points.point_steps(bare, self._width), "point_steps")
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return telemetry_view.raw_text(self.every_ping)
 
     @property
     def target(self) -> str:
@@ -257,12 +266,13 @@ def _(t):
 @query("c05_rolling_median_speed")
 def _(t):
     df = points.VEHICLE_LINE.neighbours(points.on_vehicle_line(t.pings), before=["speed_kmh"], after=["speed_kmh"])
-    return points.with_smoothed_speed(df).select("vehicle_id", "s", "speed_kmh", "speed_smoothed")
+    return df.select("vehicle_id", "s", "speed_kmh", points.smoothed_speed().alias("speed_smoothed"))
 
 
 @query("c06_lag_features")
 def _(t):
-    return points.with_lag_features(points.VEHICLE_LINE.neighbours(points.on_vehicle_line(t.pings), before=["ts", "lat", "lon"])).select(
+    df = points.VEHICLE_LINE.neighbours(points.on_vehicle_line(t.pings), before=["ts", "lat", "lon"])
+    return df.withColumns(points.lag_features()).select(
         "vehicle_id", "s", "lat_prev", "lon_prev", "time_prev", "time_delta_hours", "gps_step_raw")
 
 
@@ -290,13 +300,13 @@ def _(t):
 
 @query("c14_fused_distance")
 def _(t):
-    return points.fuse_distance(t.steps, points.scale_factors(t.steps)).select(
+    return points.fuse_distance(points.VEHICLE_LINE.attach(t.steps, points.scale_factors(t.steps))).select(
         "vehicle_id", "s", "scale_factor", "fused_step_km", "from_odometer", "from_gps")
 
 
 @query("c15_missing_distance")
 def _(t):
-    return points.fuse_distance(t.steps, points.scale_factors(t.steps)).select("vehicle_id", "s", "distance_missing")
+    return points.fuse_distance(points.VEHICLE_LINE.attach(t.steps, points.scale_factors(t.steps))).select("vehicle_id", "s", "distance_missing")
 
 
 @query("c16_speeding_labels")

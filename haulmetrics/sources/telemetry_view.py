@@ -14,16 +14,14 @@ def all_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     vehicle = F.floor(F.col("user_id") / F.lit(15.0)).cast("int").cast("string")
     engine_off = (F.col("event_type") == "error") & (F.col("k") < 50)
-    pings = (
-        events.select("event_id", "event_type", "value", k.alias("k"),
-                      F.concat(F.lit("VH"), F.lpad(vehicle, 4, "0")).alias("vehicle_id"),
-                      (EPOCH + F.floor((micros / F.lit(1e6) - EPOCH) / F.lit(10.0))).cast("bigint").alias("s"))
-        .withColumn("engine_on", ~engine_off)
-        .withColumn("gps_ok", ~((F.col("event_type") == "signup") & (F.col("k") < 25)))
-        .withColumn("speed_kmh", F.when((F.col("event_type") == "view") | engine_off, F.lit(0.0))
-                    .otherwise(F.least("value", F.lit(135.0))))
-        .withColumn("bucket", F.floor(F.col("s") / F.lit(BUCKET_SECONDS)).cast("bigint"))
-        .drop("event_type", "value"))
+    read = events.select("event_id", "event_type", "value", k.alias("k"),
+                         F.concat(F.lit("VH"), F.lpad(vehicle, 4, "0")).alias("vehicle_id"),
+                         (EPOCH + F.floor((micros / F.lit(1e6) - EPOCH) / F.lit(10.0))).cast("bigint").alias("s"))
+    pings = read.select(
+        "event_id", "k", "vehicle_id", "s", (~engine_off).alias("engine_on"),
+        (~((F.col("event_type") == "signup") & (F.col("k") < 25))).alias("gps_ok"),
+        F.when((F.col("event_type") == "view") | engine_off, F.lit(0.0)).otherwise(F.least("value", F.lit(135.0))).alias("speed_kmh"),
+        F.floor(F.col("s") / F.lit(BUCKET_SECONDS)).cast("bigint").alias("bucket"))
     line = Timeline(("vehicle_id",), ("s", "event_id"))
     pings = line.neighbours(pings, before=["s"])
     gap = F.col("s") - F.col("prev.s")
@@ -47,9 +45,9 @@ def all_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(gap != 0, F.lit(True)).alias("first_at_second"))
 
 
-def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_per_second(all_pings: DataFrame) -> DataFrame:
     """One ping per vehicle and second."""
-    return all_pings(spark, sf_dir).where("first_at_second").drop("first_at_second")
+    return all_pings.where("first_at_second").drop("first_at_second")
 
 
 def raw_text(all_pings: DataFrame) -> DataFrame:
