@@ -15,6 +15,9 @@ SCALE_RANGE = (0.8, 1.2)
 SPEED_LIMIT_KMH = 120
 TRIP_GAP_MINUTES = 15
 VEHICLE_LINE = Timeline(("vehicle_id",), ("seq",))
+STEP_COLUMNS = [
+    "lat_prev", "lon_prev", "time_prev", "time_delta_hours", "time_delta_min", "gps_step_raw", "speed_smoothed", "odo_step_km",
+    "starts_trip", "first_ping", "starts_ignition", "to_next_on_sec", "implied_speed_kmh", "invalid_odo_step", "gps_step_km", "odo_gps_ratio"]
 
 CLEAN_COLUMNS = [
     "timestamp_utc", "vehicle_id", "engine_on", "speed_kmh", "speed_smoothed", "odometer_km", "lat", "lon",
@@ -71,13 +74,20 @@ def hybrid_trip_start() -> Column:
     return is_true(ignition) | is_true(silence)
 
 
+def ignition_columns() -> dict[str, Column]:
+    """Whether the engine was just switched on, and seconds to the next ping if its engine is on."""
+    gap = (F.unix_micros("next.ts") - F.unix_micros("ts")) / F.lit(1e6)
+    return {"starts_ignition": F.col("engine_on") & ~is_true(F.col("prev.engine_on")),
+            "to_next_on_sec": F.when(is_true(F.col("next.engine_on")), gap)}
+
+
 def point_steps(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Everything about a ping that needs only its neighbours in time."""
+    """Everything about a ping that needs only its neighbours in time, for both kinds of trips."""
     df = VEHICLE_LINE.neighbours(
         on_vehicle_line(pings, width_seconds),
-        before=["ts", "lat", "lon", "odometer_km", "engine_on", "speed_kmh"], after=["speed_kmh"])
+        before=["ts", "lat", "lon", "odometer_km", "engine_on", "speed_kmh"], after=["ts", "engine_on", "speed_kmh"])
     df = df.withColumns({
-        **lag_features(), "speed_smoothed": smoothed_speed(), "odo_step_km": F.col("odometer_km") - F.col("prev.odometer_km"),
+        **lag_features(), **ignition_columns(), "speed_smoothed": smoothed_speed(), "odo_step_km": F.col("odometer_km") - F.col("prev.odometer_km"),
         "starts_trip": hybrid_trip_start(), "first_ping": F.col("prev").isNull()}).drop("prev", "next")
     df = df.withColumns({
         "implied_speed_kmh": implied_speed(F.col("gps_step_raw"), F.col("time_delta_hours")),

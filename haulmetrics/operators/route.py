@@ -42,10 +42,13 @@ ID_FRAGMENTS = ["id", "uuid", "vin", "key"]
 PEAK_HOURS = [7, 8, 9, 17, 18, 19]
 
 
-def join_trips(rows: DataFrame, trips: DataFrame, how_suffix: str = "_trip") -> DataFrame:
-    """Rows left-joined to their trip; clashing trip columns get the suffix."""
-    clash = {c: c + how_suffix for c in trips.columns if c in rows.columns and c != "trip_id"}
-    return rows.join(trips.withColumnsRenamed(clash), "trip_id", "left")
+def _suffixed(trips: DataFrame, rows: DataFrame) -> DataFrame:
+    return trips.withColumnsRenamed({c: c + "_trip" for c in trips.columns if c in rows.columns and c != "trip_id"})
+
+
+def join_trips(rows: DataFrame, trips: DataFrame) -> DataFrame:
+    """Rows left-joined to their trip; clashing trip columns get the suffix `_trip`."""
+    return rows.join(_suffixed(trips, rows), "trip_id", "left")
 
 
 def match_rate(merged: DataFrame) -> DataFrame:
@@ -62,8 +65,12 @@ def enrich(merged: DataFrame, combined: DataFrame) -> DataFrame:
     return merged.join(combined.withColumnsRenamed(clash), keys, "left")
 
 
-def track_features(rows: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Speed, step, bearing and movement speed against the previous row of the trip."""
+def track_features(rows: DataFrame, trips: DataFrame | None = None, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Speed, step, bearing and movement speed against the previous row of the trip.
+
+    With `trips`, the columns of the trip come along as in `join_trips`, by way of the pieces of
+    the trip's timeline, so the rows are not shuffled again.
+    """
     cut = (rows.withColumn("seq", F.unix_micros("timestamp"))
            .withColumn("bucket", time_bucket(F.col("seq"), width_seconds)))
     df = TRIP_LINE.neighbours(cut, before=["seq", "lat", "lon", "speed_kmh"])
@@ -71,12 +78,14 @@ def track_features(rows: DataFrame, width_seconds: int = BUCKET_SECONDS) -> Data
     df = df.withColumns({
         "speed_mps": F.col("speed_kmh") / F.lit(3.6), "speed_mps_prev": F.col("prev.speed_kmh") / F.lit(3.6),
         "first_of_trip": F.col("prev").isNull(), "dist_to_prev": great_circle_m(*here), "bearing_any": compass_bearing(*here),
-        "time_delta": (F.col("seq") - F.col("prev.seq")) / F.lit(1e6)}).drop("prev", "bucket")
+        "time_delta": (F.col("seq") - F.col("prev.seq")) / F.lit(1e6)}).drop("prev")
     df = df.withColumn("implied_speed", ratio(F.col("dist_to_prev"), F.col("time_delta")))
     unreliable = is_true(F.col("implied_speed") > JUMP_MPS)
+    if trips is not None:
+        df = TRIP_LINE.attach(df, _suffixed(trips, rows))
     return df.withColumns({
         "bearing_track": F.when(~unreliable, F.col("bearing_any")), "movement_speed": F.col("implied_speed"),
-        "speed_ratio": ratio(F.col("implied_speed"), F.col("speed_mps"))}).drop("bearing_any")
+        "speed_ratio": ratio(F.col("implied_speed"), F.col("speed_mps"))}).drop("bearing_any", "bucket")
 
 
 def forward_progress() -> Column:

@@ -102,12 +102,14 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def _complete_counts(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], int]:
     """Rows in which columns i and j are both present, from the few patterns of gaps."""
-    bits = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                for i, c in enumerate(columns)), F.lit(0).cast("bigint"))
-    patterns = df.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-    at = F.sequence(F.lit(0), F.lit(len(columns) - 1))
-    both = (patterns.select("bits", "n", F.explode(at).alias("i")).where(F.getbit("bits", "i") == 1)
-            .select("bits", "n", "i", F.explode(at).alias("j")).where(F.getbit("bits", "j") == 1)
+    present = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
+    patterns = df.groupBy(present.alias("present")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1)))
+
+    def has(i: str) -> Column:
+        return F.substring("present", F.col(i) + 1, F.lit(1)) == "1"
+
+    both = (patterns.select("present", "n", at.alias("i")).where(has("i")).select("present", "n", "i", at.alias("j")).where(has("j"))
             .groupBy("i", "j").agg(F.sum("n").alias("n")))
     return {(r.i, r.j): r.n for r in both.collect()}
 

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulmetrics.functions.geo import great_circle_km
 from haulmetrics.functions.scalars import clip, is_true, ratio, seconds, total
-from haulmetrics.operators.points import VEHICLE_LINE, on_vehicle_line
+from haulmetrics.operators.points import STEP_COLUMNS, VEHICLE_LINE, on_vehicle_line
 from haulmetrics.operators.quantiles import HOT_ROWS, as_struct, global_quantiles
-from haulmetrics.operators.timeline import BUCKET_SECONDS, Timeline
+from haulmetrics.operators.timeline import Timeline
 
 GAP_CAP_SECONDS = 300
 IDLE_KMH = 1.0
@@ -36,24 +36,21 @@ def vehicle_offsets(trips_started: DataFrame) -> DataFrame:
             .select("vehicle_id", (F.col("upto") - used).cast("bigint").alias("offset")))
 
 
-def engine_on_rows(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def engine_on_rows(steps: DataFrame) -> DataFrame:
     """Pings with the engine on, with fleet-wide `trip_id`, capped seconds to the next ping of the trip,
     and idle/moving flags on the raw speed.
 
     Engine-on pings of a trip are consecutive, so the next ping belongs to the trip exactly if its engine
-    is on: one pass over the vehicle line serves both numbering and time to next.
+    is on. `steps` is read several times, a few columns each: pass the staged table.
     """
-    line = on_vehicle_line(pings, width_seconds)
-    df = VEHICLE_LINE.neighbours(line, before=["engine_on"], after=["ts", "engine_on"])
-    df = df.withColumn("_starts", F.col("engine_on") & ~is_true(F.col("prev.engine_on")))
-    started = df.groupBy("vehicle_id").agg(F.count_if("_starts").alias("trips"))
-    df = VEHICLE_LINE.running(df, {"_number": F.col("_starts").cast("int")}, vehicle_offsets(started)).where("engine_on")
-    gap = (F.unix_micros("next.ts") - F.unix_micros("ts")) / F.lit(1e6)
-    to_next = F.when(is_true(F.col("next.engine_on")), F.least(gap, F.lit(float(GAP_CAP_SECONDS))))
+    df = steps.drop(*[c for c in STEP_COLUMNS if c not in ("starts_ignition", "to_next_on_sec")])
+    started = df.groupBy("vehicle_id").agg(F.count_if("starts_ignition").alias("trips"))
+    df = VEHICLE_LINE.running(df, {"_number": F.col("starts_ignition").cast("int")}, vehicle_offsets(started)).where("engine_on")
     return (df.withColumns({
-                "trip_id": (F.col("offset") + F.col("_number")).cast("bigint"), "delta_t_sec": F.coalesce(to_next, F.lit(0.0)),
+                "trip_id": (F.col("offset") + F.col("_number")).cast("bigint"),
+                "delta_t_sec": F.coalesce(clip(F.col("to_next_on_sec"), 0, GAP_CAP_SECONDS), F.lit(0.0)),
                 "is_idle": is_true(F.col("speed_kmh") <= IDLE_KMH), "is_moving": is_true(F.col("speed_kmh") > IDLE_KMH)})
-            .withColumnsRenamed({"ts": "timestamp", "gps_ok": "gps_valid"}).drop("_starts", "_number", "offset", "prev", "next"))
+            .withColumnsRenamed({"ts": "timestamp", "gps_ok": "gps_valid"}).drop("starts_ignition", "to_next_on_sec", "_number", "offset"))
 
 
 def row_output(rows: DataFrame) -> DataFrame:

@@ -26,11 +26,6 @@ class Fixture(Tables):
         self.every_ping = telemetry_view.all_pings(spark, sf_dir)
         super().__init__(telemetry_view.one_per_second(self.every_ping))
 
-    @cached_property
-    def steps(self) -> DataFrame:
-        bare = self.pings.drop("event_id", "k", "direction", "fuel_level")
-        return self._save(points.point_steps(bare, self._width), "point_steps")
-
     @cached_property
     def raw(self) -> DataFrame:
         return telemetry_view.raw_text(self.every_ping)
@@ -410,7 +405,7 @@ def _(t):
 
 @query("e01_ignition_segmentation")
 def _(t):
-    return trips_ignition.engine_on_rows(t.pings).select("vehicle_id", "s", "trip_id")
+    return trips_ignition.engine_on_rows(t.steps).select("vehicle_id", "s", "trip_id")
 
 
 @query("e02_engine_on_rows")
@@ -420,7 +415,7 @@ def _(t):
 
 @query("e03_time_to_next")
 def _(t):
-    return trips_ignition.engine_on_rows(t.pings).select("vehicle_id", "s", "delta_t_sec")
+    return trips_ignition.engine_on_rows(t.steps).select("vehicle_id", "s", "delta_t_sec")
 
 
 @query("e04_idle_moving_raw")

@@ -51,21 +51,28 @@ class Tables:
 
     @cached_property
     def engine_rows(self) -> DataFrame:
-        return self._save(trips_ignition.engine_on_rows(self.pings, self._width), "rows_ignition")
+        return self._save(trips_ignition.engine_on_rows(self.steps), "rows_ignition")
 
     @cached_property
     def engine_trips(self) -> DataFrame:
         return self._save(trips_ignition.trips_table(self.engine_rows, self.pings), "trips_ignition")
 
+    @cached_property
+    def located_rows(self) -> DataFrame:
+        return valid_coordinates(trips_ignition.row_output(self.engine_rows))
+
+    @cached_property
+    def trip_columns(self) -> DataFrame:
+        return snake_case(trips_ignition.trip_output(self.engine_trips))
+
     @cached_property
     def merged(self) -> DataFrame:
         """Rows with valid coordinates joined to their trip, in lower case."""
-        rows = valid_coordinates(trips_ignition.row_output(self.engine_rows))
-        return route.join_trips(rows, snake_case(trips_ignition.trip_output(self.engine_trips)))
+        return route.join_trips(self.located_rows, self.trip_columns)
 
     @cached_property
     def tracked(self) -> DataFrame:
-        return self._save(route.track_features(self.merged, self._width), "rows_tracked")
+        return self._save(route.track_features(self.located_rows, self.trip_columns, self._width), "rows_tracked")
 
     @cached_property
     def scored(self) -> DataFrame:

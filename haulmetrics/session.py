@@ -1,5 +1,7 @@
 """Session settings the jobs rely on."""
 
+import math
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -10,8 +12,18 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, **extra: str) -> SparkSession:
-    """A session with the settings above; `extra` keys use `_` for `.`."""
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions that keep each near 128 MB if all input is shuffled; AQE merges small ones."""
+    return max(200, math.ceil(input_bytes / SHUFFLE_PARTITION_BYTES))
+
+
+def build_session(master: str | None = None, input_bytes: int | None = None, **extra: str) -> SparkSession:
+    """A session with the settings above, sized to the input; `extra` keys use `_` for `.`."""
+    if input_bytes is not None:
+        extra.setdefault("spark_sql_shuffle_partitions", str(shuffle_partitions(input_bytes)))
     builder = SparkSession.builder.appName("haulmetrics")
     if master:
         builder = builder.master(master)

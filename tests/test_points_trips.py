@@ -86,7 +86,7 @@ def test_single_row_trip_and_next_local_day(spark):
 def test_ignition_ids_run_on_over_vehicles(spark):
     rows = [("a", 0, False, 0.0, 1.0), ("a", 60, True, 0.5, 1.0), ("a", 120, True, 9.0, 2.0), ("a", 180, False, 0.0, 2.0), ("a", 240, True, 9.0, 3.0),
             ("b", 0, True, 9.0, 1.0), ("b", 400, True, 1.0, None), ("b", 700, True, 1.0, 4.0), ("c", 0, False, 1.0, 1.0), ("d", 5, True, 1.0, 1.0)]
-    got = by_second(trips_ignition.engine_on_rows(pings(spark, rows)), "vehicle_id", "trip_id", "delta_t_sec", "is_idle")
+    got = by_second(trips_ignition.engine_on_rows(points.point_steps(pings(spark, rows))), "vehicle_id", "trip_id", "delta_t_sec", "is_idle")
     assert got == [("a", 1, 60.0, True), ("a", 1, 0.0, False), ("a", 2, 0.0, False),
                    ("b", 4, 300.0, False), ("b", 4, 300.0, True), ("b", 4, 0.0, True), ("d", 7, 0.0, True)]
 
@@ -94,7 +94,7 @@ def test_ignition_ids_run_on_over_vehicles(spark):
 def test_trip_scores(spark):
     rows = [("a", 0, True, 0.0, None), ("a", 300, True, 60.0, 10.0), ("a", 600, True, 60.0, 8.0), ("b", 0, True, 50.0, 5.0)]
     df = pings(spark, rows)
-    trips = {r.vehicle_id: r for r in trips_ignition.trips_table(trips_ignition.engine_on_rows(df), df).collect()}
+    trips = {r.vehicle_id: r for r in trips_ignition.trips_table(trips_ignition.engine_on_rows(points.point_steps(df)), df).collect()}
     assert trips["a"].Trip_Distance_km is None and trips["a"].QA_negative_distance and trips["a"].Idle_Percentage == 0.5
     assert trips["b"].QA_zero_duration and trips["b"].Avg_Speed is None and trips["b"].Idle_Percentage == 0.0
 
