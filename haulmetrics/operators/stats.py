@@ -81,7 +81,8 @@ def _doubles(columns: list[str]) -> Column:
 
 def _table(rows: list[list[int]]) -> Column:
     """A small literal table of integer lists, indexed by position."""
-    return F.array(*[F.array(*map(F.lit, r)).cast("array<int>") for r in rows])
+    lists = [f"array({', '.join(map(str, r))})" if r else "cast(array() AS array<int>)" for r in rows]
+    return F.expr(f"array({', '.join(lists)})")
 
 
 def _named(pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -154,7 +155,8 @@ def spearman_pairs(df: DataFrame, row_id: str, pairs: list[tuple[str, str]],
     entry = F.struct((F.col("i") * size + F.col("within")).alias("k"), "rank")
     by_row = (cells.join(ranks, ["i", "within", "bucket", "value"]).groupBy(row_id)
               .agg(F.map_from_entries(F.collect_list(entry)).alias("ranks")))
-    lookup = F.array(*[F.struct(*[F.lit(n).alias(a) for a, n in zip(("i", "j", "kx", "ky"), line)]) for line in lookups])
+    lookup = F.expr("array({})".format(", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'kx', {kx}, 'ky', {ky})" for i, j, kx, ky in lookups)))
     both = by_row.select("ranks", F.inline(lookup)).select(
         "i", "j", F.try_element_at("ranks", "kx").alias("rx"), F.try_element_at("ranks", "ky").alias("ry"))
     return _named(both.where(F.col("rx").isNotNull() & F.col("ry").isNotNull()).groupBy("i", "j").agg(
@@ -179,8 +181,8 @@ def _all_pairs(features: list[str], target: str) -> list[tuple[str, str]]:
 
 def _full_matrix(pairs: DataFrame, names: list[str], value: str) -> DataFrame:
     """Both triangles and the diagonal, one row per cell."""
-    spark = pairs.sparkSession
-    diagonal = spark.createDataFrame([(n, n, 1.0) for n in names], f"x string, y string, {value} double")
+    own = F.explode(F.array(*map(F.lit, names))).alias("x")
+    diagonal = pairs.sparkSession.range(1).select(own).select("x", F.col("x").alias("y"), F.lit(1.0).alias(value))
     upper = pairs.select("x", "y", value)
     return upper.unionByName(upper.select(F.col("y").alias("x"), F.col("x").alias("y"), value)).unionByName(diagonal)
 
@@ -201,7 +203,8 @@ def correlation_summary(df: DataFrame, row_id: str, features: list[str], target:
     """The target's column of both matrices, by strength of the linear correlation."""
     pairs = [(f, target) for f in features[:MATRIX_FEATURES]]
     both = pearson_pairs(df, pairs).join(spearman_pairs(df, row_id, pairs, bucket_rows).drop("n"), ["x", "y"])
-    own = df.sparkSession.createDataFrame([(target, 1.0, 1.0)], "feature string, pearson_r double, spearman_r double")
+    own = df.sparkSession.range(1).select(
+        F.lit(target).alias("feature"), F.lit(1.0).alias("pearson_r"), F.lit(1.0).alias("spearman_r"))
     return (both.select(F.col("x").alias("feature"), "pearson_r", "spearman_r").unionByName(own)
             .orderBy(F.desc(F.abs("pearson_r")), "feature"))
 
