@@ -34,10 +34,9 @@ def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
         hot = F.broadcast(hot)
     cold = _small_groups(df.join(hot, keys, "left_anti"), keys, aggs, quantiles)
     rows = df.join(hot, keys, "left_semi")
-    picked = _bracketed(rows, keys, quantiles)
-    if aggs:
-        picked = rows.groupBy(*keys).agg(*aggs).join(picked, keys, "left")
-    return cold.unionByName(picked)
+    picked = _bracketed(rows, keys, quantiles, hot_rows)
+    groups = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
+    return cold.unionByName(groups.join(picked, keys, "left"))
 
 
 def _small_groups(df: DataFrame, keys: list[str], aggs: list[Column],
@@ -54,9 +53,15 @@ def _small_groups(df: DataFrame, keys: list[str], aggs: list[Column],
     return out.select(*kept, *[picks[name] for name in quantiles])
 
 
-def _bracketed(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]],
+def _bracketed(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]], more_than: int,
                accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    slack = 3.0 / accuracy
+    """Quantiles of columns, bracketed where a group has more than `more_than` values of one.
+
+    The sketch may be off by values/accuracy ranks. The bracket is twice that wide to either side
+    plus three ranks, which covers interpolation and the sketch's own rank convention. With fewer
+    values, all of them are walked.
+    """
+    slack = 2.0 / accuracy + 3.0 / more_than
     sketches = []
     for i, (c, p) in enumerate(quantiles.values()):
         low, high = p - slack, p + slack
@@ -69,8 +74,8 @@ def _bracketed(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, f
 
     targets = F.array(*[
         F.struct(F.lit(name).alias("_target"), F.lit(p).alias("_p"), F.col(f"_n{i}").alias("_n"),
-                 F.coalesce(F.col(f"_lo{i}"), F.lit(float("-inf"))).alias("_lo"),
-                 F.coalesce(F.col(f"_hi{i}"), F.lit(float("inf"))).alias("_hi"),
+                 F.coalesce(F.when(F.col(f"_n{i}") > more_than, F.col(f"_lo{i}")), F.lit(float("-inf"))).alias("_lo"),
+                 F.coalesce(F.when(F.col(f"_n{i}") > more_than, F.col(f"_hi{i}")), F.lit(float("inf"))).alias("_hi"),
                  F.col(c).cast("double").alias("_v"))
         for i, (name, (c, p)) in enumerate(quantiles.items())])
     each = df.join(brackets, keys).select(*keys, F.inline(targets))

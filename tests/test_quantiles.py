@@ -39,7 +39,7 @@ def test_groups(rows, hot_rows):
 def test_narrow_brackets(rows, accuracy):
     """A coarse sketch leaves most rows outside the bracket, counted only."""
     hot = rows.where("g = 'hot'")
-    got = quantiles._bracketed(hot, ["g"], PROBS, accuracy).first()
+    got = quantiles._bracketed(hot, ["g"], PROBS, 4000, accuracy).first()
     for name, value in expected(rows, "hot").items():
         assert got[name] == pytest.approx(value, abs=1e-9), name
 
@@ -47,3 +47,12 @@ def test_narrow_brackets(rows, accuracy):
 def test_whole_table(rows):
     hot = rows.where("g = 'hot'")
     assert global_quantiles(hot, PROBS, 10).first().asDict() == pytest.approx(expected(rows, "hot"))
+
+
+def test_hot_group_with_few_or_no_values(spark):
+    data = [("few", float(i) if i < 7 else None) for i in range(300)] + [("none", None)] * 300
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {r.g: r.asDict() for r in aggregate_with_quantiles(df, ["g"], [], PROBS, 100).collect()}
+    for name, (_, p) in PROBS.items():
+        assert got["few"][name] == pytest.approx(p * 6)
+        assert got["none"][name] is None
