@@ -29,16 +29,27 @@ UPPER[65:91] = True
 PLAIN = LETTER | ~NON_SPACE
 PLAIN[48:58] = True
 PLAIN[[ord(c) for c in ".,;:!?'\"()-"]] = True
+DIGIT = np.zeros(256, dtype=bool)
+DIGIT[48:58] = True
 ENDS = np.zeros(256, dtype=bool)
 ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def _by_limits(value: np.ndarray, good_below: float, bad_above: float, known: np.ndarray) -> np.ndarray:
-    return np.where(~known, NONE, np.where(value <= good_below, GOOD, np.where(value >= bad_above, BAD, NONE))).astype(np.int64)
+def _bad(flags: np.ndarray) -> np.ndarray:
+    return np.where(flags, BAD, NONE)
+
+
+def _good(flags: np.ndarray) -> np.ndarray:
+    return np.where(flags, GOOD, NONE)
 
 
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A column of votes per labeller. Rows without words get a bad vote for length and none else."""
+    """A column of votes per labeller; rows without words get a bad vote for length and none else.
+
+    Labellers of bad documents: odd symbols, words that end in a doubled symbol, capitals, words without letters,
+    repeated words, repeated lines, few words. Labeller of good ones: running text with a usual share of sentence ends
+    and of new words.
+    """
     rows = len(offsets) - 1
     starts, ends, bounds = word_spans(data, offsets, NON_SPACE)
     n = np.diff(bounds)
@@ -47,27 +58,25 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = prefix_sums(data)
     letter_sums = np.concatenate(([0], np.cumsum(LETTER[data])))
     word_row = np.repeat(np.arange(rows), n)
-    per_row = lambda flags: np.bincount(word_row, flags, minlength=rows)
-    safe = np.maximum(n, 1)
-    with_letters = per_row(letter_sums[ends] > letter_sums[starts]) / safe
-    sentence_ends = per_row(ENDS[data[ends - 1]]) / safe if len(ends) else np.zeros(rows)
-    word_length = per_row(ends - starts) / safe
+    share = lambda flags: np.bincount(word_row, flags, minlength=rows) / np.maximum(n, 1)
+    last, before = ends - 1, np.maximum(ends - 2, starts)
+    doubled = (ends - starts > 1) & (data[last] == data[before]) & ~LETTER[data[last]] & ~DIGIT[data[last]]
     repeats = _repeated(word_row, span_hashes(sums, starts, ends), rows)
     not_newline = np.ones(256, dtype=bool)
     not_newline[10] = False
     line_starts, line_ends, line_bounds = word_spans(data, offsets, not_newline)
     lines = np.diff(line_bounds)
     line_repeats = _repeated(np.repeat(np.arange(rows), lines), span_hashes(sums, line_starts, line_ends), rows)
-    long = n >= 20
+    sentence_ends = share(ENDS[data[last]])
     return np.stack([
-        _by_limits(1 - count(PLAIN) / np.maximum(size, 1), 0.02, 0.06, n > 0),
-        np.where(n < 5, BAD, np.where(n >= 30, GOOD, NONE)),
-        _by_limits(1 - with_letters, 0.05, 0.2, n > 0),
-        _by_limits(count(UPPER) / np.maximum(letters, 1), 0.15, 0.4, letters > 0),
-        _by_limits(np.abs(word_length - 6), 3.0, 6.0, n > 0),
-        _by_limits(repeats / np.maximum(n, 1), 0.75, 0.9, n >= 50),
-        _by_limits(line_repeats / np.maximum(lines, 1), 0.1, 0.4, lines >= 3),
-        _by_limits(np.abs(sentence_ends - 0.12), 0.11, 0.2, long),
+        _bad((n > 0) & (count(PLAIN) < 0.95 * size)),
+        _bad(share(doubled) > 0.2),
+        _bad((letters > 0) & (count(UPPER) > 0.4 * letters)),
+        _bad((n > 0) & (share(letter_sums[ends] == letter_sums[starts]) > 0.15)),
+        _bad((n >= 20) & (repeats > 0.85 * n)),
+        _bad((lines >= 4) & (line_repeats > 0.3 * lines)),
+        _bad(n < 5),
+        _good((n >= 20) & (sentence_ends > 0.01) & (sentence_ends < 0.35) & (share(doubled) < 0.05) & (repeats < 0.75 * n)),
     ], 1).astype(np.int64)
 
 
@@ -105,24 +114,27 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class LabelModel(NamedTuple):
     prior: float
-    good_given: np.ndarray  # [labeller, class]: chance of a good vote if it votes
+    given: np.ndarray  # [class, labeller, vote]: chance of the vote
     posterior: np.ndarray  # by pattern
 
 
 def estimate(counts: dict[int, int], rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over pattern counts; starts from the majority of the votes, which fixes the classes' names."""
-    patterns = np.arange(3 ** LABELLERS)
-    cast = (patterns[:, None] // POWERS) % 3
-    weight = np.array([counts.get(int(p), 0) for p in patterns], dtype=float)
-    good, voted = (cast == GOOD).astype(float), (cast != NONE).astype(float)
-    chance = np.clip((good.sum(1) + 0.5) / (voted.sum(1) + 1), 0.02, 0.98)
+    """Expectation-maximisation over pattern counts, with no vote as an outcome of its own.
+
+    Starts from "good unless a labeller says bad", which fixes the names of the classes; pseudo-counts keep a
+    labeller that never votes harmless.
+    """
+    cast = (np.arange(3 ** LABELLERS)[:, None] // POWERS) % 3
+    weight = np.array([counts.get(p, 0) for p in range(3 ** LABELLERS)], dtype=float)
+    outcomes = np.stack([(cast == v).astype(float) for v in range(3)], 2)
+    chance = np.where((cast == BAD).any(1), 0.1, 0.95)
     for _ in range(rounds):
         by_class = np.stack((weight * (1 - chance), weight * chance))
         prior = (by_class[1].sum() + 1) / (weight.sum() + 2)
-        # two pseudo-votes that agree with the class keep unused labellers harmless
-        given = np.stack([(by_class[c] @ good + (2 if c else 0.5)) / (by_class[c] @ voted + 2.5) for c in (0, 1)], 1)
-        odds = np.log(prior / (1 - prior)) + good @ np.log(given[:, 1] / given[:, 0]) + (voted - good) @ np.log((1 - given[:, 1]) / (1 - given[:, 0]))
-        chance = sigmoid(odds)
+        tallies = np.einsum("cp,plv->clv", by_class, outcomes)
+        tallies += np.array([[1.0, 0.1, 1.0], [0.1, 1.0, 1.0]])[:, None, :]  # [class][BAD, GOOD, NONE]
+        given = tallies / tallies.sum(2, keepdims=True)
+        chance = sigmoid(np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", outcomes, np.log(given[1] / given[0])))
     return LabelModel(prior, given, chance)
 
 
