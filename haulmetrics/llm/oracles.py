@@ -48,4 +48,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(array_to_string(list_sort([x::VARCHAR FOR x IN coalesce(ids, [])]), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN near USING (doc_id)"""
 
-ORACLES = {"op5_mixing": MIXING, "op6_decontamination": DECONTAMINATION}
+def lines_sql(documents: str) -> str:
+    """Table `cut`: the columns of the documents, `n_lines, n_removed, n_runs, kept`."""
+    return rf"""
+ls AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {documents}),
+fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS spot FROM ls WHERE regexp_matches(line, '{SPACED}')),
+pairs AS (SELECT doc_id, i, spot, line, lead(line) OVER (PARTITION BY doc_id ORDER BY spot) AS line2 FROM fl),
+one AS (SELECT doc_id, spot, row_number() OVER (PARTITION BY line ORDER BY doc_id, spot) AS n FROM fl WHERE len(regexp_extract_all(line, '{SPACED}')) >= 10),
+two AS (SELECT doc_id, spot, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, spot) AS n FROM pairs WHERE line2 IS NOT NULL),
+gone AS (SELECT doc_id, spot FROM one WHERE n > 1 UNION SELECT doc_id, spot FROM two WHERE n > 1 UNION SELECT doc_id, spot + 1 FROM two WHERE n > 1),
+marked AS (SELECT fl.doc_id, fl.i, fl.spot, gone.spot IS NOT NULL AS off FROM fl LEFT JOIN gone USING (doc_id, spot)),
+runs AS (SELECT *, off AND NOT coalesce(lag(off) OVER (PARTITION BY doc_id ORDER BY spot), false) AS begins FROM marked),
+counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (off) AS n_removed, count(*) FILTER (begins) AS n_runs FROM runs GROUP BY doc_id),
+rest AS (SELECT ls.doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM ls LEFT JOIN marked m USING (doc_id, i) WHERE NOT coalesce(m.off, false) GROUP BY ls.doc_id),
+cut AS (SELECT x.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS kept
+  FROM {documents} x LEFT JOIN counted USING (doc_id) LEFT JOIN rest USING (doc_id))"""
+
+
+LINE_DEDUP = f"""WITH {lines_sql('documents').strip()}
+SELECT doc_id, n_lines, n_removed, n_runs, sha256(coalesce(kept, '')) AS kept_sha256 FROM cut"""
+
+ORACLES = {"op5_mixing": MIXING, "op6_decontamination": DECONTAMINATION, "op7_line_dedup": LINE_DEDUP}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmetrics.llm import decontaminate, mixing, quality, toxicity
+from haulmetrics.llm import decontaminate, line_dedup, mixing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,4 +28,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near_items")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing, op6_decontamination)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines that are not blank, those removed, in how many stretches, and the SHA-256 of what is left."""
+    cut = line_dedup.cut(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
+                      F.col("n_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_line_dedup)}
