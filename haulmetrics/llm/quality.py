@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmetrics.llm.toxicity import row_sums, sigmoid
+from haulmetrics.llm.label_model import LabelModel, estimate, sigmoid
+from haulmetrics.llm.toxicity import row_sums
 from haulmetrics.llm.words import NON_SPACE, LOWER, prefix_sums, slices, span_hashes, word_spans
 from haulmetrics.plans.staging import stage
 
 BUCKET_BITS = 18
 TRAIN_ROWS = 16_384
-GOOD, BAD, NONE = 1, 0, 2
+BAD, GOOD, NONE = 0, 1, 2  # as the label model's no, yes and no vote
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -112,32 +113,6 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))], names=["doc_id", "pattern"])
 
 
-class LabelModel(NamedTuple):
-    prior: float
-    given: np.ndarray  # [class, labeller, vote]: chance of the vote
-    posterior: np.ndarray  # by pattern
-
-
-def estimate(counts: dict[int, int], rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over pattern counts, with no vote as an outcome of its own.
-
-    Starts from "good unless a labeller says bad", which fixes the names of the classes; pseudo-counts keep a
-    labeller that never votes harmless.
-    """
-    cast = (np.arange(3 ** LABELLERS)[:, None] // POWERS) % 3
-    weight = np.array([counts.get(p, 0) for p in range(3 ** LABELLERS)], dtype=float)
-    outcomes = np.stack([(cast == v).astype(float) for v in range(3)], 2)
-    chance = np.where((cast == BAD).any(1), 0.1, 0.95)
-    for _ in range(rounds):
-        by_class = np.stack((weight * (1 - chance), weight * chance))
-        prior = (by_class[1].sum() + 1) / (weight.sum() + 2)
-        tallies = np.einsum("cp,plv->clv", by_class, outcomes)
-        tallies += np.array([[1.0, 0.1, 1.0], [0.1, 1.0, 1.0]])[:, None, :]  # [class][BAD, GOOD, NONE]
-        given = tallies / tallies.sum(2, keepdims=True)
-        chance = sigmoid(np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", outcomes, np.log(given[1] / given[0])))
-    return LabelModel(prior, given, chance)
-
-
 class Scorer(NamedTuple):
     bias: float
     weights: np.ndarray
@@ -175,7 +150,7 @@ def label(docs: DataFrame) -> tuple[DataFrame, LabelModel]:
     """`doc_id, pattern` of every row, written to the shared folder, and the label model of all patterns."""
     cast = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                  .mapInArrow(_vote_rows, "doc_id long, pattern long"), "quality-votes")
-    return cast, estimate({r.pattern: r.n for r in cast.groupBy("pattern").agg(F.count("*").alias("n")).toLocalIterator()})
+    return cast, estimate({r.pattern: r.n for r in cast.groupBy("pattern").agg(F.count("*").alias("n")).toLocalIterator()}, LABELLERS)
 
 
 def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

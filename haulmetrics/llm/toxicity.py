@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulmetrics.llm.label_model import sigmoid
 from haulmetrics.llm.words import ALPHANUMERIC, slices, words
 
 BUCKET_BITS = 20
@@ -38,10 +39,6 @@ class Machine(NamedTuple):
         return sigmoid(margins(self.bias, self.weights, self.factors, features, bounds)[0])
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-
-
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)))
     return total[bounds[1:]] - total[bounds[:-1]]
