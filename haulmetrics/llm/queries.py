@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmetrics.llm import ann, decontaminate, line_dedup, mixing, pii, quality, toxicity
+from haulmetrics.llm import ann, decontaminate, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_line_dedup, op8_nearest, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_line_dedup, op8_nearest, op9_suffix_dedup, op10_pii)}

@@ -61,6 +61,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` bytes from each position on."""
+    n = len(sums) - size
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    return mix((sums[size:] - sums[:-size]) * powers(_BASE_INVERSE, len(sums))[:n])
+
+
 def slices(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`(first row, end row, bytes, offsets)` of runs of rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
