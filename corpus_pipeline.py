@@ -1,22 +1,48 @@
-"""A document corpus from raw to training mix, one operator per stage."""
+"""A document corpus from raw to training mix: one operator per stage, each on all that the stage before kept."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulmetrics.llm import mixing
+from haulmetrics.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
 from haulmetrics.plans.staging import stage
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores as toxic go; it learns from the labelled ones outside its held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut out; a document of which no line is left goes."""
+    return line_dedup.dedup(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the least id."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for."""
     return mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("reject_toxic", reject_toxic),
+    ("delete_repeated_lines", delete_repeated_lines),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_contaminated", drop_contaminated),
     ("mix_sources", mix_sources),
 ]
 
+#: The first stage is a trained model, which SQL cannot express; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -272,3 +272,13 @@ def _merge(rows: pa.Table) -> pa.Table:
     both = [np.unique(np.frombuffer(b"".join(rows[c].to_pylist()), dtype=np.int64)).tobytes() for c in ("phrase_items", "near_items")]
     return pa.table({"doc_id": rows["doc_id"][:1], "n_words": rows["n_words"][:1], "hit": pa.array([hit.tobytes() if hit.any() else b""], pa.binary()),
                      "phrase_items": pa.array([both[0]], pa.binary()), "near_items": pa.array([both[1]], pa.binary())})
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` without a hit, all columns as they are. What a text contains depends on the text alone, so the
+    decision travels by a hash of it, and rows that repeat a text go or stay together."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = search(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
+    hit = found.filter(F.octet_length("hit") > 0).select(F.col("doc_id").alias("_key")).distinct()
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(hit, "_key", "left_anti").select("row.*")

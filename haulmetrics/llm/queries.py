@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmetrics.llm import ann, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from haulmetrics.llm import ann, decontaminate, html_extract, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -51,4 +56,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_line_dedup, op8_nearest, op9_suffix_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_jaccard_join, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_line_dedup, op8_nearest, op9_suffix_dedup, op10_pii)}
