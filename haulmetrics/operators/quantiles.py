@@ -1,17 +1,30 @@
 """Exact linear-interpolated quantiles, per group or global, that survive hot groups.
 
-The built-in `percentile` keeps every distinct value of a group in one task. That is right
-for the many small groups; a group above `HOT_ROWS` rows is answered in three distributed steps:
-a mergeable sketch gives a narrow bracket around each wanted rank, rows below the bracket
-are only counted, and the few rows inside it are counted per value and walked in order.
+The built-in `percentile` keeps every distinct value of a group in one task. That is right for the many
+small groups; a group above `hot_rows` rows, and a whole table, is answered from counts of value ranges instead:
+values are counted, counts are added up by range (a function of the value alone, fine and coarse), the
+coarse range that holds a wanted rank is found, then the fine one in it, then the value in that. Both ways give the
+same result at every size. NaN counts as missing, like NULL.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 200_000
 HOT_GROUPS_TO_BROADCAST = 100_000
-SKETCH_ACCURACY = 100_000
-_ALL = "_all_rows"
+FINE, COARSE = 2 ** 20, 2 ** 8  # ranges per factor e
+
+
+def missing_nan(value: Column) -> Column:
+    """A double, or NULL for NaN."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def value_range(value: Column, per_factor: int) -> Column:
+    """Index of a range of neighbouring doubles; never decreases with the value. Java's logarithm is monotonic."""
+    size = F.least(F.abs(value), F.lit(1.7976931348623157e308))
+    step = F.floor(F.ln(size) * F.lit(float(per_factor))).cast("bigint") + F.lit(800 * per_factor)
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * step)
 
 
 def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
@@ -19,12 +32,11 @@ def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
                              hot_rows: int = HOT_ROWS) -> DataFrame:
     """`keys`, `aggs`, and one column per `quantiles` entry `{name: (column, p)}`.
 
-    Group keys must not be NULL. The input is read twice (group sizes first), so pass a
+    Group keys must not be NULL. The input is read more than once (group sizes first), so pass a
     staged table or a cheap plan.
     """
     if not keys:
-        return aggregate_with_quantiles(df.withColumn(_ALL, F.lit(0)), [_ALL], aggs, quantiles,
-                                        hot_rows).drop(_ALL)
+        return _whole_table(df, aggs, quantiles, hot_rows)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > hot_rows).select(*keys))
     hot_groups = hot.count()
@@ -34,74 +46,77 @@ def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
         hot = F.broadcast(hot)
     cold = _small_groups(df.join(hot, keys, "left_anti"), keys, aggs, quantiles)
     rows = df.join(hot, keys, "left_semi")
-    picked = _bracketed(rows, keys, quantiles, hot_rows)
+    picked = _by_ranges(rows, keys, quantiles)
     groups = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
     return cold.unionByName(groups.join(picked, keys, "left"))
 
 
+def _whole_table(df: DataFrame, aggs: list[Column], quantiles: dict[str, tuple[str, float]], hot_rows: int) -> DataFrame:
+    if df.count() <= hot_rows:
+        return _small_groups(df, [], aggs, quantiles)
+    picked = _by_ranges(df, [], quantiles)
+    if not aggs:
+        return picked
+    values = as_struct(picked)
+    return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")
+
+
+def _by_column(quantiles: dict[str, tuple[str, float]]) -> dict[str, list[tuple[str, float]]]:
+    out: dict[str, list[tuple[str, float]]] = {}
+    for name, (c, p) in quantiles.items():
+        out.setdefault(c, []).append((name, p))
+    return out
+
+
 def _small_groups(df: DataFrame, keys: list[str], aggs: list[Column],
                   quantiles: dict[str, tuple[str, float]]) -> DataFrame:
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for name, (c, p) in quantiles.items():
-        by_column.setdefault(c, []).append((name, p))
     exact, picks = [], {}
-    for i, (c, wanted) in enumerate(by_column.items()):
-        exact.append(F.percentile(c, F.array(*[F.lit(p) for _, p in wanted])).alias(f"_q{i}"))
+    for i, (c, wanted) in enumerate(_by_column(quantiles).items()):
+        exact.append(F.percentile(missing_nan(F.col(c)), F.array(*[F.lit(p) for _, p in wanted])).alias(f"_q{i}"))
         picks.update({name: F.col(f"_q{i}")[j].alias(name) for j, (name, _) in enumerate(wanted)})
     out = df.groupBy(*keys).agg(*aggs, *exact)
     kept = [c for c in out.columns if not c.startswith("_q")]
     return out.select(*kept, *[picks[name] for name in quantiles])
 
 
-def _bracketed(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]], more_than: int,
-               accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Quantiles of columns, bracketed where a group has more than `more_than` values of one.
+def _by_ranges(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
+    """`keys` (of groups that have a value) and the quantiles.
 
-    The sketch may be off by values/accuracy ranks. The bracket is twice that wide to either side
-    plus three ranks, which covers interpolation and the sketch's own rank convention. With fewer
-    values, all of them are walked.
+    Equal values meet on the map side. What is gathered per group and column is one row per coarse range; per coarse
+    range that holds a rank, one row per fine range in it; per fine range that holds one, its distinct values.
     """
-    slack = 2.0 / accuracy + 3.0 / more_than
-    sketches = []
-    for i, (c, p) in enumerate(quantiles.values()):
-        low, high = p - slack, p + slack
-        sketches.append(F.count(c).alias(f"_n{i}"))
-        sketches.append((F.percentile_approx(c, low, accuracy) if low > 0 else F.lit(None))
-                        .cast("double").alias(f"_lo{i}"))
-        sketches.append((F.percentile_approx(c, high, accuracy) if high < 1 else F.lit(None))
-                        .cast("double").alias(f"_hi{i}"))
-    brackets = df.groupBy(*keys).agg(*sketches)
-
-    targets = F.array(*[
-        F.struct(F.lit(name).alias("_target"), F.lit(p).alias("_p"), F.col(f"_n{i}").alias("_n"),
-                 F.coalesce(F.when(F.col(f"_n{i}") > more_than, F.col(f"_lo{i}")), F.lit(float("-inf"))).alias("_lo"),
-                 F.coalesce(F.when(F.col(f"_n{i}") > more_than, F.col(f"_hi{i}")), F.lit(float("inf"))).alias("_hi"),
-                 F.col(c).cast("double").alias("_v"))
-        for i, (name, (c, p)) in enumerate(quantiles.items())])
-    each = df.join(brackets, keys).select(*keys, F.inline(targets))
-    counts = (each.where(F.col("_v") <= F.col("_hi"))
-              .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-              .groupBy(*keys, "_target", "_p", "_n", "_v").count())
-
-    walk = (Window.partitionBy(*keys, "_target").orderBy(F.col("_v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("_p") * (F.col("_n") - 1)
-    walked = (counts.withColumn("_upto", F.sum("count").over(walk))
-              .withColumn("_rank", rank)
-              .where(F.col("_v").isNull() | (F.col("_upto") > F.floor("_rank"))))
-    found = walked.groupBy(*keys, "_target").agg(
-        F.max("_rank").alias("_rank"),
-        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("count"))), F.lit(0)).alias("_below"),
-        F.min("_v").alias("_left"),
-        F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v"))).alias("_right"))
-    missed = (F.col("_below") > F.floor("_rank")) | F.col("_right").isNull()
-    value = (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-             .when(F.col("_left") == F.col("_right"), F.col("_left"))
-             .otherwise((F.ceil("_rank") - F.col("_rank")) * F.col("_left")
-                        + (F.col("_rank") - F.floor("_rank")) * F.col("_right")))
-    return (found.withColumn("_value", value).groupBy(*keys)
-            .agg(*[F.max(F.when(F.col("_target") == name, F.col("_value"))).alias(name)
-                   for name in quantiles]))
+    by_column = _by_column(quantiles)
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), missing_nan(F.col(c)).alias("_v")) for i, c in enumerate(by_column)])
+    counts = (df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull())
+              .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_fine", value_range(F.col("_v"), FINE)).withColumn("_coarse", value_range(F.col("_v"), COARSE)))
+    fine = counts.groupBy(*keys, "_c", "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
+    coarse = fine.groupBy(*keys, "_c", "_coarse").agg(F.sum("_n").alias("_n"))
+
+    column = Window.partitionBy(*keys, "_c")
+    targets = F.array(*[F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(p).alias("_p")) for name, p in wanted])
+                        for wanted in by_column.values()])
+    total = coarse.withColumn("_total", F.sum("_n").over(column)).withColumn(
+        "_upto", F.sum("_n").over(column.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = (total.select("*", F.inline(targets[F.col("_c")])).withColumn("_rank", F.col("_p") * (F.col("_total") - 1))
+              .select("*", F.posexplode(F.array(F.floor("_rank"), F.ceil("_rank"))).alias("_side", "_place")))
+    inside = (F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_n") <= F.col("_place"))
+    wanted = [*keys, "_c", "_name", "_side"]
+
+    def narrower(picked: DataFrame, table: DataFrame, on: list[str], by: str) -> DataFrame:
+        """Of the rows of `table` in the picked ranges, those that hold the place, in the order of `by`."""
+        left = picked.where(inside).select(*wanted, "_rank", (F.col("_place") - (F.col("_upto") - F.col("_n"))).alias("_place"), *on[len(keys) + 1:])
+        walk = Window.partitionBy(*wanted).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return table.join(left, on).withColumn("_upto", F.sum("_n").over(walk))
+
+    in_fine = narrower(ranked, fine, [*keys, "_c", "_coarse"], "_fine")
+    in_value = narrower(in_fine, counts.drop("_coarse"), [*keys, "_c", "_fine"], "_v").where(inside)
+    sides = in_value.groupBy(*keys, "_name").agg(
+        F.max("_rank").alias("_rank"), *[F.max(F.when(F.col("_side") == k, F.col("_v"))).alias(s) for k, s in enumerate(("_left", "_right"))])
+    value = F.when(F.col("_left") == F.col("_right"), F.col("_left")).otherwise(
+        (F.ceil("_rank") - F.col("_rank")) * F.col("_left") + (F.col("_rank") - F.floor("_rank")) * F.col("_right"))
+    return (sides.withColumn("_value", value).groupBy(*keys)
+            .agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in quantiles]))
 
 
 def as_struct(one_row: DataFrame) -> Column:

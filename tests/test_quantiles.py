@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haulmetrics.operators import quantiles
 from haulmetrics.operators.quantiles import aggregate_with_quantiles, global_quantiles
 
 PROBS = {f"q{int(p * 1000)}": ("x", p) for p in (0.0, 0.005, 0.1, 0.25, 0.5, 0.9, 0.995, 1.0)}
@@ -35,15 +34,6 @@ def test_groups(rows, hot_rows):
     assert {r.g: r.n for r in got} == {"hot": 5000, "cold": 4, "one": 1}
 
 
-@pytest.mark.parametrize("accuracy", [100, 1000])
-def test_narrow_brackets(rows, accuracy):
-    """A coarse sketch leaves most rows outside the bracket, counted only."""
-    hot = rows.where("g = 'hot'")
-    got = quantiles._bracketed(hot, ["g"], PROBS, 4000, accuracy).first()
-    for name, value in expected(rows, "hot").items():
-        assert got[name] == pytest.approx(value, abs=1e-9), name
-
-
 def test_whole_table(rows):
     hot = rows.where("g = 'hot'")
     assert global_quantiles(hot, PROBS, 10).first().asDict() == pytest.approx(expected(rows, "hot"))
@@ -56,3 +46,34 @@ def test_hot_group_with_few_or_no_values(spark):
     for name, (_, p) in PROBS.items():
         assert got["few"][name] == pytest.approx(p * 6)
         assert got["none"][name] is None
+
+
+@pytest.mark.parametrize("hot_rows", [2, 10**9])
+def test_nan_counts_as_missing_at_every_size(spark, hot_rows):
+    data = [("g", x) for x in [float("nan")] * 8 + [None] * 3 + [float(i) for i in range(11)]] + [("nan", float("nan"))] * 4
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {r.g: r.asDict() for r in aggregate_with_quantiles(df, ["g"], [], PROBS, hot_rows).collect()}
+    whole = global_quantiles(df, PROBS, hot_rows).first().asDict()
+    for name, (_, p) in PROBS.items():
+        assert got["g"][name] == pytest.approx(p * 10) == whole[name]
+        assert got["nan"][name] is None
+
+
+@pytest.mark.parametrize("hot_rows", [2, 10**9])
+def test_extreme_values(spark, hot_rows):
+    values = [float("-inf"), -1.7e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0 + 2**-52, 1e9, 1e9 + 1, 1.7e308, float("inf")]
+    values = (values * 3)[:33]
+    df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+    wanted = {f"q{k}": ("x", k / 32) for k in range(33)}
+    got = global_quantiles(df, wanted, hot_rows).first()
+    assert [got[f"q{k}"] for k in range(33)] == sorted(values)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_plan_of_a_whole_table(spark, rows):
+    """Rows meet neither a sketch nor a constant key: they are counted per value first."""
+    plan = _plan(global_quantiles(rows.where("g = 'hot'"), PROBS, 10))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "percentile_approx" not in plan
