@@ -14,9 +14,14 @@ SECTORS = {"north": (1, 90), "east": (91, 180), "south": (181, 270), "west": (27
 MAP_BOX = {"lat": (1, 7), "lon": (100, 119)}
 
 
+def steady(x: Column) -> Column:
+    """A sum or mean to a millionth, so that the order of adding up cannot decide a later rounding."""
+    return F.round(x, 6)
+
+
 def speed_by_day_of_month(trips: DataFrame) -> DataFrame:
     return (trips.groupBy(F.date_format("timestamp_start", "dd").alias("time"))
-            .agg(round_half_even(F.avg("Avg_Speed"), 2).alias("value")))
+            .agg(round_half_even(steady(F.avg("Avg_Speed")), 2).alias("value")))
 
 
 def driver_ranking(days: DataFrame) -> DataFrame:
@@ -64,12 +69,12 @@ def thinned_track(pings: DataFrame, degrees: float, time: str = "ts",
 def vehicle_stats(days: DataFrame) -> DataFrame:
     """Distance, fuel, cost, mean driven distance per day and idle minutes per vehicle."""
     sums = days.groupBy("vehicle_id").agg(
-        round_half_even(total(F.col("Total_Distance_km")), 2).alias("month_total_distance"),
-        round_half_even(F.avg(F.when(F.col("Total_Distance_km") != 0, F.col("Total_Distance_km"))), 2).alias("day_total_distance_avg"),
-        round_half_even(total(F.when(F.col("Total_Idle_min") != 0, F.col("Total_Idle_min"))), 0).alias("total_idle_min"))
-    litres = round_half_even(LITRES_PER_100_KM * (F.col("month_total_distance") / 100), 2)
+        round_half_even(steady(total(F.col("Total_Distance_km"))), 2).alias("month_total_distance"),
+        round_half_even(steady(F.avg(F.when(F.col("Total_Distance_km") != 0, F.col("Total_Distance_km")))), 2).alias("day_total_distance_avg"),
+        round_half_even(steady(total(F.when(F.col("Total_Idle_min") != 0, F.col("Total_Idle_min")))), 0).alias("total_idle_min"))
+    litres = round_half_even(steady(LITRES_PER_100_KM * (F.col("month_total_distance") / 100)), 2)
     return (sums.withColumn("fuel_liters", litres)
-            .withColumn("total_wasted", round_half_even(F.col("fuel_liters") * F.lit(PRICE_PER_LITRE), 2)))
+            .withColumn("total_wasted", round_half_even(steady(F.col("fuel_liters") * F.lit(PRICE_PER_LITRE)), 2)))
 
 
 def next_trip_features(trips: DataFrame) -> DataFrame:

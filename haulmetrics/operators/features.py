@@ -136,6 +136,11 @@ def add_target_bucket_speed(df: DataFrame, references: DataFrame) -> DataFrame:
                         + 0.2 * F.col("speed_efficiency")).drop("reference_speed"))
 
 
+def bucket_speed_frame(frame: DataFrame) -> DataFrame:
+    """A model frame whose target is the bucket-speed one, with reference speeds of its training rows."""
+    return add_target_bucket_speed(frame.drop(TARGET, "speed_efficiency"), reference_speeds(frame.where("is_train")))
+
+
 def time_split(df: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     """Add `is_train`: the first `share` of trips by start time, equal times by trip id.
 
@@ -214,11 +219,13 @@ def with_optional_fields(df: DataFrame) -> DataFrame:
 
 
 def validate_requests(df: DataFrame) -> DataFrame:
-    """Add `rejected_fields`: required fields that are missing or out of range."""
+    """Add `rejected_fields`: required fields that are missing, NaN or out of range."""
     checks = []
     for c in REQUIRED:
         ok = F.col(c).isNotNull()
         low, high = FIELD_RANGES.get(c, (None, None))
+        if c in FIELD_RANGES:
+            ok = ok & ~F.isnan(F.col(c).cast("double"))
         if low is not None:
             ok = ok & ((F.col(c) > low) if c in ABOVE_ZERO else (F.col(c) >= low))
         if high is not None:

@@ -19,6 +19,7 @@ BOOSTING_ROUNDS = {"telemetry": 300, "trips": 200}
 LEARNING_RATE, MIN_LEAF_ROWS = 0.05, 20
 TREE_DEPTH = 5  # 32 leaves, next to the 31 of a leaf-wise tree
 MODEL_VERSION = "spark_gbt_v1"
+# One-hot encoded inputs.
 CATEGORICAL = ["zone_start_id", "zone_end_id", "distance_bucket"]
 ZONE_COLUMNS = {"zone_start_id": ["lat_start", "lon_start"], "zone_end_id": ["lat_end", "lon_end"]}
 # Name patterns of the feature families.
@@ -114,9 +115,12 @@ class Bundle:
 def train(frame: DataFrame, feature_set: str = "telemetry", rounds: int | None = None) -> tuple[Bundle, DataFrame]:
     """Fit on `is_train` rows; gives the bundle and both models' metrics per split.
 
+    The trips-only model learns the bucket-speed target, the telemetry model the one the frame has.
     `frame` is read by every fit: pass a staged table.
     """
     spark = frame.sparkSession
+    if feature_set == "trips":
+        frame = feat.bucket_speed_frame(frame)
     numeric = [*feat.NUMERIC_FEATURES[feature_set], feat.ENCODED_VEHICLE]
     rows = frame.where("is_train")
     zones = fit_zones(rows)

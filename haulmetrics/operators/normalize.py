@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulmetrics.functions.scalars import truthy
+from haulmetrics.operators.quantiles import missing_nan
 
 # Canonical name of each raw column.
 RAW_TO_CANONICAL = {
@@ -32,6 +33,10 @@ ENGINE_TOKENS = ("TRUE", "1", "ON")
 GPS_TOKENS = ("TRUE", "1")
 NUMERIC = ["speed_kmh", "odometer_km", "lat", "lon", "fuel_level"]
 LAST = 9223372036854775807
+REQUIRED = ("timestamp", "vehicle_id")
+# Time formats beside ISO 8601; the month comes before the day.
+TIME_FORMATS = ["yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+                "d MMM yyyy H:mm:ss", "d-MMM-yyyy H:mm:ss", "d MMM yyyy", "yyyyMMddHHmmss"]
 
 
 def canonical_name(column: str) -> str | None:
@@ -59,13 +64,34 @@ def rename_by_map(df: DataFrame) -> DataFrame:
                        for raw, name in RAW_TO_CANONICAL.items()])
 
 
+def canonical_columns(df: DataFrame) -> dict[str, str]:
+    """Source column of each canonical one: the usual raw name if it is there, else the first column an alias rule fits."""
+    own = {"timestamp_utc": "timestamp", "gps_ok": "gps_valid"}
+    found = {canonical: raw for raw, canonical in RAW_TO_CANONICAL.items() if raw in df.columns}
+    for column in df.columns:
+        name = canonical_name(column)
+        if name is not None and column not in found.values():
+            found.setdefault(own.get(name, name), column)
+    return found
+
+
+def to_canonical(df: DataFrame) -> DataFrame:
+    """The canonical columns only; an absent one is NULL, an absent time or vehicle is an error."""
+    found = canonical_columns(df)
+    absent = [c for c in REQUIRED if c not in found]
+    if absent:
+        raise ValueError(f"no column for {absent} among {df.columns}")
+    return df.select(*[(F.col(f"`{found[c]}`") if c in found else F.lit(None).cast("string")).alias(c) for c in RAW_TO_CANONICAL.values()])
+
+
 def parse_time(text: Column) -> Column:
     """Timestamp, or NULL when unparsable. Text without an offset is in the session zone (UTC)."""
-    return F.try_to_timestamp(text)
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(F.trim(text.cast("string")), F.lit(f)) for f in TIME_FORMATS])
 
 
 def parse_number(text: Column) -> Column:
-    return F.trim(text.cast("string")).try_cast("double")
+    """Number, or NULL when unparsable or "NaN"."""
+    return missing_nan(F.trim(text.cast("string")).try_cast("double"))
 
 
 def python_truth(text: Column) -> Column:
@@ -87,7 +113,7 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Typed pings with timestamp and vehicle present."""
-    df = rename_by_map(raw)
+    df = to_canonical(raw)
     typed = df.select(parse_time(F.col("timestamp")).alias("ts"), F.col("vehicle_id").cast("string"),
                       engine_flag(F.col("engine_on")).alias("engine_on"), gps_flag(F.col("gps_valid")).alias("gps_ok"),
                       *[parse_number(F.col(c)).alias(c) for c in NUMERIC])

@@ -34,6 +34,7 @@ EXCLUDED_COLUMNS = [
     "forward_progress", "speed_kmh", "speed_mps", "movement_speed", "implied_speed", "speed_ratio",
     "dist_to_prev", "time_delta", "bearing_track", "lat", "lon", "lat_prev", "lon_prev", "lat_start", "lon_start",
     "lat_end", "lon_end", "timestamp", "timestamp_start", "timestamp_end", "total_rows", "avg_speed"]
+# Targets in order of preference, columns of one kind by name, rush hours.
 TARGETS = ["route_eff", "idle_efficiency", "distance_efficiency", "time_efficiency"]
 FALLBACK_TARGET = "route_eff_avg"
 LEAKING_COLUMNS = ["route_eff_med", "route_eff_std", "route_eff_high_pct"]

@@ -2,21 +2,18 @@
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulmetrics.functions.scalars import ratio
 from haulmetrics.functions.tails import chi_square_tail, student_two_sided
-from haulmetrics.operators.quantiles import HOT_ROWS, aggregate_with_quantiles, as_struct
+from haulmetrics.operators.quantiles import HOT_ROWS, aggregate_with_quantiles, as_struct, value_range
 from haulmetrics.operators.timeline import Timeline
 
 RANK_BUCKET_ROWS = 1_000_000
-MAX_RANK_BUCKETS = 4096
 MIN_PAIRS = 10
-MATRIX_FEATURES = 30
 HISTOGRAM_BINS = 50
 GRID = 30
-TOP_CATEGORIES, BOX_CATEGORIES = 20, 15
+TOP_CATEGORIES, INSIGHT_FEATURES = 20, 10
 PROFILE_PERCENTS = [10, 25, 50, 75, 90, 95, 99]
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -42,20 +39,20 @@ def _long(df: DataFrame, keep: list[str], values: dict[str, Column], name: str =
 # ---- ranks ----------------------------------------------------------------------------------
 
 def with_value_buckets(df: DataFrame, columns: list[str], bucket_rows: int) -> DataFrame:
-    """Add `_b_<column>`: the index of a value range holding about `bucket_rows` rows.
+    """Add `_b_<column>`: the index of a range of neighbouring values, finer the more rows there are.
 
-    Range limits come from a sketch and are fetched to the driver: at most `MAX_RANK_BUCKETS`
-    numbers per column. They only steer parallelism; the ranks are exact for any limits.
+    The range follows from the value's distance to the column's least value, on a logarithmic scale, so it
+    needs no sketch and nothing of the column on the driver. Ranges only steer parallelism; the ranks are
+    exact for any.
     """
-    buckets = min(MAX_RANK_BUCKETS, math.ceil(df.count() / bucket_rows))
-    if buckets <= 1:
+    pieces = math.ceil(df.count() / bucket_rows)
+    if pieces <= 1:
         return df.withColumns({f"_b_{c}": F.lit(0) for c in columns})
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    limits = df.agg(*[F.percentile_approx(c, at, 10 * buckets).alias(c) for c in columns]).first()
-    splits = [[float("-inf"), *sorted(set(limits[c] or [])), float("inf")] for c in columns]
-    out = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"_b_{c}" for c in columns],
-                     handleInvalid="keep").transform(df)
-    return out.withColumns({f"_b_{c}": F.col(f"_b_{c}").cast("int") for c in columns})
+    per_factor = 1 << min(30, (pieces - 1).bit_length())
+    least = as_struct(df.agg(*[F.min(F.when(F.col(c) > float("-inf"), F.col(c).cast("double"))).alias(c) for c in columns]))
+    out = df.withColumn("_least", least)
+    above = {c: value_range(F.greatest(F.col(c) - F.col(f"_least.{c}"), F.lit(0.0)), per_factor) for c in columns}
+    return out.withColumns({f"_b_{c}": F.when(F.col(c) == float("-inf"), F.lit(-1)).otherwise(above[c]) for c in columns}).drop("_least")
 
 
 def average_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,7 +172,7 @@ def feature_ranking(df: DataFrame, row_id: str, features: list[str], target: str
 
 
 def _all_pairs(features: list[str], target: str) -> list[tuple[str, str]]:
-    names = [*features[:MATRIX_FEATURES], target]
+    names = [*features, target]
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
 
 
@@ -187,21 +184,22 @@ def _full_matrix(pairs: DataFrame, names: list[str], value: str) -> DataFrame:
     return upper.unionByName(upper.select(F.col("y").alias("x"), F.col("x").alias("y"), value)).unionByName(diagonal)
 
 
-def pearson_matrix(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    pairs = pearson_pairs(df, _all_pairs(features, target))
-    return _full_matrix(pairs, [*features[:MATRIX_FEATURES], target], "pearson_r")
+def pearson_matrix(df: DataFrame, features: list[str], target: str, most: int | None = None) -> DataFrame:
+    """Correlations among the target and all features, or the first `most` of them."""
+    pairs = pearson_pairs(df, _all_pairs(features[:most], target))
+    return _full_matrix(pairs, [*features[:most], target], "pearson_r")
 
 
 def spearman_matrix(df: DataFrame, row_id: str, features: list[str], target: str,
-                    bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
-    pairs = spearman_pairs(df, row_id, _all_pairs(features, target), bucket_rows)
-    return _full_matrix(pairs, [*features[:MATRIX_FEATURES], target], "spearman_r")
+                    bucket_rows: int = RANK_BUCKET_ROWS, most: int | None = None) -> DataFrame:
+    pairs = spearman_pairs(df, row_id, _all_pairs(features[:most], target), bucket_rows)
+    return _full_matrix(pairs, [*features[:most], target], "spearman_r")
 
 
 def correlation_summary(df: DataFrame, row_id: str, features: list[str], target: str,
-                        bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
+                        bucket_rows: int = RANK_BUCKET_ROWS, most: int | None = None) -> DataFrame:
     """The target's column of both matrices, by strength of the linear correlation."""
-    pairs = [(f, target) for f in features[:MATRIX_FEATURES]]
+    pairs = [(f, target) for f in features[:most]]
     both = pearson_pairs(df, pairs).join(spearman_pairs(df, row_id, pairs, bucket_rows).drop("n"), ["x", "y"])
     own = df.sparkSession.range(1).select(
         F.lit(target).alias("feature"), F.lit(1.0).alias("pearson_r"), F.lit(1.0).alias("spearman_r"))
@@ -270,44 +268,47 @@ def linear_trend(df: DataFrame, features: list[str], target: str) -> DataFrame:
                                        F.regr_intercept("vy", "vx").alias("intercept"))
 
 
-def top_category_rows(df: DataFrame, category: str, target: str, k: int = BOX_CATEGORIES) -> DataFrame:
-    """(category, target) rows of the k most frequent categories (at most k rows are broadcast)."""
+def top_category_rows(df: DataFrame, category: str, target: str, k: int | None = None) -> DataFrame:
+    """(category, target) rows of all categories, or of the k most frequent ones (k rows are broadcast)."""
     rows = df.select(F.col(category).cast("string").alias("category"), F.col(target).cast("double").alias("value")).dropna()
+    if k is None:
+        return rows
     top = (rows.groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
            .orderBy(F.desc("_n"), "category").limit(k).select("category"))
     return rows.join(F.broadcast(top), "category", "left_semi")
 
 
-def box_statistics(df: DataFrame, category: str, target: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Quartiles and whiskers (last values within 1.5 IQR) per frequent category."""
-    rows = top_category_rows(df, category, target)
+def box_statistics(df: DataFrame, category: str, target: str, hot_rows: int = HOT_ROWS, k: int | None = None) -> DataFrame:
+    """Quartiles and whiskers (last values within 1.5 IQR) per category, or per each of the k most frequent."""
+    rows = top_category_rows(df, category, target, k)
     boxes = aggregate_with_quantiles(rows, ["category"], [F.count(F.lit(1)).alias("n")], {
         "q1": ("value", 0.25), "median": ("value", 0.5), "q3": ("value", 0.75)}, hot_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    # At most BOX_CATEGORIES rows on the box side.
-    whiskers = (rows.join(F.broadcast(boxes), "category").groupBy("category").agg(
+    # One row per category on the box side; Spark broadcasts it if it is small.
+    whiskers = (rows.join(boxes, "category").groupBy("category").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("outliers")))
-    return boxes.join(F.broadcast(whiskers), "category")
+    return boxes.join(whiskers, "category")
 
 
 def kruskal_wallis(df: DataFrame, categories: list[str], target: str,
-                   bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
+                   bucket_rows: int = RANK_BUCKET_ROWS, k: int | None = None) -> DataFrame:
     """Tie-corrected H, degrees of freedom and p-value per categorical feature with two groups or more.
 
-    Only a feature's most frequent categories take part; that list has a fixed size, and the
-    row numbering behind it is cut to size before the shuffle.
+    All categories take part, or the k most frequent of each feature; that list then has a fixed size, and
+    the row numbering behind it is cut to size before the shuffle.
     """
     named = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in categories])
     cut = with_value_buckets(df.select(F.col(target).cast("double").alias("value"), *categories), ["value"], bucket_rows)
     cells = (cut.select("value", F.col("_b_value").alias("bucket"), F.inline(named))
              .where(F.col("value").isNotNull() & F.col("category").isNotNull()))
-    order = Window.partitionBy("feature").orderBy(F.desc("n"), "category")
-    top = (cells.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
-           .withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= BOX_CATEGORIES).select("feature", "category"))
-    counts = (cells.join(F.broadcast(top), ["feature", "category"], "left_semi")
-              .groupBy("feature", "bucket", "value", "category").agg(F.count(F.lit(1)).alias("c")))
+    if k is not None:
+        order = Window.partitionBy("feature").orderBy(F.desc("n"), "category")
+        top = (cells.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= k).select("feature", "category"))
+        cells = cells.join(F.broadcast(top), ["feature", "category"], "left_semi")
+    counts = cells.groupBy("feature", "bucket", "value", "category").agg(F.count(F.lit(1)).alias("c"))
     ranks = average_ranks(counts.groupBy("feature", "bucket", "value").agg(F.sum("c").alias("ties")), ["feature"])
     t = F.col("ties").cast("double")
     ties = ranks.groupBy("feature").agg(F.sum(t * t * t - t).alias("tie_loss"))
@@ -368,8 +369,8 @@ def describe(df: DataFrame, columns: list[str], hot_rows: int = HOT_ROWS) -> Dat
         {"q25": ("value", 0.25), "q50": ("value", 0.5), "q75": ("value", 0.75)}, hot_rows)
 
 
-def insights(ranking: DataFrame) -> DataFrame:
-    """Recommendations set off by the ten strongest features of a ranking."""
+def insights(ranking: DataFrame, strongest: int = INSIGHT_FEATURES) -> DataFrame:
+    """Recommendations set off by the strongest features of a ranking."""
     name = F.lower("feature")
     fires = {
         "idle": name.contains("idle") | name.contains("stops"),
@@ -379,7 +380,7 @@ def insights(ranking: DataFrame) -> DataFrame:
         "route": (F.col("feature") == "route_directness") & (F.col("spearman_r") > 0),
         "signal": F.col("feature") == "signal_reliability",
     }
-    top = ranking.orderBy(F.desc("abs_spearman"), "feature").limit(10)
+    top = ranking.orderBy(F.desc("abs_spearman"), "feature").limit(strongest)
     hits = top.agg(*[F.count_if(rule).alias(k) for k, rule in fires.items()])
     lines = F.array(*[F.struct(F.col(k).alias("hits"), *[F.lit(text).alias(c) for c, text in zip(
         ("category", "finding", "action"), INSIGHTS[k])]) for k in fires])

@@ -6,13 +6,13 @@ from haulmetrics.functions.geo import great_circle_km
 from haulmetrics.functions.scalars import clip, is_true, ratio, seconds, total
 from haulmetrics.operators.points import STEP_COLUMNS, VEHICLE_LINE, on_vehicle_line
 from haulmetrics.operators.quantiles import HOT_ROWS, as_struct, global_quantiles
-from haulmetrics.operators.timeline import Timeline
+from haulmetrics.operators.timeline import BUCKET_SECONDS, Timeline
 
 GAP_CAP_SECONDS = 300
 IDLE_KMH = 1.0
 BASELINE_KMH = 80
 AGE_WINDOW_DAYS = 60
-VEHICLE_PREFIX = 5
+NAME_CHARACTERS = 3
 
 TRIP_COLUMNS = [
     "vehicle_id", "trip_id", "timestamp_start", "timestamp_end", "lat_start", "lon_start", "lat_end", "lon_end",
@@ -27,9 +27,15 @@ def vehicle_offsets(trips_started: DataFrame) -> DataFrame:
     """First free trip number of each vehicle, vehicles taken in name order.
 
     A vehicle uses as many numbers as it has trips plus one. The running total over vehicles is
-    cut by name prefix, so no task sees the whole vehicle list.
+    cut by the first characters in which names differ, so no task sees the whole vehicle list.
     """
-    named = trips_started.withColumn("bucket", F.substring("vehicle_id", 1, VEHICLE_PREFIX))
+    ends = as_struct(trips_started.agg(F.min("vehicle_id").alias("low"), F.max("vehicle_id").alias("high")))
+    # what the first and the last name in order share, all names share
+    places = F.sequence(F.lit(1), F.greatest(F.length("_ends.low"), F.lit(1)))
+    differs = F.filter(places, lambda i: ~F.substr(F.col("_ends.low"), F.lit(1), i).eqNullSafe(F.substr(F.col("_ends.high"), F.lit(1), i)))
+    start = F.coalesce(F.try_element_at(differs, F.lit(1)), F.length("_ends.low") + 1)
+    named = (trips_started.withColumn("_ends", ends)
+             .withColumn("bucket", F.substr("vehicle_id", start, F.lit(NAME_CHARACTERS))).drop("_ends"))
     fleet = Timeline((), ("vehicle_id",))
     used = F.col("trips") + 1
     return (fleet.running(named, {"upto": used})
@@ -99,13 +105,13 @@ def add_efficiencies(trips: DataFrame) -> DataFrame:
             .withColumn("Signal_Reliability", ratio(F.col("gps_valid_count"), F.col("total_rows"))))
 
 
-def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS) -> DataFrame:
+def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Months in service per vehicle: highest odometer over the monthly distance of its last days.
 
     The newest time of a vehicle reaches its pings through the pieces of its timeline.
     """
     latest = pings.groupBy("vehicle_id").agg(F.max("ts").alias("_latest"), F.max("odometer_km").alias("_odometer"))
-    line = on_vehicle_line(pings.select("vehicle_id", "ts", "odometer_km"))
+    line = on_vehicle_line(pings.select("vehicle_id", "ts", "odometer_km"), width_seconds)
     recent = (VEHICLE_LINE.attach(line, latest.select("vehicle_id", "_latest"))
               .where(F.col("ts") >= F.col("_latest") - F.expr(f"INTERVAL {window_days} DAYS")))
     known = F.when(F.col("odometer_km").isNotNull(), F.col("ts"))
@@ -126,10 +132,10 @@ def trip_output(trips: DataFrame) -> DataFrame:
     return trips.select(*TRIP_COLUMNS)
 
 
-def trips_table(rows: DataFrame, pings: DataFrame) -> DataFrame:
+def trips_table(rows: DataFrame, pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Trips with scores, age and QA flags, from engine-on rows and all pings."""
     scored = add_efficiencies(add_distance_duration(aggregate_trips(rows)))
-    return add_qa_flags(scored.join(truck_ages(pings), "vehicle_id", "left"))
+    return add_qa_flags(scored.join(truck_ages(pings, width_seconds=width_seconds), "vehicle_id", "left"))
 
 
 def qa_report(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -558,17 +558,17 @@ def _(t):
 
 @query("f16_pearson_matrix", digits=6)
 def _(t):
-    return stats.pearson_matrix(t.analysis, t.numeric_features, t.target)
+    return stats.pearson_matrix(t.analysis, t.numeric_features, t.target, most=MATRIX_FEATURES)
 
 
 @query("f17_spearman_matrix", digits=6)
 def _(t):
-    return stats.spearman_matrix(t.analysis, "trip_id", t.numeric_features, t.target)
+    return stats.spearman_matrix(t.analysis, "trip_id", t.numeric_features, t.target, most=MATRIX_FEATURES)
 
 
 @query("f18_correlation_summary", digits=6)
 def _(t):
-    return stats.correlation_summary(t.analysis, "trip_id", t.numeric_features, t.target)
+    return stats.correlation_summary(t.analysis, "trip_id", t.numeric_features, t.target, most=MATRIX_FEATURES)
 
 
 @query("f19_histogram")
@@ -593,20 +593,22 @@ def _(t):
 
 @query("f23_box_statistics")
 def _(t):
-    return stats.box_statistics(t.analysis, "hour_of_day", t.target)
+    return stats.box_statistics(t.analysis, "hour_of_day", t.target, k=BOX_CATEGORIES)
 
 
+# Numbers the report asks for: features of a matrix, categories of a chart.
+MATRIX_FEATURES, BOX_CATEGORIES = 30, 15
 KRUSKAL_CATEGORIES = ["hour_of_day", "day_of_week", "is_weekend", "is_peak_hour"]
 
 
 @query("f24_kruskal_wallis")
 def _(t):
-    return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target).drop("kw_pvalue")
+    return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target, k=BOX_CATEGORIES).drop("kw_pvalue")
 
 
 @query("f24_kruskal_pvalues", digits=9)
 def _(t):
-    return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target)
+    return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target, k=BOX_CATEGORIES)
 
 
 @query("f25_seeded_sample")

@@ -525,16 +525,16 @@ def oracles() -> dict[str, str]:
               CASE WHEN feature IN ('is_peak_hour', 'hour_of_day') THEN 3 END, CASE WHEN feature = 'route_directness' AND spearman_r > 0 THEN 4 END, CASE WHEN feature = 'signal_reliability' THEN 5 END])
               FROM (SELECT * FROM rk ORDER BY abs(spearman_r) DESC, feature LIMIT 10))"""),
         "f31_correlation_t": with_blocks(f"SELECT feature, n, {rounded('pearson_r * sqrt((n - 2) / nullif(1 - pearson_r * pearson_r, 0))')} AS pearson_t, {rounded('spearman_r * sqrt((n - 2) / nullif(1 - spearman_r * spearman_r, 0))')} AS spearman_t FROM rk"),
-        "g01_speed_by_day": with_blocks("SELECT strftime(make_timestamp(timestamp_start * 1000000), '%d') AS time, round_even(avg(Avg_Speed), 2) + 0.0 AS value FROM et GROUP BY 1"),
+        "g01_speed_by_day": with_blocks("SELECT strftime(make_timestamp(timestamp_start * 1000000), '%d') AS time, round_even(round(avg(Avg_Speed), 6), 2) + 0.0 AS value FROM et GROUP BY 1"),
         "g02_driver_ranking": r("rank, vehicle, time:r", "rank"),
         "g03_direction_breakdown": with_blocks("""SELECT position, data FROM (VALUES ('north'), ('east'), ('south'), ('west')) v(position) LEFT JOIN (SELECT CASE WHEN direction BETWEEN 1 AND 90 THEN 'north' WHEN direction BETWEEN 91 AND 180 THEN 'east'
             WHEN direction BETWEEN 181 AND 270 THEN 'south' WHEN direction BETWEEN 271 AND 360 THEN 'west' END AS position, count(*) AS data FROM t WHERE direction <> 0 GROUP BY 1) USING (position)"""),
         "g04_vehicle_list": with_blocks("SELECT DISTINCT vehicle_id FROM vd"),
         "g05_thinned_track": _thinned("t", 0.005),
         "g06_thinned_idle_track": _thinned("(SELECT * FROM er WHERE is_idle)", 0.001),
-        "g07_vehicle_stats": with_blocks("""SELECT vehicle_id, month_total_distance, fuel_liters, round_even(fuel_liters * 2.89::DOUBLE, 2) + 0.0 AS total_wasted, day_total_distance_avg, total_idle_min FROM (
-            SELECT *, round_even(35 * (month_total_distance / 100), 2) + 0.0 AS fuel_liters FROM (SELECT vehicle_id, round_even(sum(Total_Distance_km), 2) + 0.0 AS month_total_distance,
-            round_even(avg(Total_Distance_km) FILTER (Total_Distance_km <> 0), 2) + 0.0 AS day_total_distance_avg, round_even(coalesce(sum(Total_Idle_min) FILTER (Total_Idle_min <> 0), 0), 0) + 0.0 AS total_idle_min FROM vd GROUP BY vehicle_id))"""),
+        "g07_vehicle_stats": with_blocks("""SELECT vehicle_id, month_total_distance, fuel_liters, round_even(round(fuel_liters * 2.89::DOUBLE, 6), 2) + 0.0 AS total_wasted, day_total_distance_avg, total_idle_min FROM (
+            SELECT *, round_even(round(35 * (month_total_distance / 100), 6), 2) + 0.0 AS fuel_liters FROM (SELECT vehicle_id, round_even(round(sum(Total_Distance_km), 6), 2) + 0.0 AS month_total_distance,
+            round_even(round(avg(Total_Distance_km) FILTER (Total_Distance_km <> 0), 6), 2) + 0.0 AS day_total_distance_avg, round_even(round(coalesce(sum(Total_Idle_min) FILTER (Total_Idle_min <> 0), 0), 6), 0) + 0.0 AS total_idle_min FROM vd GROUP BY vehicle_id))"""),
         "g08_next_trip_features": with_blocks("SELECT vehicle_id, arg_max(timestamp_start, trip_id) AS timestamp_start, " + ", ".join(f"{rounded(f'arg_max({c}, trip_id)', 4)} AS {c}" for c in ENDS) + ", "
             + ", ".join(f"{rounded(f'avg({c})', 4)} AS {c}" for c in ("Trip_Distance_km", "Trip_Duration_min", "Idle_Time_min", "Moving_Time_min", "Avg_Speed", "Idle_Percentage", "Age_of_Truck_months"))
             + " FROM et WHERE lat_start <> 0 AND lat_end <> 0 AND lon_start <> 0 AND lon_end <> 0 GROUP BY vehicle_id"),

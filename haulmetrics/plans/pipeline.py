@@ -6,6 +6,7 @@ from haulmetrics.operators import normalize, route, stats, trips_hybrid
 from haulmetrics.operators.model import Bundle, score_requests, train
 from haulmetrics.operators.points import clean_output
 from haulmetrics.operators.trips_ignition import row_output, trip_output
+from haulmetrics.plans.staging import stage
 from haulmetrics.plans.tables import Tables
 from haulmetrics.sources.files import drop_repeated_rows, drop_sparse_columns, read_mixed_csvs, read_vehicle_csvs
 
@@ -13,10 +14,11 @@ from haulmetrics.sources.files import drop_repeated_rows, drop_sparse_columns, r
 def combine(spark: SparkSession, folder: str, out: str, mixed_headers: bool = True) -> DataFrame:
     """All vehicle files as one table without sparse columns and repeated rows.
 
-    Set `mixed_headers=False` when all files share the usual header: it saves a pass over the text.
+    Set `mixed_headers=False` when all files share the usual header: it saves a pass over the text. The text is
+    parsed once; what decides on columns and repeats reads the parsed table.
     """
     raw = read_mixed_csvs(spark, folder) if mixed_headers else read_vehicle_csvs(spark, folder)
-    drop_repeated_rows(drop_sparse_columns(raw)).write.parquet(f"{out}/combined")
+    drop_repeated_rows(drop_sparse_columns(stage(raw, "parsed"))).write.parquet(f"{out}/combined")
     return spark.read.parquet(f"{out}/combined")
 
 
@@ -42,15 +44,17 @@ def run(spark: SparkSession, folder: str, out: str, mixed_headers: bool = True)
     return tables
 
 
-def report(tables: Tables, save) -> None:
-    """The statistical summaries of the trip analysis."""
+def report(tables: Tables, save, most_features: int | None = None, most_categories: int | None = None) -> None:
+    """The statistical summaries of the trip analysis, over all features and categories unless limits are given."""
     df, names = tables.analysis, tables.numeric_features
+    categories = [c for c in route.columns_of_class(tables.trip_features, "categorical") if c not in route.DROP_COLUMNS]
     target = route.choose_target(df.columns)
     ranking = save(stats.feature_ranking(df, "trip_id", names, target), "feature_rankings")
-    save(stats.correlation_summary(df, "trip_id", names, target), "correlations")
-    save(stats.kruskal_wallis(df, ["day_of_week", "is_weekend", "is_peak_hour"], target), "kruskal")
+    save(stats.correlation_summary(df, "trip_id", names, target, most=most_features), "correlations")
+    save(stats.kruskal_wallis(df, categories, target, k=most_categories), "kruskal")
     save(stats.temporal_summary(df, target), "temporal")
-    save(stats.describe(df, [r.feature for r in ranking.orderBy(F.desc("abs_spearman")).limit(15).collect()]), "numeric_summary")
+    by_strength = [r.feature for r in ranking.orderBy(F.desc("abs_spearman"), "feature").select("feature").collect()]
+    save(stats.describe(df, by_strength[:most_features]), "numeric_summary")
     save(stats.insights(ranking), "actionable_insights")
 
 

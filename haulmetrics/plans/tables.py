@@ -55,7 +55,7 @@ class Tables:
 
     @cached_property
     def engine_trips(self) -> DataFrame:
-        return self._save(trips_ignition.trips_table(self.engine_rows, self.pings), "trips_ignition")
+        return self._save(trips_ignition.trips_table(self.engine_rows, self.pings, self._width), "trips_ignition")
 
     @cached_property
     def located_rows(self) -> DataFrame:
@@ -96,6 +96,11 @@ class Tables:
     def frame(self) -> DataFrame:
         return self._save(features.model_frame(self.engine_trips, self.engine_rows), "model_frame")
 
+    @cached_property
+    def trained_on_trips(self) -> tuple[model.Bundle, DataFrame]:
+        """The trips-only model and its scores."""
+        return model.train(self.frame, "trips")
+
     @cached_property
     def trained(self) -> tuple[model.Bundle, DataFrame]:
         """Both models fit, saved and loaded back, with their scores."""

@@ -1,5 +1,7 @@
 """Vehicle CSV files in, tables out."""
 
+import csv
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -10,6 +12,10 @@ from haulmetrics.functions.scalars import ratio, round_half_even
 RAW_COLUMNS = ["Timestamp", "Latitude", "Longitude", "Speed", "EngineStatus", "Odometer",
                "FuelLevelPercentage", "GPSLocated", "Direction"]
 SPARSE_PERCENT = 50
+# Cell texts that mean "missing".
+MISSING_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", ""]
+UNNAMED = "_unnamed_"
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -33,10 +39,38 @@ def read_vehicle_csvs(spark: SparkSession, folder: str, columns: list[str] | Non
     return _with_plate(rows)
 
 
+def present(text: Column) -> Column:
+    """The text, or NULL if it is one of the usual signs for a missing value."""
+    return F.when(~text.isin(MISSING_TOKENS), text)
+
+
 def _with_plate(rows: DataFrame) -> DataFrame:
-    """Add the plate, in place of a column of that name."""
-    others = [c for c in rows.columns if c != "CarNumberPlate"]
-    return rows.select(*others, plate_from_file_name(F.col("_metadata.file_name")).alias("CarNumberPlate"))
+    """Add the plate, in place of a column of that name. Signs for missing values become NULL, columns without a name go."""
+    others = [c for c in rows.columns if c != "CarNumberPlate" and not c.startswith(UNNAMED)]
+    return rows.select(*[present(F.col(f"`{c}`")).alias(c) for c in others],
+                       plate_from_file_name(F.col("_metadata.file_name")).alias("CarNumberPlate"))
+
+
+def header_names(line: str) -> list[str]:
+    """A name per cell of a header line: an empty cell gets a generated name, a repeated one a number.
+
+    The names are applied by position, so none may be left out.
+    """
+    names: list[str] = []
+    for i, cell in enumerate(next(csv.reader([line.removeprefix("\ufeff").rstrip("\r\n")]), [])):
+        name = cell.strip() or f"{UNNAMED}{i}"
+        taken = {n.lower() for n in names}
+        plain, k = name, 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{plain}.{k}"
+        names.append(name)
+    return names
+
+
+def literal_path(path: str) -> str:
+    """A path in which no character acts as a wildcard."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def read_mixed_csvs(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,23 +84,14 @@ def read_mixed_csvs(spark: SparkSession, folder: str) -> DataFrame:
                             F.col("_metadata.file_block_start").alias("start"),
                             F.monotonically_increasing_id().alias("at"))
                .where(F.col("start") == 0)
-               .groupBy("path").agg(F.min_by("value", "at").alias("header"))
-               .groupBy("header").agg(F.collect_list("path").alias("paths")))
-    combined = None
-    for row in headers.orderBy("header").toLocalIterator():
-        names = spark.createDataFrame([(row.header,)], "line string").select(
-            F.from_csv("line", ", ".join(f"c{i} string" for i in range(row.header.count(",") + 1)))
-            .alias("c")).first().c
-        columns = [c for c in names if c is not None]
-        part = (spark.read.schema(text_schema(columns)).option("header", True)
-                .csv([unquote(p) for p in row.paths]))
-        part = _with_plate(part)
-        combined = part if combined is None else stack_rows([combined, part])
-    if combined is None:
+               .groupBy("path").agg(F.min_by("value", "at").alias("header")))
+    paths: dict[str, list[str]] = {}
+    for row in headers.orderBy("header", "path").toLocalIterator():
+        paths.setdefault(row.header, []).append(literal_path(unquote(row.path)))
+    if not paths:
         raise FileNotFoundError(f"no csv files in {folder}")
-    return combined
-
-
+    return stack_rows([_with_plate(spark.read.schema(text_schema(header_names(header))).option("header", True).csv(files))
+                       for header, files in paths.items()])
 
 
 def stack_rows(parts: list[DataFrame]) -> DataFrame:

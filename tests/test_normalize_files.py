@@ -84,3 +84,45 @@ def test_filters_and_names(spark):
     assert nz.non_negative_speed(df).count() == 2
     assert nz.non_negative_speed(df, "other").count() == 3
     assert nz.snake_case(df.withColumnRenamed("lat", "Trip Start Lat")).columns[0] == "trip_start_lat"
+
+
+def write(folder, name, text):
+    (folder / name).write_text(text)
+
+
+def test_headers_keep_their_places(spark, tmp_path):
+    write(tmp_path, "A1.csv", ",Timestamp,Speed,Speed\n0,2025-01-01 00:00:00,10,11\n1,2025-01-01 00:01:00,12,13\n")
+    write(tmp_path, "V[1].csv", '"Timestamp","Speed, km/h"\n2025-01-01 00:02:00,"7"\n')
+    write(tmp_path, "V1.csv", "Timestamp\n2025-01-01 00:03:00\n")
+    got = {(r.CarNumberPlate, r.Timestamp[-5:], r.Speed, r["Speed.1"], r["Speed, km/h"]) for r in files.read_mixed_csvs(spark, str(tmp_path)).collect()}
+    assert got == {("A1", "00:00", "10", "11", None), ("A1", "01:00", "12", "13", None), ("V[1]", "02:00", None, None, "7"), ("V1", "03:00", None, None, None)}
+
+
+def test_header_names():
+    assert files.header_names('\ufeffa,"b,c",,A, d \r\n') == ["a", "b,c", "_unnamed_2", "A.1", "d"]
+
+
+def test_signs_for_missing_values(spark, tmp_path):
+    write(tmp_path, "A.csv", "x,y\nNA,1\nNaN,1\nnull,1\n,1\nx,1\n")
+    df = files.read_mixed_csvs(spark, str(tmp_path))
+    assert {r.column_name: r.missing_count for r in files.missing_profile(df).collect()} == {"x": 4, "y": 0, "CarNumberPlate": 0}
+    assert "x" not in files.drop_sparse_columns(df).columns
+
+
+@pytest.mark.parametrize("text", ["2025-01-02 10:00:00", "2025-01-02T10:00:00Z", "01/02/2025 10:00", "1/2/2025 10:00:00", "2025/01/02 10:00", "2 Jan 2025 10:00:00"])
+def test_time_formats(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.unix_seconds(nz.parse_time(F.col("t")))).first()[0] == 1735812000
+
+
+def test_nan_text_is_missing(spark):
+    df = spark.createDataFrame([("NaN",), ("nan",), ("1e2",)], "t string")
+    assert [r[0] for r in df.select(nz.parse_number(F.col("t"))).collect()] == [None, None, 100.0]
+
+
+def test_pings_through_alias_names(spark):
+    raw = spark.createDataFrame([("2025-01-01 00:00:00", "A", "12.5", "ON", "1")], "Time string, Plate string, SpeedKmh string, Ignition string, gps_located string")
+    row, = nz.normalize(raw).collect()
+    assert (row.vehicle_id, row.speed_kmh, row.engine_on, row.gps_ok) == ("A", 12.5, True, True)
+    with pytest.raises(ValueError, match="vehicle_id"):
+        nz.normalize(raw.drop("Plate"))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from haulmetrics.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver data not present")
@@ -32,7 +33,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = entry_point.queries()[name](spark, FOLDER).toPandas()
     if name not in ORACLES:

@@ -137,3 +137,15 @@ def test_stop_count_counts_the_first_row(spark):
               "distance_efficiency", "time_efficiency", "signal_reliability")}}))
     row = route.trip_features(route.route_efficiency(route.track_features(df))).first()
     assert row.n_stops == 1.5 and row.stops_per_km == 1.5 and row.idle_time_total == 4.0
+
+
+def test_no_feature_or_category_is_left_out(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), *map(float, rng.normal(size=40)), f"c{i % 20}", float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(["trip_id long", *[f"f{k} double" for k in range(40)], "category string", "target double"]))
+    names = [f"f{k}" for k in range(40)]
+    assert stats.pearson_matrix(df, names, "target").count() == 41 * 41
+    assert stats.pearson_matrix(df, names, "target", most=5).count() == 6 * 6
+    assert stats.correlation_summary(df, "trip_id", names, "target").count() == 41
+    assert stats.box_statistics(df, "category", "target").count() == 20 and stats.box_statistics(df, "category", "target", k=15).count() == 15
+    assert stats.kruskal_wallis(df, ["category"], "target").first().degrees_of_freedom == 19
