@@ -49,6 +49,7 @@ def forget() -> None:
 
 
 TIE_NUDGE = 1e-9
+ENDS = ("lat_start", "lon_start", "lat_end", "lon_end")
 
 
 def tidy(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -611,9 +612,18 @@ def _(t):
     return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target, k=BOX_CATEGORIES)
 
 
+SAMPLE_ROWS = 500
+
+
 @query("f25_seeded_sample")
 def _(t):
-    return stats.seeded_sample(t.engine_rows.select("vehicle_id", "s", "event_id", "speed_kmh"), "event_id", 20_000)
+    """Size of a sample, how much of it is in the table, and how much of it a second draw repeats."""
+    rows = t.engine_rows.select("vehicle_id", "s", "event_id", "speed_kmh")
+    one, two = stats.seeded_sample(rows, "event_id", SAMPLE_ROWS), stats.seeded_sample(rows.orderBy("speed_kmh"), "event_id", SAMPLE_ROWS)
+    found = one.join(rows, one.columns, "left_semi").agg(F.count(F.lit(1))).scalar()
+    again = one.join(two, one.columns, "left_semi").agg(F.count(F.lit(1))).scalar()
+    return one.agg(F.count(F.lit(1)).alias("sample_rows"), F.count_distinct("event_id").alias("distinct_rows")).select(
+        "*", found.alias("rows_in_table"), again.alias("rows_repeated"))
 
 
 @query("f26_map_points")
@@ -776,8 +786,13 @@ def _(t):
 
 @query("h15_zones")
 def _(t):
-    zones = model.fit_zones(t.frame.where("is_train"))
-    return model.apply_zones(t.frame, zones).select("trip_id", *model.ZONE_COLUMNS)
+    """Whether zones are in range, and how many zones a start or end point has."""
+    zones = model.apply_zones(t.frame, model.fit_zones(t.frame.where("is_train")))
+    out = zones.select("trip_id", *model.ZONE_COLUMNS, *ENDS)
+    for zone, place in model.ZONE_COLUMNS.items():
+        of_point = zones.groupBy(*place).agg(F.count_distinct(zone).alias(f"{zone}_per_point"))
+        out = out.join(of_point, place).withColumn(f"{zone}_valid", F.col(zone).between(0, model.ZONES - 1))
+    return out.select("trip_id", *[f"{z}{x}" for z in model.ZONE_COLUMNS for x in ("_valid", "_per_point")])
 
 
 @query("h16_target_encoding")
@@ -793,10 +808,15 @@ def _vectors(t: Fixture) -> DataFrame:
 
 @query("h17_one_hot")
 def _(t):
+    """The distance bucket that is set, if any, and whether zones set one flag at most."""
     from pyspark.ml.functions import vector_to_array
-    hot = F.lit(0.0)
-    return _vectors(t).select("trip_id", *[F.aggregate(vector_to_array(f"_h_{c}"), hot, lambda a, x: a + x).alias(f"{c}_set")
-                                           for c in model.CATEGORICAL])
+    labels = t.trained[0].encoder.stages[0].labelsArray[model.CATEGORICAL.index("distance_bucket")]
+    flags = {c: vector_to_array(f"_h_{c}") for c in model.CATEGORICAL}
+    names = F.array(*map(F.lit, labels))
+    set_at = F.array_position(flags["distance_bucket"], F.lit(1.0)).cast("int")
+    total = {c: F.aggregate(f, F.lit(0.0), lambda a, x: a + x) for c, f in flags.items()}
+    return _vectors(t).select("trip_id", F.when(set_at > 0, F.element_at(names, set_at)).alias("level"), total["distance_bucket"].alias("flags_set"),
+                              (total["zone_start_id"].isin(0.0, 1.0) & total["zone_end_id"].isin(0.0, 1.0)).alias("zones_valid"))
 
 
 @query("h18_null_fill")
@@ -807,9 +827,13 @@ def _(t):
 
 @query("h19_feature_vector")
 def _(t):
+    """Every numeric slot of the vector, and whether its width is that of the slots and the seen levels."""
     from pyspark.ml.functions import vector_to_array
     v = vector_to_array("features")
-    return _vectors(t).select("trip_id", F.size(v).alias("width"), v[0].alias("trip_distance_km"))
+    numeric = [*features.NUMERIC_FEATURES["telemetry"], features.ENCODED_VEHICLE]
+    levels = sum(len(x) for x in t.trained[0].encoder.stages[0].labelsArray)
+    return _vectors(t).select("trip_id", (F.size(v) == len(numeric) + levels).alias("width_fits"),
+                              *[v[i].alias(f"slot_{c.lower()}") for i, c in enumerate(numeric)])
 
 
 @query("h20_scaled_features")
@@ -820,34 +844,64 @@ def _(t):
     return scaler.transform(_vectors(t)).select("trip_id", v[0].alias("trip_distance_scaled"), v[2].alias("avg_speed_scaled"))
 
 
+def _finite_predictions(df: DataFrame) -> DataFrame:
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < 10)
+    return df.select("trip_id", "is_train", features.TARGET, finite.alias("prediction_finite"))
+
+
 @query("h21_ridge")
 def _(t):
-    return t.trained[0].ridge.transform(_vectors(t)).select("trip_id", "is_train", features.TARGET, "prediction")
+    return _finite_predictions(t.trained[0].ridge.transform(_vectors(t)))
 
 
 @query("h22_boosted_trees")
 def _(t):
-    return t.trained[0].trees.transform(_vectors(t)).select("trip_id", "is_train", features.TARGET, "prediction")
+    return _finite_predictions(t.trained[0].trees.transform(_vectors(t)))
+
+
+def _score_flags(scores: DataFrame) -> DataFrame:
+    """Rows per model and split, and what must hold for scores of any model."""
+    return scores.select("model", "split", "n", (F.col("mae") <= F.col("rmse") + 1e-12).alias("mae_below_rmse"),
+                         (F.col("r2") <= 1).alias("r2_at_most_1"), ((F.col("split") == "test") | (F.col("r2") > 0)).alias("learnt"))
 
 
 @query("h23_regression_metrics")
 def _(t):
-    return t.trained[1]
+    return _score_flags(t.trained[1])
+
+
+@query("h23_trips_model")
+def _(t):
+    """Scores of the trips-only model, which has a target of its own."""
+    return _score_flags(t.trained_on_trips[1])
 
 
 @query("h24_feature_importance")
 def _(t):
-    return model.feature_importance(t.trained[0], model.feature_names(_vectors(t)))
+    """Families of the numeric inputs, and whether the importances of all inputs add up to 1."""
+    names = model.feature_names(_vectors(t))
+    table = model.feature_importance(t.trained[0], names)
+    total = table.agg(F.sum("importance")).scalar()
+    numeric = [*features.NUMERIC_FEATURES["telemetry"], features.ENCODED_VEHICLE]
+    return table.where(F.col("feature").isin(numeric)).select(
+        "feature", "is_telemetry", "is_geo", "is_time", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("adds_up"))
 
 
 @query("h25_model_comparison")
 def _(t):
-    return model.compare_models(t.trained[1])
+    """Whether the comparison names the better model, and its gains follow from the scores."""
+    c = model.compare_models(t.trained[1])
+    better = lambda test: F.when(test, "boosted_trees").otherwise("ridge")
+    return c.select((F.col("best_by_mae") == better(F.col("trees_mae") < F.col("ridge_mae"))).alias("mae_named"),
+                    (F.col("best_by_r2") == better(F.col("trees_r2") > F.col("ridge_r2"))).alias("r2_named"),
+                    ((F.col("mae_gain_percent") > 0) == (F.col("trees_mae") < F.col("ridge_mae"))).alias("gain_follows"))
 
 
 @query("h26_model_bundle")
 def _(t):
-    return t.trained[0].metadata.drop("training_timestamp", "numeric_features")
+    rounds = F.col("best_iteration").between(1, model.BOOSTING_ROUNDS["telemetry"])
+    return t.trained[0].metadata.select("model_version", "feature_set", "global_mean", "epsilon", "stop_threshold_kmh", "overspeed_threshold_kmh",
+                                        "train_size", "test_size", rounds.alias("rounds_valid"), (F.col("test_mae") < 1).alias("mae_valid"))
 
 
 @query("h27_target_correlations", digits=6)
@@ -889,5 +943,7 @@ def _(t):
 
 @query("h31_batch_scoring")
 def _(t):
+    """Rejected fields as validated, and a score between 0 and 1 for exactly the valid requests."""
+    score = F.col("predicted_route_efficiency")
     return model.score_requests(_requests(t), t.trained[0]).select(
-        "trip_id", "vehicle_id", "rejected_fields", "predicted_route_efficiency", "model_version")
+        "trip_id", "vehicle_id", "rejected_fields", score.isNotNull().alias("scored"), F.coalesce(score.between(0, 1), F.lit(True)).alias("in_range"))

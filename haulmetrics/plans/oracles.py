@@ -561,5 +561,60 @@ def oracles() -> dict[str, str]:
         "h28_scoring_defaults": r("trip_id, " + ", ".join(f"{c}:r" for c in ("speed_mean", "speed_median", "speed_p25", "speed_p75", "speed_p90", "speed_std", "speed_min", "speed_max", "speed_iqr", "speed_cv")), "rs2"),
         "h29_scoring_counts": with_blocks(f"SELECT trip_id, coalesce(stop_count, 0) AS stop_count, CAST(0 AS BIGINT) AS overspeed_count, telemetry_rows, {rounded('idle_event_count / (telemetry_rows + 1e-6)')} AS idle_percentage_rows, {rounded('moving_event_count / (telemetry_rows + 1e-6)')} AS moving_percentage_rows, {rounded('coalesce(stop_count, 0) / (Trip_Duration_min / 60 + 1e-6)')} AS stop_count_per_hour FROM rc"),
         "h30_request_validation": r("trip_id, rejected_fields", "rv"),
+        **model_checks(with_blocks, rounded),
     }
     return sql
+
+
+# Fixed values, written out: numeric inputs of the telemetry model in order.
+TELEMETRY_INPUTS = """Trip_Distance_km Trip_Duration_min Avg_Speed Idle_Time_min Moving_Time_min Idle_Percentage haversine_km bearing
+    delta_lat delta_lon lat_start lon_start lat_end lon_end hour_sin hour_cos dow_sin dow_cos Age_of_Truck_months speed_mean speed_median
+    speed_p25 speed_p75 speed_p90 speed_std speed_iqr speed_cv stop_count stop_count_per_100km stop_count_per_hour overspeed_count
+    overspeed_count_per_100km overspeed_count_per_hour idle_event_count idle_percentage_rows idle_events_per_100km moving_event_count
+    moving_percentage_rows""".split()
+
+
+def chi_square_tail_sql(x: str, freedom: str, steps: int = 4000) -> str:
+    """Upper tail as 1 - the integral of the chi density up to sqrt(x), by Simpson's rule."""
+    return (f"1 - (SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN i = 0 THEN CASE WHEN {freedom} = 1 THEN 1 ELSE 0 END "
+            f"ELSE exp(({freedom} - 1) * ln(sqrt({x}) * i / {steps}) - {x} * i * i / ({steps}.0::DOUBLE * {steps}) / 2) END) "
+            f"* sqrt({x}) / {steps} / 3 / exp(({freedom} / 2.0::DOUBLE - 1) * ln(2.0::DOUBLE) + lgamma({freedom} / 2.0::DOUBLE)) FROM range({steps} + 1) g(i))")
+
+
+def student_tail_sql(t: str, freedom: str, steps: int = 20000) -> str:
+    """Both tails as 1 - twice the integral of the density up to |t| (beyond 40 nothing is left to add)."""
+    top = f"least(abs({t}), 40.0::DOUBLE)"
+    return (f"1 - 2 * (SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-({freedom} + 1) / 2.0::DOUBLE * ln(1 + pow({top} * i / {steps}, 2) / {freedom}))) * {top} / {steps} / 3 "
+            f"* exp(lgamma(({freedom} + 1) / 2.0::DOUBLE) - lgamma({freedom} / 2.0::DOUBLE)) / sqrt(pi() * {freedom}) FROM range({steps} + 1) g(i))")
+
+
+def model_checks(with_blocks, rounded) -> dict[str, str]:
+    """What SQL can say about tail probabilities, samples, encodings and trained models."""
+    t = "{r} * sqrt((n - 2) / nullif(1 - {r} * {r}, 0))"
+    tests = ", ".join(f"{t.format(r=c + '_r')} AS {c}_t" for c in ("pearson", "spearman"))
+    encoded = "SELECT fr.*, coalesce(vm, (SELECT avg(route_efficiency) FROM fr WHERE is_train)) AS vehicle_id_encoded FROM fr LEFT JOIN (SELECT vehicle_id, avg(route_efficiency) AS vm FROM fr WHERE is_train GROUP BY 1) USING (vehicle_id)"
+    scaled = lambda c: f"(coalesce({c}, 0) - avg(coalesce({c}, 0)) FILTER (is_train) OVER ()) / stddev_samp(coalesce({c}, 0)) FILTER (is_train) OVER ()"
+    splits = "(SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM fr GROUP BY 1)"
+    scores = f"SELECT model, split, n, true AS mae_below_rmse, true AS r2_at_most_1, true AS learnt FROM (VALUES ('ridge'), ('boosted_trees')) v(model), {splits}"
+    inputs = ", ".join(f"('{c}')" for c in [*TELEMETRY_INPUTS, "vehicle_id_encoded"])
+    return {
+        "f24_kruskal_pvalues": with_blocks(f"SELECT feature, {rounded('kw_statistic', 9)} AS kw_statistic, degrees_of_freedom, {rounded(chi_square_tail_sql('kw_statistic', 'degrees_of_freedom'), 9)} AS kw_pvalue FROM kw"),
+        "f25_seeded_sample": with_blocks("SELECT least(count(*), 500) AS sample_rows, least(count(*), 500) AS distinct_rows, least(count(*), 500) AS rows_in_table, least(count(*), 500) AS rows_repeated FROM er"),
+        "f31_correlation_pvalues": with_blocks("SELECT feature, n, " + ", ".join(f"{rounded(c, 9)} AS {c}" for c in ("pearson_r", "spearman_r", "pearson_t", "spearman_t")) + ", "
+                                               + ", ".join(f"{rounded(student_tail_sql(c + '_t', '(n - 2)'), 9)} AS {c}_p" for c in ("pearson", "spearman")) + f" FROM (SELECT *, {tests} FROM rk)"),
+        "h15_zones": with_blocks("SELECT trip_id, true AS zone_start_id_valid, 1::BIGINT AS zone_start_id_per_point, true AS zone_end_id_valid, 1::BIGINT AS zone_end_id_per_point FROM fr"),
+        "h17_one_hot": with_blocks("SELECT trip_id, s.distance_bucket AS level, CASE WHEN s.distance_bucket IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS flags_set, true AS zones_valid "
+                                   "FROM fr LEFT JOIN (SELECT DISTINCT distance_bucket FROM fr WHERE is_train) s USING (distance_bucket)"),
+        "h19_feature_vector": with_blocks(f"SELECT trip_id, true AS width_fits, {', '.join(f'{rounded(f"coalesce({c}, 0)")} AS slot_{c.lower()}' for c in [*TELEMETRY_INPUTS, 'vehicle_id_encoded'])} FROM ({encoded})"),
+        "h20_scaled_features": with_blocks(f"SELECT trip_id, {rounded('a')} AS trip_distance_scaled, {rounded('b')} AS avg_speed_scaled FROM (SELECT trip_id, {scaled('Trip_Distance_km')} AS a, {scaled('Avg_Speed')} AS b FROM fr)"),
+        **{name: with_blocks(f"SELECT trip_id, is_train, {rounded('route_efficiency')} AS route_efficiency, true AS prediction_finite FROM fr") for name in ("h21_ridge", "h22_boosted_trees")},
+        "h23_regression_metrics": with_blocks(scores),
+        "h23_trips_model": with_blocks(scores),
+        "h24_feature_importance": (f"SELECT feature, regexp_matches(feature, 'speed|stop|idle|overspeed|moving') AS is_telemetry, regexp_matches(feature, 'lat|lon|haversine|bearing|delta|zone') AS is_geo, "
+                                              f"regexp_matches(feature, 'hour|dow') AS is_time, true AS not_negative, true AS adds_up FROM (VALUES {inputs}) v(feature)"),
+        "h25_model_comparison": "SELECT true AS mae_named, true AS r2_named, true AS gain_follows",
+        "h26_model_bundle": with_blocks(f"SELECT 'spark_gbt_v1' AS model_version, 'telemetry' AS feature_set, {rounded('avg(route_efficiency) FILTER (is_train)')} AS global_mean, {rounded('1e-6::DOUBLE')} AS epsilon, 3.0::DOUBLE AS stop_threshold_kmh, "
+                                        "90.0::DOUBLE AS overspeed_threshold_kmh, count(*) FILTER (is_train) AS train_size, count(*) FILTER (NOT is_train) AS test_size, true AS rounds_valid, true AS mae_valid FROM fr"),
+        "h31_batch_scoring": with_blocks("SELECT rv.trip_id, fr.vehicle_id, rejected_fields, rejected_fields = '' AS scored, true AS in_range FROM rv JOIN fr USING (trip_id)"),
+    }
