@@ -48,7 +48,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A column of votes per labeller; rows without words get a bad vote for length and none else.
 
     Labellers of bad documents: odd symbols, words that end in a doubled symbol, capitals, words without letters,
-    repeated words, repeated lines, few words. Labeller of good ones: running text with a usual share of sentence ends
+    repeated words, repeated lines, no words. Labeller of good ones: running text with a usual share of sentence ends
     and of new words.
     """
     rows = len(offsets) - 1
@@ -76,8 +76,8 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _bad((n > 0) & (share(letter_sums[ends] == letter_sums[starts]) > 0.15)),
         _bad((n >= 20) & (repeats > 0.85 * n)),
         _bad((lines >= 4) & (line_repeats > 0.3 * lines)),
-        _bad(n < 5),
-        _good((n >= 20) & (sentence_ends > 0.01) & (sentence_ends < 0.35) & (share(doubled) < 0.05) & (repeats < 0.75 * n)),
+        _bad(n < 1),
+        _good((n >= 1) & ((n < 20) | (sentence_ends > 0.01) & (sentence_ends < 0.5)) & (share(doubled) < 0.05) & (repeats < 0.75 * n)),
     ], 1).astype(np.int64)
 
 
