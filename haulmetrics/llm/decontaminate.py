@@ -222,7 +222,7 @@ def _items(windows: Windows, window: np.ndarray, doc: np.ndarray, n_docs: int) -
 def search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: `doc_id, n_words, hit` (a bit per word), `phrase_items, near_items` (64-bit item ids).
 
-    One pass per block of items, joined by document id; nearly always there is one block. A null or empty
+    One pass and one row per document for each block of items; nearly always there is one block. A null or empty
     text has no words and no hit; items without words or id match nothing; repeated items are reported each.
     """
     out = None
@@ -254,17 +254,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: `doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items`."""
-    block_words = options.get("block_words", BLOCK_WORDS)
-    found = search(docs, benchmark, **options)
-    blocks = sum(1 for _ in item_blocks(benchmark, block_words))
-    if blocks > 1:
-        found = found.groupBy("doc_id").applyInArrow(_merge, MATCH_SCHEMA)
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    """One row per document: `doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items`.
+
+    With several blocks of items, what they find is put together per different text.
+    """
+    blocks = sum(1 for _ in item_blocks(benchmark, options.get("block_words", BLOCK_WORDS)))
+    if blocks <= 1:
+        return search(docs, benchmark, **options).mapInArrow(_digest, REPORT_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key"), "text")
+    # equal texts give equal rows, so that a group has one row per block
+    found = search(rows.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).distinct()
+    digest = found.groupBy("doc_id").applyInArrow(_merge, MATCH_SCHEMA).mapInArrow(_digest, REPORT_SCHEMA)
+    return rows.select("doc_id", "_key").join(digest.withColumnRenamed("doc_id", "_key"), "_key").drop("_key")
+
+
+REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
 def _merge(rows: pa.Table) -> pa.Table:
-    """One row of a document's rows, one for each block of items."""
+    """One row of a text's rows, one for each block of items."""
     hit = np.zeros((rows["n_words"][0].as_py() + 7) // 8, dtype=np.uint8)
     for b in rows["hit"].to_pylist():
         if b:
