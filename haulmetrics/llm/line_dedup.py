@@ -50,7 +50,8 @@ def _place() -> Column:
 def repeated(named: DataFrame) -> DataFrame:
     """The suffixes that share their name, with the `first` place of it."""
     intervals = named.groupBy("name").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first < last")
-    return named.join(intervals.drop("last"), "name")
+    # written, so that the join reads two plain exchanges, which Spark can split where a name is common
+    return named.join(stage(intervals.drop("last"), "line-intervals"), "name")
 
 
 def later_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
