@@ -4,22 +4,25 @@ Sets of different texts that link differ in at most `(|x| + |y|) / 7` elements.
 `m` by size band, so that linked sets agree on at least `m - H` of them (pigeonhole). The signature of a segment is the
 hash of the subset that falls into it. A set of size `s` drops the costliest `m - H_s - 1` segments (threshold -1) and
 indexes the others (threshold 0); the order of cost is the same for all sets, so the cheapest segment two linked sets
-agree on is indexed by both. Empty segments cost most; a set with too few filled ones is also partitioned anew.
+agree on is indexed by both. Empty segments cost most, then signatures that a first pass counts as common; a set with
+too few filled segments is also partitioned anew.
 
 Signatures meet in buckets of bounded size. Those in at most `group` different sets give candidate lists. A signature
-in more sets is hot. Hot groups are first linked to their least member, which joins copies; where a hot group still
-holds several components, its sets are indexed again: all their segments, and, if hot ones exceed the budget, one-deletion
-neighbourhoods of the others (threshold 1), which make up for `m - (H + 1) / 2` hot segments. The rest, sets made
-of hot segments nearly throughout, are compared through their cheapest hot groups, across components only.
-
-All candidates are verified on whole sets. Sets are fingerprinted by 64-bit hashes of shingles and sets.
+in more sets is hot. Lists and hot groups are first linked around a few members each, which joins copies; where a hot
+group still holds several components, its sets are indexed again: all their segments, and, if hot ones exceed the
+budget, one-deletion neighbourhoods of the others (threshold 1), which make up for `m - (H + 1) / 2` hot segments.
+What is left, sets of hot segments nearly throughout, links only if they share a shingle that is not hot (then it gives a
+list), or if such shingles are at most a seventh of both; only pairs of that kind are compared through hot groups.
+
+Candidates are tested on sizes and parity sketches, which rule out most but no link, and the rest is verified on whole
+sets, read again from the text. Sets are fingerprinted by 64-bit hashes of shingles and sets.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmetrics.llm.components import components
@@ -32,6 +35,9 @@ BAND = 4
 BUCKET_SIGNATURES = 1 << 20
 SIGNATURE_BITS = 40
 SLACK = 1.25
+SELDOM = 3  # a signature met more often in one batch is counted
+CENTRES, SIZES_PER_FACTOR = 4, 8
+COMMON = 1_000_000  # signatures of the highest counts that every task knows (8 MB); they steer costs, not results
 
 
 # --- sets -----------------------------------------------------------------------------------------------------------
@@ -74,15 +80,58 @@ def set_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums_of(mix(shingles), bounds) ^ mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for _, _, data, offsets in slices(batch["text"]):
-            shingles, bounds = shingle_sets(data, offsets)
-            n.append(np.diff(bounds))
-            keys.append(set_keys(shingles, bounds))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(np.concatenate(n)), pa.array(np.concatenate(keys))],
-                                         names=["doc_id", "text_key", "n", "key"])
+def sketches(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity bits of each set, about one per element. Two sets differ in no fewer elements than their sketches in bits."""
+    n = np.diff(bounds)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(bits)))
+    at = np.repeat(first[:-1], n) + (shingles & np.repeat((bits - 1).astype(np.uint64), n)).astype(np.int64)
+    parity = np.packbits((np.bincount(at, minlength=int(first[-1])) & 1).astype(np.uint8)[: int(first[-1])], bitorder="little").tobytes()
+    return [parity[i // 8: j // 8] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    if len(x) > len(y):
+        x, y = y, x
+    short, long, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        long = (long >> bits) ^ (long & ((1 << bits) - 1))
+    return (short ^ long).bit_count()
+
+
+SET_SCHEMA = "doc_id long, text_key long, n long, key long, sketch binary, signature long, times long"
+
+
+def _set_rows(seldom: int):
+    """A row per document, and a row per signature that occurs more than `seldom` times in a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, values = np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64)]
+            for first, end, data, offsets in slices(batch["text"]):
+                shingles, bounds = shingle_sets(data, offsets)
+                keys, n = set_keys(shingles, bounds), end - first
+                key, at = np.unique(keys, return_index=True)
+                at = np.sort(at[~np.isin(key, seen)])
+                seen = np.concatenate((seen, key))
+                values.append(signatures(*_some(shingles, bounds, at), everything=True)[1])
+                zero = pa.array(np.zeros(n, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([
+                    batch["doc_id"].slice(first, n), batch["text_key"].slice(first, n), pa.array(np.diff(bounds)), pa.array(keys),
+                    pa.array(sketches(shingles, bounds), pa.binary()), zero, zero], names=["doc_id", "text_key", "n", "key", "sketch", "signature", "times"])
+            value, times = np.unique(np.concatenate(values), return_counts=True)
+            value, times = value[times > seldom].view(np.int64), times[times > seldom]
+            none = pa.nulls(len(value), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(value), pa.binary()), pa.array(value), pa.array(times)],
+                                             names=["doc_id", "text_key", "n", "key", "sketch", "signature", "times"])
+    return run
+
+
+def _some(shingles: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked sets alone."""
+    size = np.diff(bounds)[at]
+    return shingles[ranges(bounds[at], size)], np.concatenate(([0], np.cumsum(size))).astype(np.int64)
 
 
 # --- signatures -----------------------------------------------------------------------------------------------------
@@ -114,8 +163,12 @@ def segments(shingles: np.ndarray, bounds: np.ndarray, picked: np.ndarray, m: np
     return owner[at], np.diff(edges), sums_of(element, edges), where, element, edges
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray, everything: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Set (row) and signature of all segments that are indexed; with `everything`, of all filled segments."""
+def signatures(shingles: np.ndarray, bounds: np.ndarray, everything: bool = False, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Set (row) and signature of all segments that are indexed; with `everything`, of all filled segments.
+
+    `common` lists signatures that cost most. It steers the choice only: any list gives complete results, if it is the same for all sets.
+    """
+    common = np.zeros(0, dtype=np.uint64) if common is None else common
     n = np.diff(bounds)
     rows, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
     for picked, most, own, band in schemes(n):
@@ -128,8 +181,8 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, everything: bool = Fals
             if everything:
                 keep = np.ones(len(owner), dtype=bool)
             else:
-                # larger subsets are rarer; equal sizes in order of their hash
-                order = np.lexsort((value, -size, owner))
+                # signatures known to be common cost most; larger subsets are rarer; equal sizes in order of their hash
+                order = np.lexsort((value, -size, np.isin(value, common), owner))
                 place = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
                 keep = np.zeros(len(owner), dtype=bool)
                 keep[order] = place <= own[owner[order]]
@@ -178,19 +231,18 @@ def blobs(keys: np.ndarray, values: np.ndarray, buckets: int, group: int) -> Ite
                                          names=["bucket", "signatures", "places", "keys", "hot"])
 
 
-def _text_blobs(buckets: int, group: int):
+def _text_blobs(buckets: int, group: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values, seen = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], np.zeros(0, dtype=np.int64)
             for _, _, data, offsets in slices(batch["text"]):
                 shingles, bounds = shingle_sets(data, offsets)
-                key, at = np.unique(set_keys(shingles, bounds), return_index=True)
+                every = set_keys(shingles, bounds)
+                key, at = np.unique(every, return_index=True)
                 at = np.sort(at[~np.isin(key, seen)])  # copies met in this batch are indexed once
                 seen = np.concatenate((seen, key))
-                size = np.diff(bounds)[at]
-                mine = set_keys(shingles, bounds)[at]
-                row, value = signatures(shingles[ranges(bounds[at], size)], np.concatenate(([0], np.cumsum(size))))
-                keys.append(mine[row])
+                row, value = signatures(*_some(shingles, bounds, at), common=common)
+                keys.append(every[at][row])
                 values.append(value)
             yield from blobs(np.concatenate(keys), np.concatenate(values), buckets, group)
     return run
@@ -318,24 +370,76 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch[c].to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+        mask = pa.array([7 * sketch_distance(x, y) <= n + m for n, m, x, y in zip(*columns, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of keys that sizes and sketches do not rule out, written to the shared folder."""
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    return stage(both.mapInArrow(_near, "a long, b long"), "plausible-pairs")
+
+
+def sets_of(keys: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """`key, n, shingles` of the keys, read again from the text of one document each and written to the shared folder."""
+    source = classes.join(keys, "key").select("key", *_place(F.col("row.doc_id"), F.col("row.text_key")))
+    texts = rows.select(*_place(F.col("doc_id"), F.col("text_key")), "text")
+    at = ["_id", "_none", "_text"]
+    wanted = texts.join(source, at).dropDuplicates(at).select("key", "text")
+    return stage(wanted.mapInArrow(_shingle_rows, "key long, n long, shingles binary"), "involved-sets")
+
+
+def _place(doc_id: Column, text_key: Column) -> list[Column]:
+    """Columns that are never null and name a document."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), text_key.alias("_text")]
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of keys whose sets link."""
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("right"))
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("left"))
-    sizes_a, sizes_b = left.select("a", "n_a"), right.select("b", "n_b")
-    # sizes first: shingles travel for pairs that can link only
-    able = pairs.join(sizes_a, "a").join(sizes_b, "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
-    both = able.join(right.drop("n_b"), "b").join(left.drop("n_a"), "a").select("a", "b", "left", "right")
-    return both.mapInArrow(_overlaps, "a long, b long")
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_overlaps, "a long, b long")
+
+
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidate pairs to links."""
+    near = plausible(pairs, classes)
+    keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    return stage(verified(near, sets_of(keys, classes, rows)), "links")
+
+
+def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each list (bounded in length): the pairs across components that sizes and sketches do not rule out."""
+    for batch in batches:
+        out = []
+        for members in batch["members"].to_pylist():
+            members = sorted((x["n"], x["key"], x["component"], x["sketch"]) for x in members)
+            for i, (n, key, component, sketch) in enumerate(members):
+                for m, other, far, longer in members[i + 1:]:
+                    if 4 * n < 3 * m:
+                        break
+                    if component != far and 7 * sketch_distance(sketch, longer) <= n + m:
+                        out.append((min(key, other), max(key, other)))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _pairs_across(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of keys of one list that are in different components and can link."""
+    rows = _labelled(lists.select(F.xxhash64("keys").alias("list"), F.explode("keys").alias("key")), labels)
+    full = rows.join(classes.select("key", "n", "sketch"), "key").groupBy("list").agg(
+        F.collect_list(F.struct("key", "component", "n", "sketch")).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return full.filter("low != high").select("members").mapInArrow(_list_pairs, "a long, b long").distinct()
 
 
-def _pairs_across(rows: DataFrame, group: str) -> DataFrame:
-    """Pairs of keys of one list that are in different components."""
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_set(F.struct("key", "component"))).alias("all"))
-    lists = lists.filter(F.size(F.array_distinct(F.transform("all", lambda x: x.component))) > 1)
-    left = lists.select("all", F.posexplode("all").alias("at", "x"))
-    return left.select("x", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("y")).filter(
-        "x.component != y.component").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of keys that are in different components."""
+    named = lambda k, c: labels.select(F.col("node").alias(k), F.col("component").alias(c))
+    both = pairs.join(named("a", "_low"), "a", "left").join(named("b", "_high"), "b", "left")
+    return both.filter(F.coalesce("_low", "a") != F.coalesce("_high", "b")).select("a", "b")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,47 +464,58 @@ def link(docs: DataFrame, group: int = GROUP, bucket_signatures: int = BUCKET_SI
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = stage(rows.mapInArrow(_set_rows, "doc_id long, text_key long, n long, key long"), "shingle-sets")
+    found = stage(rows.mapInArrow(_set_rows(SELDOM), SET_SCHEMA), "shingle-sets")
+    known = found.filter("times = 0").select("doc_id", "text_key", "n", "key", "sketch")
+    often = found.filter("times > 0").groupBy("signature").agg(F.sum("times").alias("times")).filter(F.col("times") > group)
+    common = np.array([r.signature for r in often.orderBy(F.desc("times"), "signature").limit(COMMON).select("signature").toLocalIterator()], dtype=np.int64).view(np.uint64)
     filled = known.filter("n > 0")
     total = filled.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    classes = stage(filled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("row"),
+                                              F.max("n").alias("n"), F.max("sketch").alias("sketch")), "set-classes")
     buckets = max(8, int(total * 0.4 / bucket_signatures) + 1)
-    lists, hot = grouped(rows.select("text").mapInArrow(_text_blobs(buckets, group), BLOB_SCHEMA), buckets, group, "signature-groups")
-    numbered = lists.withColumn("list", F.xxhash64("keys"))
-
-    involved = lists.select(F.explode("keys").alias("key")).unionByName(hot.select("key")).distinct()
-    source = filled.groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).join(involved, "key").select("key", "row.*")
-    wanted = rows.join(source.select("key", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")),
-                       F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("key", "text")
-    sets = stage(wanted.mapInArrow(_shingle_rows, "key long, n long, shingles binary").dropDuplicates(["key"]), "involved-sets")
-
-    # stars: every list and every hot group around its least key
-    stars = lists.select(F.array_min("keys").alias("a"), F.explode("keys").alias("b")).unionByName(
-        hot.join(hot.groupBy("signature").agg(F.min("key").alias("a")), "signature").select("a", F.col("key").alias("b"))).filter("a != b").distinct()
-    links = stage(verified(stars, sets), "links")
+    lists, hot = grouped(rows.select("text").mapInArrow(_text_blobs(buckets, group, np.sort(common)), BLOB_SCHEMA), buckets, group, "signature-groups")
+
+    stars = _stars(lists, hot, classes)
+    # the least centre of each set first, which joins large groups of copies by one edge a set; then the other stars across components
+    stars = stage(stars, "stars")
+    links = _links(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, rows)
+    links = stage(links.unionByName(_links(_across(stars, components(links)), classes, rows)), "links")
     labels = components(links)
 
     # what stars have not joined: all pairs of lists across components; hot groups across components by more signatures
-    more = _pairs_across(_labelled(numbered.select("list", F.explode("keys").alias("key")), labels), "list")
+    more = _pairs_across(lists, labels, classes)
     open_hot = _labelled(hot, labels)
     undecided = open_hot.join(open_hot.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high"), "signature")
     affected = stage(undecided.select("key").distinct(), "hot-sets")
     if not affected.isEmpty():
-        more = more.unionByName(_hot_pairs(sets.join(affected, "key"), labels, buckets, group))
-    more = stage(verified(more.distinct(), sets), "links")
-    final = components(links.unionByName(more))
-
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("least"))
-    joined = _labelled(classes, final)
+        again = sets_of(affected, classes, rows)
+        lists, hot = grouped(again.mapInArrow(_set_blobs(buckets, group), BLOB_SCHEMA), buckets, group, "hot-set-groups")
+        links = stage(links.unionByName(_links(_across(_stars(lists, hot, classes), labels), classes, rows)), "links")
+        labels = components(links)
+        more = _across(more, labels).unionByName(_hot_pairs(again, lists, hot, labels, classes, buckets, group))
+    final = components(links.unionByName(_links(more.distinct(), classes, rows)))
+
+    joined = _labelled(classes.select("key", "least"), final)
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
     out = known.join(named, "key", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _hot_pairs(sets: DataFrame, labels: DataFrame, buckets: int, group: int) -> DataFrame:
+def _stars(lists: DataFrame, hot: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that join copies at the cost of a row per member: every list around its least key, every hot group, cut by
+    size, around a few members that differ from group to group."""
+    sized = hot.join(classes.select("key", "n"), "key").select("signature", "key", F.floor(F.ln("n") * SIZES_PER_FACTOR).alias("size"))
+    centres = sized.groupBy("signature", "size").agg(
+        F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(CENTRES)])).alias("centres"))
+    around = sized.join(centres, ["signature", "size"]).select(F.explode("centres").alias("a"), F.col("key").alias("b"))
+    pairs = lists.select(F.array_min("keys").alias("a"), F.explode("keys").alias("b")).unionByName(around)
+    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hot_pairs(sets: DataFrame, lists: DataFrame, hot: DataFrame, labels: DataFrame, classes: DataFrame, buckets: int, group: int) -> DataFrame:
     """Candidates between sets that share hot signatures but no component yet."""
-    lists, hot = grouped(sets.mapInArrow(_set_blobs(buckets, group), BLOB_SCHEMA), buckets, group, "hot-set-groups")
-    pairs = _pairs_across(_labelled(lists.select(F.xxhash64("keys").alias("list"), F.explode("keys").alias("key")), labels), "list")
+    pairs = _pairs_across(lists, labels, classes)
 
     marked = stage(sets.join(hot.groupBy("key").agg(F.collect_set("signature").alias("hot")), "key").withColumn("buckets", F.lit(buckets)), "hot-marked")
     near = stage(marked.mapInArrow(_deletions, DELETION_SCHEMA).distinct(), "one-deletions")
@@ -411,13 +526,31 @@ def _hot_pairs(sets: DataFrame, labels: DataFrame, buckets: int, group: int) ->
     across = labelled.join(_labelled(less.select("signature", "key"), labels).withColumnRenamed("key", "b"), "signature").filter("low != component AND a != b")
     pairs = pairs.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    # sets of hot segments nearly throughout, through their hot groups
-    ranked = _labelled(marked.mapInArrow(_beyond, BEYOND_SCHEMA), labels)
-    ranked = stage(ranked.select("severe", "n", "component", "key", F.explode("hot").alias("signature")), "beyond-budget")
-    left = ranked.filter("severe").select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("low"))
-    right = ranked.select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), "component")
-    joined = left.join(right, "signature").filter("low != component AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return pairs.unionByName(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # sets of hot segments nearly throughout: linked ones share a shingle that is not hot, or have few of those between them
+    beyond = stage(_labelled(marked.mapInArrow(_beyond, BEYOND_SCHEMA), labels), "beyond-budget")
+    rest = sets.join(beyond.select("key"), "key")
+    shared, common = grouped(rest.mapInArrow(_shingle_blobs(buckets, group), BLOB_SCHEMA), buckets, group, "shingle-groups")
+    pairs = pairs.unionByName(_pairs_across(shared, labels, classes))
+    few = beyond.join(common.groupBy("key").agg(F.count("*").alias("hot_shingles")), "key")
+    few = stage(few.select("key", "n", "component", "severe", (F.col("n") - F.col("hot_shingles")).alias("own"), F.explode("hot").alias("signature")), "hot-members")
+    left = few.filter("severe AND 7 * own <= n").select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("low"))
+    right = few.select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("component").alias("high"))
+    joined = left.join(right, "signature").filter("low != high AND 7 * (own_a + own_b) <= n_a + n_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    # the larger own part may be on the side that is severe
+    other = few.filter("severe AND 7 * own > n").select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("low"))
+    low_own = few.filter("7 * own <= n").select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("component").alias("high"))
+    turned = other.join(low_own, "signature").filter("low != high AND 7 * (own_a + own_b) <= n_a + n_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    ends = joined.select("a", "b").unionByName(turned.select("a", "b"))
+    return pairs.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _shingle_blobs(buckets: int, group: int):
+    """Every shingle of sets at hand as a signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles, bounds = _sets(batch)
+            yield from blobs(np.repeat(np.asarray(batch["key"]), np.diff(bounds)), shingles, buckets, group)
+    return run
 
 
 BEYOND_SCHEMA = "key long, n long, hot array<long>, severe boolean"
@@ -428,7 +561,7 @@ def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shingles, bounds = _sets(batch)
         lacking, severe = (np.zeros(len(batch), dtype=bool) for _ in range(2))
-        for picked, most, own, band, _, _, unfit, _, _ in _second_look(batch, shingles, bounds):
+        for picked, most, own, _, _, _, unfit, _, _ in _second_look(batch, shingles, bounds):
             m = np.ceil(SLACK * most).astype(np.int64) + 1
             lacking[picked] |= unfit > m - own - 1
             severe[picked] |= 2 * unfit >= 2 * m - own
