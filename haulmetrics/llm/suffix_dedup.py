@@ -27,7 +27,8 @@ LENGTH = 400
 GRAM = 32
 SHALLOW = 64
 SYMBOL = 8
-MAX_SORTED = 256
+MAX_SORTED = 65_536  # contexts of one gram that a task sorts (about 50 MB)
+PAIRWISE = 256
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 POSITION_BITS = np.uint64(32)
 
@@ -123,17 +124,41 @@ def blind_trie_sort(texts: list[bytes], group: list[int]) -> list[int]:
     return out
 
 
-def _agreements(texts: list[bytes]) -> np.ndarray:
+def _agreements(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Common prefix lengths of all pairs, as least values of the sorted texts' neighbours' ones."""
-    order, common = deep_shallow_sort(texts)
-    n = len(texts)
+    n = len(order)
     out = np.zeros((n, n), dtype=np.int64)
-    common = np.array(common, dtype=np.int64)
     for k in range(n - 1):
         out[order[k], order[k + 1:]] = np.minimum.accumulate(common[k + 1:])
     return np.maximum(out, out.T)
 
 
+def reaches(before: list[bytes], after: list[bytes], length: int, pairwise: int = PAIRWISE) -> tuple[np.ndarray, np.ndarray]:
+    """How far to the left and right of its anchor each context is covered by windows that another one has too (0, 0: not at all).
+
+    Read from the two sorted orders: for few contexts, pair by pair; for many, offset by offset, as the contexts that are
+    in one interval of common prefixes in both orders.
+    """
+    (order_l, common_l), (order_r, common_r) = (tuple(np.array(x, dtype=np.int64) for x in deep_shallow_sort(t)) for t in (before, after))
+    n = len(before)
+    if n <= pairwise:
+        left, right = _agreements(order_l, common_l), _agreements(order_r, common_r)
+        agree = left + right >= length
+        np.fill_diagonal(agree, False)
+        return np.where(agree, left, 0).max(1), np.where(agree, right, 0).max(1)
+    size_l, size_r = np.array([len(t) for t in before]), np.array([len(t) for t in after])
+    left, right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    at_l, at_r = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for offset in range(max(0, length - int(size_r.max())), min(length, int(size_l.max())) + 1):
+        able = np.flatnonzero((size_l >= offset) & (size_r >= length - offset))
+        at_l[order_l], at_r[order_r] = np.cumsum(common_l < offset), np.cumsum(common_r < length - offset)
+        _, group, times = np.unique(at_l[able] * (n + 1) + at_r[able], return_inverse=True, return_counts=True)
+        shared = able[times[group] > 1]
+        left[shared] = offset
+        right[shared] = np.maximum(right[shared], length - offset)
+    return left, right
+
+
 # --- anchors ------------------------------------------------------------------------------------------------------
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -234,12 +259,9 @@ def _sorted_covers(length: int):
     def covers(group: list[dict]) -> list[tuple]:
         if len(group) < 2:
             return []
-        left, right = (_agreements([g[c] for g in group]) for c in ("before", "after"))
-        agree = left + right >= length
-        np.fill_diagonal(agree, False)
-        left, right = np.where(agree, left, 0).max(1), np.where(agree, right, 0).max(1)
+        left, right = reaches([g["before"] for g in group], [g["after"] for g in group], length)
         return [(g["doc_id"], g["text_key"], g["anchor"] - int(left[k]), g["anchor"] + int(right[k]))
-                for k, g in enumerate(group) if g["n"] == 1 and agree[k].any()]
+                for k, g in enumerate(group) if g["n"] == 1 and right[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []

@@ -45,3 +45,17 @@ def test_removed_bytes_equal_brute_force(spark, length, gram, max_sorted):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(frame, length, gram, max_sorted).collect()]
     want = [(d, *x) for (d, _), x in zip(rows, brute_force([(t or "").encode() for _, t in rows], length), strict=True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_reaches_agree_however_they_are_read():
+    rng = random.Random(9)
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    shared = [(some(12), some(20)) for _ in range(3)]
+    before, after = [], []
+    for _ in range(60):
+        x, y = rng.choice(shared)
+        before.append(x[:rng.randint(0, 12)] + some(rng.randint(0, 3)))
+        after.append((y[:rng.randint(4, 16)] + some(rng.randint(0, 5)))[:16])
+    one, two = (suffix_dedup.reaches(before, after, 16, pairwise) for pairwise in (1000, 1))
+    assert one[1].any() and not one[1].all()
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
