@@ -2,13 +2,13 @@
 
 Vectors get one more component so that all have the same length, which turns the largest inner product into the
 smallest distance, and are rotated at random, so that any few components estimate the whole distance. They are put
-into lists around centroids. A query gets an upper bound of its k-th distance from a sample of fixed size, and probes
-the lists that the triangle inequality does not rule out. Inside a list, distances are added up by blocks of columns;
+into lists around centroids. A query gets an upper bound of its k-th distance from a sample of fixed size, which has one
+row per id, and probes the lists that the triangle inequality does not rule out. Inside a list, distances are added up by blocks of columns;
 after each block a hypothesis test abandons the candidates whose partial distance is too large for them to end below
 the bound. Survivors are scored exactly, in double precision, on the original vectors.
 
-Lists are cut into blocks of rows, and queries into blocks too, so no task holds more than one block of each, even if
-a third of all vectors are equal. The driver sees the sample, and one row per list.
+Rows that repeat id and vector are dropped first. Lists are cut into blocks of rows, and queries into blocks too, so no
+task holds more than one block of each, even if a third of all vectors are equal or have the same id. The driver sees the sample, and one row per list.
 """
 
 from collections.abc import Iterator
@@ -60,14 +60,22 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return rows.filter(F.size("embedding") == (usual.n if usual else -1))
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """`rows` without those that repeat both id and vector; written to the shared folder if any id is there twice."""
+    facts = rows.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).first()
+    return rows if facts.ids == facts.n else stage(rows.dropDuplicates(["vec_id", "embedding"]), "vectors")
+
+
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, seed: int = 11) -> Index | None:
-    """Rotation, length bound (over all rows), and centroids by k-means on a sample of about `sample_rows` rows."""
+    """Rotation, length bound (over all rows), and centroids by k-means on a sample of about `sample_rows` ids, one vector of each."""
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
-    facts = rows.agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.max(F.size("embedding")).alias("d")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.max(square).alias("longest"),
+                     F.max(F.size("embedding")).alias("d")).first()
     if not facts.n:
         return None
-    share = int(min(1.0, sample_rows / facts.n) * (1 << 30))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < max(share, 1)).toPandas()
+    share = int(min(1.0, sample_rows / facts.ids) * (1 << 30))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < max(share, 1))
+    drawn = drawn.groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")).toPandas()
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.normal(size=(facts.d + 1, facts.d + 1)))
     empty = Index(facts.d, rotation, facts.longest, np.zeros((1, facts.d + 1)), np.zeros(0, dtype=np.int64), np.zeros((0, facts.d + 1)))
@@ -125,7 +133,7 @@ def probes(queries: DataFrame, index: Index, k: int, radius: np.ndarray, blocks:
                     batch["query_block"].take(take), batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(bound[query[which]]),
                 ], names=["list", "block", "query_block", "vec_id", "embedding", "bound"])
 
-    blocked = queries.withColumn("query_block", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(query_blocks)).cast("int"))
+    blocked = queries.withColumn("query_block", F.pmod(F.xxhash64(F.lit("query"), "vec_id", "embedding"), F.lit(query_blocks)).cast("int"))
     return blocked.select("vec_id", "embedding", "query_block").mapInArrow(
         run, "list int, block int, query_block int, vec_id long, embedding array<double>, bound double")
 
@@ -172,6 +180,10 @@ def _best(index: Index, k: int, confidence: float):
             other = asked[query] != ids[found]
             query, found = query[other], found[other]
             score = np.concatenate([np.zeros(0)] + [(sought[query[a: a + (1 << 18)]] * vectors[found[a: a + (1 << 18)]]).sum(1) for a in range(0, len(query), 1 << 18)])
+            best = np.lexsort((-score, ids[found], query))
+            same = (np.diff(query[best]) == 0) & (np.diff(ids[found[best]]) == 0)
+            best = best[np.concatenate((np.ones(min(len(best), 1), dtype=bool), ~same))]
+            query, found, score = query[best], found[best], score[best]
             rank = np.lexsort((ids[found], -score, query))
             query, found, score = query[rank], found[rank], score[rank]
             place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -191,7 +203,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, k
     usable vectors, or with one, the result is empty. The scan's tests can lose a neighbour by chance; `confidence`
     sets how rarely.
     """
-    rows = usable(vectors, key, vector)
+    rows = distinct(usable(vectors, key, vector))
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(rows, list_rows=list_rows)
     if index is None:
@@ -204,7 +216,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, k
     query_blocks = max(1, -(-sum(r.asked for r in facts) // query_rows))
     asked = probes(listed.filter(is_query).select("vec_id", "embedding"), index, k, radius, blocks, query_blocks)
     per_list = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("list") + 1)
-    offered = listed.select("list", F.pmod(F.xxhash64("vec_id"), per_list).cast("int").alias("block"),
+    offered = listed.select("list", F.pmod(F.xxhash64("vec_id", "embedding"), per_list).cast("int").alias("block"),
                             F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "embedding")
     cell = ("list", "block", "query_block")
     near = offered.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_best(index, k, confidence), "query_id long, vec_id long, score double")

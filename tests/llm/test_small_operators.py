@@ -126,3 +126,31 @@ def test_neighbours_equal_brute_force(spark):
         if 600 <= q < 900:
             assert found[q][:5] == best[:5]
     assert set(found) == set(range(0, 1000, 20)) and right >= 0.97 * 50 * 20
+
+
+def best_ids(rows, q, k=20):
+    """The `k` ids other than `q` of the largest inner product of any of their vectors with any of the query's."""
+    sought, best = np.stack([v for i, v in rows if i == q]), {}
+    for i, v in rows:
+        if i != q:
+            best[i] = max(best.get(i, -np.inf), (sought @ v).max())
+    return sorted(best, key=lambda i: (-best[i], i))[:k]
+
+
+@pytest.mark.parametrize("case", ["doubled", "crowded", "hot"])
+def test_neighbours_of_repeated_ids_equal_brute_force(spark, case):
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(rng.normal(size=(400, 24))))
+    if case == "doubled":  # every row stands there twice
+        rows += rows
+    elif case == "crowded":  # 40 different vectors of one id beside each query
+        rows += [(1001 + q, v * (1 + 0.01 * rng.normal(size=24))) for q, v in rows[::20] for _ in range(40)]
+    else:  # one id, itself a query, holds most rows: half of them equal
+        rows += [(1000, rng.normal(size=24)) for _ in range(400)] + [(1000, rows[7][1])] * 400
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    found = {}
+    for r in sorted(ann.search(frame, list_rows=100, block_rows=64, query_rows=16).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    asked = sorted({i for i, _ in rows if i % 20 == 0})
+    assert sorted(found) == asked and all(len(x) == len(set(x)) == 20 for x in found.values())
+    assert sum(len(set(best_ids(rows, q)) & set(found[q])) for q in asked) >= 0.97 * 20 * len(asked)
