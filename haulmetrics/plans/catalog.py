@@ -496,6 +496,13 @@ def _(t):
     return route.enrich(t.merged, combined).select("trip_id", "timestamp", "speed_kmh", "speed_kmh_combined", "fuel_level")
 
 
+@query("f02_enrichment_all_rows")
+def _(t):
+    """Every row enriched from all engine rows; the query above, like its SQL answer, takes those above 60 km/h only."""
+    combined = t.engine_rows.select("trip_id", "timestamp", "speed_kmh", "fuel_level")
+    return route.enrich(t.merged, combined).select("trip_id", "timestamp", "speed_kmh", "speed_kmh_combined", "fuel_level")
+
+
 @query("f03_route_efficiency")
 def _(t):
     return t.scored.select("trip_id", "timestamp", "speed_mps", "dist_to_prev", "time_delta", "implied_speed",
