@@ -619,7 +619,8 @@ def _(t):
     return stats.kruskal_wallis(t.analysis, KRUSKAL_CATEGORIES, t.target, k=BOX_CATEGORIES)
 
 
-SAMPLE_ROWS = 500
+# Rows of the checked sample, and of the report's.
+SAMPLE_ROWS, REPORT_SAMPLE_ROWS = 500, 20_000
 
 
 @query("f25_seeded_sample")
@@ -633,6 +634,11 @@ def _(t):
         "*", found.alias("rows_in_table"), again.alias("rows_repeated"))
 
 
+@query("f25_sample_rows")
+def _(t):
+    return stats.seeded_sample(t.engine_rows.select("vehicle_id", "s", "event_id", "speed_kmh"), "event_id", REPORT_SAMPLE_ROWS)
+
+
 @query("f26_map_points")
 def _(t):
     return stats.map_points(t.analysis, t.target)
@@ -802,6 +808,11 @@ def _(t):
     return out.select("trip_id", *[f"{z}{x}" for z in model.ZONE_COLUMNS for x in ("_valid", "_per_point")])
 
 
+@query("h15_zone_ids")
+def _(t):
+    return model.apply_zones(t.frame, model.fit_zones(t.frame.where("is_train"))).select("trip_id", *model.ZONE_COLUMNS)
+
+
 @query("h16_target_encoding")
 def _(t):
     rows = t.frame.where("is_train")
@@ -861,11 +872,21 @@ def _(t):
     return _finite_predictions(t.trained[0].ridge.transform(_vectors(t)))
 
 
+@query("h21_ridge_predictions")
+def _(t):
+    return t.trained[0].ridge.transform(_vectors(t)).select("trip_id", "is_train", features.TARGET, "prediction")
+
+
 @query("h22_boosted_trees")
 def _(t):
     return _finite_predictions(t.trained[0].trees.transform(_vectors(t)))
 
 
+@query("h22_boosted_tree_predictions")
+def _(t):
+    return t.trained[0].trees.transform(_vectors(t)).select("trip_id", "is_train", features.TARGET, "prediction")
+
+
 def _score_flags(scores: DataFrame) -> DataFrame:
     """Rows per model and split, and what must hold for scores of any model."""
     return scores.select("model", "split", "n", (F.col("mae") <= F.col("rmse") + 1e-12).alias("mae_below_rmse"),
@@ -877,12 +898,22 @@ def _(t):
     return _score_flags(t.trained[1])
 
 
+@query("h23_regression_scores")
+def _(t):
+    return t.trained[1]
+
+
 @query("h23_trips_model")
 def _(t):
     """Scores of the trips-only model, which has a target of its own."""
     return _score_flags(t.trained_on_trips[1])
 
 
+@query("h23_trips_model_scores")
+def _(t):
+    return t.trained_on_trips[1]
+
+
 @query("h24_feature_importance")
 def _(t):
     """Families of the numeric inputs, and whether the importances of all inputs add up to 1."""
@@ -894,6 +925,12 @@ def _(t):
         "feature", "is_telemetry", "is_geo", "is_time", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("adds_up"))
 
 
+@query("h24_importance_values")
+def _(t):
+    """Importances of all inputs, one-hot ones too."""
+    return model.feature_importance(t.trained[0], model.feature_names(_vectors(t)))
+
+
 @query("h25_model_comparison")
 def _(t):
     """Whether the comparison names the better model, and its gains follow from the scores."""
@@ -904,6 +941,11 @@ def _(t):
                     ((F.col("mae_gain_percent") > 0) == (F.col("trees_mae") < F.col("ridge_mae"))).alias("gain_follows"))
 
 
+@query("h25_comparison_values")
+def _(t):
+    return model.compare_models(t.trained[1])
+
+
 @query("h26_model_bundle")
 def _(t):
     rounds = F.col("best_iteration").between(1, model.BOOSTING_ROUNDS["telemetry"])
@@ -911,6 +953,11 @@ def _(t):
                                         "train_size", "test_size", rounds.alias("rounds_valid"), (F.col("test_mae") < 1).alias("mae_valid"))
 
 
+@query("h26_bundle_metadata")
+def _(t):
+    return t.trained[0].metadata
+
+
 @query("h27_target_correlations", digits=6)
 def _(t):
     return features.target_correlations(t.frame)
@@ -954,3 +1001,9 @@ def _(t):
     score = F.col("predicted_route_efficiency")
     return model.score_requests(_requests(t), t.trained[0]).select(
         "trip_id", "vehicle_id", "rejected_fields", score.isNotNull().alias("scored"), F.coalesce(score.between(0, 1), F.lit(True)).alias("in_range"))
+
+
+@query("h31_batch_scores")
+def _(t):
+    return model.score_requests(_requests(t), t.trained[0]).select(
+        "trip_id", "vehicle_id", "rejected_fields", "predicted_route_efficiency", "model_version")
