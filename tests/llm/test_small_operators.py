@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from haulmetrics.llm import ann, decontaminate, line_dedup, mixing
+from haulmetrics.llm.queries import QUERIES
 
 
 def filled(sizes, weights, share, cap):
@@ -154,3 +155,12 @@ def test_neighbours_of_repeated_ids_equal_brute_force(spark, case):
     asked = sorted({i for i, _ in rows if i % 20 == 0})
     assert sorted(found) == asked and all(len(x) == len(set(x)) == 20 for x in found.values())
     assert sum(len(set(best_ids(rows, q)) & set(found[q])) for q in asked) >= 0.97 * 20 * len(asked)
+
+
+def test_a_query_returns_proximity_matches(spark, tmp_path):
+    spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog tonight again")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "again tonight the dog was lazy and the fox was quick and brown and jumps over it"), (2, "a quick word"),
+            (3, "see: quick brown fox jumps over the lazy dog tonight again"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_hit, r.contaminated, r.n_near_items) for r in QUERIES["op6_proximity_matches"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, False, 1), 2: (0, False, 0), 3: (10, True, 1), 4: (0, False, 0)}
