@@ -4,10 +4,8 @@ import html
 import re
 from typing import NamedTuple
 
-# Quoted values are bounded, so that a page of unclosed quotes costs no more than its length times a constant.
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>""",
-    re.DOTALL)
+START = re.compile(r"<!--|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|<[!?/]")
+EVENT = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 # HTML's own element groups.
@@ -16,7 +14,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noframes xmp".split())
-HIDDEN = frozenset("template svg math object iframe canvas audio video select button datalist map noscript".split())
+HIDDEN = frozenset("template svg iframe canvas audio video select button datalist noscript".split())
 RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in RAW}
 
 #: Words in class, id and role values, by what they usually mark.
@@ -66,6 +64,56 @@ def node_features(tag: str, attributes: str) -> Features:
     return frozenset(out)
 
 
+class Token(NamedTuple):
+    start: int
+    end: int
+    tag: str  # empty for comments and declarations
+    closes: bool
+    rest: str  # attributes
+
+
+class Scanner:
+    """Tags and comments of a page. A tag ends at the first `>` outside quoted values, or at the first one if a quote stays open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.open: set[int] = set()  # quotes from which on no tag ends: each is walked once, so the work stays linear
+
+    def next(self, at: int) -> Token | None:
+        page = self.page
+        match = START.search(page, at) if at <= self.last else None
+        if match is None or match.start() > self.last:
+            start = page.find("<!--", at)
+            return None if start < 0 else Token(start, self._comment_end(start), "", False, "")
+        start = match.start()
+        if match[0] == "<!--":
+            return Token(start, self._comment_end(start), "", False, "")
+        if match["tag"] is None:
+            return Token(start, page.index(">", match.end()) + 1, "", False, "")
+        end = self._tag_end(match.end())
+        return Token(start, end + 1, match["tag"].lower(), bool(match["end"]), page[match.end(): end])
+
+    def _comment_end(self, start: int) -> int:
+        end = self.page.find("-->", start + 4)
+        return len(self.page) if end < 0 else end + 3
+
+    def _tag_end(self, at: int) -> int:
+        page, spot, passed = self.page, at, []
+        while (event := EVENT.search(page, spot)) is not None:
+            here = event.start()
+            if page[here] == ">":
+                return here
+            if here in self.open:
+                break
+            passed.append(here)
+            close = page.find(page[here], here + 1)
+            if close < 0:
+                break
+            spot = close + 1
+        self.open.update(passed)
+        return page.index(">", at)
+
+
 def leaf_blocks(page: str, known: dict | None = None) -> list[Block]:
     """Blocks that have text, in page order. `known` keeps node features between pages."""
     known = {} if known is None else known
@@ -92,18 +140,17 @@ def leaf_blocks(page: str, known: dict | None = None) -> list[Block]:
             parts.clear()
         linked = 0
 
+    scanner = Scanner(page)
     while True:
-        match = TOKEN.search(page, at)
-        if match is None:
+        token = scanner.next(at)
+        if token is None:
             text(page[at:])
             break
-        text(page[at: match.start()])
-        at = match.end()
-        tag = match["tag"] or match["tag2"]
-        if tag is None:
+        text(page[at: token.start])
+        at, tag, rest = token.end, token.tag, token.rest
+        if not tag:
             continue
-        tag, rest = tag.lower(), match["rest"] if match["tag"] else match["rest2"]
-        if match["end"] or match["end2"]:
+        if token.closes:
             if tag == "head":
                 in_head = False
             elif tag in HIDDEN:

@@ -54,6 +54,14 @@ def test_leaf_blocks():
     assert leaf_blocks("<p>a<script>never closed") and leaf_blocks("") == [] and leaf_blocks("<!-- open") == []
 
 
+def test_formulas_and_long_attributes():
+    long = "x > y " * 5000
+    page = (f"<p>so <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds</p><p data-x=\"{long}\" data-y='{long}'>after</p>"
+            "<object data=f><p>fallback</p></object><map name=m>left <a href=l>door</a></map>")
+    assert [b.text for b in leaf_blocks(page)] == ["so a+b holds", "after", "fallback", "left door"]
+    assert [b.text for b in leaf_blocks("<p><i '>z" + "<a" * 200_000)] == ["z" + "<a" * 200_000]
+
+
 def test_page_with_everything_around_the_article(spark):
     page = ("<body><header><h2>Site</h2></header><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"
             "<main><article><h1>Title here</h1><p>First sentence of the text, which is long enough to be one.</p><p>Second paragraph is here.</p></article></main>"
