@@ -1,9 +1,10 @@
 """One query per operator, over its whole table with production parameters, and SQL answers where SQL can give them."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmetrics.llm import ann, decontaminate, html_extract, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from haulmetrics.llm import ann, byte_bpe, decontaminate, hard_negatives, html_extract, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_alignment, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +62,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_jaccard_join, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op6_proximity_matches, op7_line_dedup, op8_nearest, op9_suffix_dedup, op10_pii)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                          F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_jaccard_join, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op6_proximity_matches, op7_line_dedup, op8_nearest, op9_suffix_dedup, op10_pii, op11_byte_bpe,
+                                  op12_token_alignment, op13_hard_negatives)}
