@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulmetrics.functions.scalars import ratio
 from haulmetrics.functions.tails import chi_square_tail, student_two_sided
+from haulmetrics.operators.pair_sums import correlations
 from haulmetrics.operators.quantiles import HOT_ROWS, aggregate_with_quantiles, as_struct, value_range
 from haulmetrics.operators.timeline import Timeline
 
@@ -82,20 +83,17 @@ def _table(rows: list[list[int]]) -> Column:
     return F.expr(f"array({', '.join(lists)})")
 
 
-def _named(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    names = F.array(*map(F.lit, columns))
-    rest = [c for c in pairs.columns if c not in ("i", "j")]
-    return pairs.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), *rest)
+def _named(found: DataFrame, columns: list[str], places: list[tuple[int, int]], name: str) -> DataFrame:
+    """Pairs that have a row complete for them, by column name."""
+    x, y = (F.array(*[F.lit(columns[p[k]]) for p in places])[F.col("pair")] for k in (0, 1))
+    return found.select(x.alias("x"), y.alias("y"), "n", F.col("r").alias(name))
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Linear correlation of each pair over the rows complete for it."""
+    """Linear correlation of each pair over the rows complete for it, from one scan."""
     columns = _columns_of(pairs)
-    partners = _table([[columns.index(y) for x, y in pairs if x == c] for c in columns])
-    cells = (df.select(_doubles(columns).alias("v")).select("v", F.posexplode("v").alias("i", "vx"))
-             .where(F.col("vx").isNotNull()).select("v", "i", "vx", F.explode(partners[F.col("i")]).alias("j"))
-             .select("i", "j", "vx", F.col("v")[F.col("j")].alias("vy")).where(F.col("vy").isNotNull()))
-    return _named(cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("vx", "vy").alias("pearson_r")), columns)
+    places = [(columns.index(x), columns.index(y)) for x, y in pairs]
+    return _named(correlations(df.select(_doubles(columns).alias("v")), len(columns), places), columns, places, "pearson_r")
 
 
 def _complete_counts(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], int]:
@@ -152,12 +150,10 @@ def spearman_pairs(df: DataFrame, row_id: str, pairs: list[tuple[str, str]],
     entry = F.struct((F.col("i") * size + F.col("within")).alias("k"), "rank")
     by_row = (cells.join(ranks, ["i", "within", "bucket", "value"]).groupBy(row_id)
               .agg(F.map_from_entries(F.collect_list(entry)).alias("ranks")))
-    lookup = F.expr("array({})".format(", ".join(
-        f"named_struct('i', {i}, 'j', {j}, 'kx', {kx}, 'ky', {ky})" for i, j, kx, ky in lookups)))
-    both = by_row.select("ranks", F.inline(lookup)).select(
-        "i", "j", F.try_element_at("ranks", "kx").alias("rx"), F.try_element_at("ranks", "ky").alias("ry"))
-    return _named(both.where(F.col("rx").isNotNull() & F.col("ry").isNotNull()).groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman_r")), columns)
+    keys = sorted({k for *_, kx, ky in lookups for k in (kx, ky)})
+    wide = by_row.select(F.array(*[F.try_element_at("ranks", F.lit(k)) for k in keys]).alias("v"))
+    found = correlations(wide, len(keys), [(keys.index(kx), keys.index(ky)) for *_, kx, ky in lookups])
+    return _named(found, columns, [(i, j) for i, j, *_ in lookups], "spearman_r")
 
 
 def feature_ranking(df: DataFrame, row_id: str, features: list[str], target: str,
@@ -180,8 +176,8 @@ def _full_matrix(pairs: DataFrame, names: list[str], value: str) -> DataFrame:
     """Both triangles and the diagonal, one row per cell."""
     own = F.explode(F.array(*map(F.lit, names))).alias("x")
     diagonal = pairs.sparkSession.range(1).select(own).select("x", F.col("x").alias("y"), F.lit(1.0).alias(value))
-    upper = pairs.select("x", "y", value)
-    return upper.unionByName(upper.select(F.col("y").alias("x"), F.col("x").alias("y"), value)).unionByName(diagonal)
+    both = F.array(F.struct("x", "y", value), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), value))
+    return pairs.select(F.inline(both)).unionByName(diagonal)
 
 
 def pearson_matrix(df: DataFrame, features: list[str], target: str, most: int | None = None) -> DataFrame:
