@@ -9,6 +9,8 @@ same result at every size. NaN counts as missing, like NULL.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from haulmetrics.plans.staging import stage
+
 HOT_ROWS = 200_000
 HOT_GROUPS_TO_BROADCAST = 100_000
 FINE, COARSE = 2 ** 20, 2 ** 8  # ranges per factor e
@@ -32,33 +34,28 @@ def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
                              hot_rows: int = HOT_ROWS) -> DataFrame:
     """`keys`, `aggs`, and one column per `quantiles` entry `{name: (column, p)}`.
 
-    Group keys must not be NULL. The input is read more than once (group sizes first), so pass a
-    staged table or a cheap plan.
+    Group keys must not be NULL. The input is read twice: once for group sizes and `aggs`, which are written to the
+    shared folder, and once for the values. Where a group is hot, the second pass writes the values' counts, and every further
+    step reads these.
     """
-    if not keys:
-        return _whole_table(df, aggs, quantiles, hot_rows)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > hot_rows).select(*keys))
-    hot_groups = hot.count()
-    if hot_groups == 0:
-        return _small_groups(df, keys, aggs, quantiles)
-    if hot_groups <= HOT_GROUPS_TO_BROADCAST:
-        hot = F.broadcast(hot)
-    cold = _small_groups(df.join(hot, keys, "left_anti"), keys, aggs, quantiles)
-    rows = df.join(hot, keys, "left_semi")
-    picked = _by_ranges(rows, keys, quantiles)
-    groups = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
-    return cold.unionByName(groups.join(picked, keys, "left"))
-
-
-def _whole_table(df: DataFrame, aggs: list[Column], quantiles: dict[str, tuple[str, float]], hot_rows: int) -> DataFrame:
-    if df.count() <= hot_rows:
-        return _small_groups(df, [], aggs, quantiles)
-    picked = _by_ranges(df, [], quantiles)
-    if not aggs:
+    if not quantiles:
+        return df.groupBy(*keys).agg(*aggs)
+    if not keys and not aggs:
+        groups, hot = None, df.count() > hot_rows
+    else:
+        groups = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggs), "groups")
+        hot = groups.agg(F.max("_rows")).first()[0]
+        hot = hot is not None and hot > hot_rows
+    if not hot:
+        picked = _small_groups(df, keys, quantiles)
+    else:
+        counts = stage(_counts(df, keys, quantiles), "value-counts")
+        picked = _by_ranges(counts, keys, quantiles) if groups is None else _by_size(counts, groups, keys, quantiles, hot_rows)
+    if groups is None:
         return picked
-    values = as_struct(picked)
-    return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")
+    if not keys:
+        return groups.drop("_rows").withColumn("_q", as_struct(picked)).select("*", "_q.*").drop("_q")
+    return groups.drop("_rows").join(picked, keys, "left")
 
 
 def _by_column(quantiles: dict[str, tuple[str, float]]) -> dict[str, list[tuple[str, float]]]:
@@ -68,28 +65,44 @@ def _by_column(quantiles: dict[str, tuple[str, float]]) -> dict[str, list[tuple[
     return out
 
 
-def _small_groups(df: DataFrame, keys: list[str], aggs: list[Column],
-                  quantiles: dict[str, tuple[str, float]]) -> DataFrame:
+def _small_groups(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
     exact, picks = [], {}
     for i, (c, wanted) in enumerate(_by_column(quantiles).items()):
         exact.append(F.percentile(missing_nan(F.col(c)), F.array(*[F.lit(p) for _, p in wanted])).alias(f"_q{i}"))
         picks.update({name: F.col(f"_q{i}")[j].alias(name) for j, (name, _) in enumerate(wanted)})
-    out = df.groupBy(*keys).agg(*aggs, *exact)
-    kept = [c for c in out.columns if not c.startswith("_q")]
-    return out.select(*kept, *[picks[name] for name in quantiles])
+    return df.groupBy(*keys).agg(*exact).select(*keys, *[picks[name] for name in quantiles])
+
+
+def _counts(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
+    """Rows of each group, column and value, with the value's ranges. Equal values meet on the map side."""
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), missing_nan(F.col(c)).alias("_v")) for i, c in enumerate(_by_column(quantiles))])
+    return (df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull())
+            .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_fine", value_range(F.col("_v"), FINE)).withColumn("_coarse", value_range(F.col("_v"), COARSE)))
+
+
+def _by_size(counts: DataFrame, groups: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]], hot_rows: int) -> DataFrame:
+    """Quantiles of small groups from their counts with the built-in `percentile`, of hot ones from ranges."""
+    if not keys:
+        return _by_ranges(counts, keys, quantiles)
+    hot = groups.where(F.col("_rows") > hot_rows).select(*keys)
+    if hot.count() <= HOT_GROUPS_TO_BROADCAST:
+        hot = F.broadcast(hot)
+    wanted = F.array(*[F.lit(float(p)) for p in sorted({p for _, p in quantiles.values()})])
+    place = {p: i for i, p in enumerate(sorted({p for _, p in quantiles.values()}))}
+    column = {c: i for i, c in enumerate(_by_column(quantiles))}
+    each = counts.join(hot, keys, "left_anti").groupBy(*keys, "_c").agg(F.percentile("_v", wanted, F.col("_n")).alias("_q"))
+    cold = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == column[c], F.col("_q")[place[p]])).alias(name) for name, (c, p) in quantiles.items()])
+    return cold.unionByName(_by_ranges(counts.join(hot, keys, "left_semi"), keys, quantiles))
 
 
-def _by_ranges(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
-    """`keys` (of groups that have a value) and the quantiles.
+def _by_ranges(counts: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:
+    """`keys` (of groups that have a value) and the quantiles, from counts of values.
 
-    Equal values meet on the map side. What is gathered per group and column is one row per coarse range; per coarse
-    range that holds a rank, one row per fine range in it; per fine range that holds one, its distinct values.
+    What is gathered per group and column is one row per coarse range; per coarse range that holds a rank, one row per fine
+    range in it; per fine range that holds one, its distinct values.
     """
     by_column = _by_column(quantiles)
-    cells = F.array(*[F.struct(F.lit(i).alias("_c"), missing_nan(F.col(c)).alias("_v")) for i, c in enumerate(by_column)])
-    counts = (df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull())
-              .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_fine", value_range(F.col("_v"), FINE)).withColumn("_coarse", value_range(F.col("_v"), COARSE)))
     fine = counts.groupBy(*keys, "_c", "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
     coarse = fine.groupBy(*keys, "_c", "_coarse").agg(F.sum("_n").alias("_n"))
 

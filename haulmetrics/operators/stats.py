@@ -322,8 +322,20 @@ def kruskal_wallis(df: DataFrame, categories: list[str], target: str,
 
 
 def seeded_sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of fixed size: the rows with the smallest hash of key and seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)
+    """A repeatable sample of fixed size: the rows with the smallest MD5 of key and seed, ties by key.
+
+    Only rows under a cutoff that leaves a few more than wanted are put in order. Where it leaves too few (many rows share a
+    key), it is raised.
+    """
+    total = df.count()
+    place = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    share = (rows + 6 * math.sqrt(rows) + 10) / max(total, 1)
+    while share < 1:
+        under = df.where(place <= f"{int(share * 2 ** 64):016x}")
+        if under.count() >= rows:
+            return under.orderBy(place, key).limit(rows)
+        share *= 4
+    return df.orderBy(place, key).limit(rows)
 
 
 def map_points(trips: DataFrame, target: str) -> DataFrame:

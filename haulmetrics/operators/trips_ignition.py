@@ -105,19 +105,24 @@ def add_efficiencies(trips: DataFrame) -> DataFrame:
             .withColumn("Signal_Reliability", ratio(F.col("gps_valid_count"), F.col("total_rows"))))
 
 
-def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS) -> DataFrame:
     """Months in service per vehicle: highest odometer over the monthly distance of its last days.
 
-    The newest time of a vehicle reaches its pings through the pieces of its timeline.
+    First and last readings are taken per vehicle and day, which meets on the map side. Single pings are looked at again
+    only for the one day of each vehicle that the start of its window cuts.
     """
-    latest = pings.groupBy("vehicle_id").agg(F.max("ts").alias("_latest"), F.max("odometer_km").alias("_odometer"))
-    line = on_vehicle_line(pings.select("vehicle_id", "ts", "odometer_km"), width_seconds)
-    recent = (VEHICLE_LINE.attach(line, latest.select("vehicle_id", "_latest"))
-              .where(F.col("ts") >= F.col("_latest") - F.expr(f"INTERVAL {window_days} DAYS")))
     known = F.when(F.col("odometer_km").isNotNull(), F.col("ts"))
-    daily = (recent.groupBy("vehicle_id", F.to_date("ts").alias("day"))
-             .agg((F.max_by("odometer_km", known) - F.min_by("odometer_km", known)).alias("km")))
-    driven = daily.where(F.col("km") >= 0).groupBy("vehicle_id").agg(F.sum("km").alias("_km"))
+    ends = [F.max_by("odometer_km", known).alias("_last"), F.min_by("odometer_km", known).alias("_first")]
+    day = F.to_date("ts").alias("day")
+    daily = pings.groupBy("vehicle_id", day).agg(*ends, F.max("ts").alias("_ts"), F.max("odometer_km").alias("_odometer"))
+    latest = daily.groupBy("vehicle_id").agg(F.max("_ts").alias("_latest"), F.max("_odometer").alias("_odometer"))
+    cuts = latest.select("vehicle_id", (F.col("_latest") - F.expr(f"INTERVAL {window_days} DAYS")).alias("_cut")).withColumn("day", F.to_date("_cut"))
+    whole = daily.join(cuts.select("vehicle_id", F.col("day").alias("_day")), "vehicle_id").where(F.col("day") > F.col("_day"))
+    part = (pings.select("vehicle_id", "ts", "odometer_km", day).join(cuts, ["vehicle_id", "day"])
+            .where(F.col("ts") >= F.col("_cut")).groupBy("vehicle_id", "day").agg(*ends))
+    km = F.col("_last") - F.col("_first")
+    driven = (whole.select("vehicle_id", km.alias("km")).unionByName(part.select("vehicle_id", km.alias("km")))
+              .where(F.col("km") >= 0).groupBy("vehicle_id").agg(F.sum("km").alias("_km")))
     months = F.when(F.col("_km") > 0, F.col("_odometer") / (F.col("_km") * F.lit(30.0 / window_days)))
     return latest.join(driven, "vehicle_id", "left").select("vehicle_id", months.alias("Age_of_Truck_months"))
 
@@ -135,7 +140,7 @@ def trip_output(trips: DataFrame) -> DataFrame:
 def trips_table(rows: DataFrame, pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Trips with scores, age and QA flags, from engine-on rows and all pings."""
     scored = add_efficiencies(add_distance_duration(aggregate_trips(rows)))
-    return add_qa_flags(scored.join(truck_ages(pings, width_seconds=width_seconds), "vehicle_id", "left"))
+    return add_qa_flags(scored.join(truck_ages(pings), "vehicle_id", "left"))
 
 
 def qa_report(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

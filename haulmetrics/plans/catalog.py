@@ -492,7 +492,7 @@ def _(t):
 
 @query("f02_enrichment_join")
 def _(t):
-    combined = t.engine_rows.where(F.col("speed_kmh") > 60).select("trip_id", "timestamp", "speed_kmh", "fuel_level")
+    combined = t.engine_rows.select("trip_id", "timestamp", "speed_kmh", "fuel_level")
     return route.enrich(t.merged, combined).select("trip_id", "timestamp", "speed_kmh", "speed_kmh_combined", "fuel_level")
 
 
@@ -636,7 +636,8 @@ def _(t):
 
 @query("f25_sample_rows")
 def _(t):
-    return stats.seeded_sample(t.engine_rows.select("vehicle_id", "s", "event_id", "speed_kmh"), "event_id", REPORT_SAMPLE_ROWS)
+    rows = t.engine_rows.select("vehicle_id", "s", "event_id", F.round("speed_kmh", 6).alias("speed_kmh"))
+    return stats.seeded_sample(rows, "event_id", REPORT_SAMPLE_ROWS)
 
 
 @query("f26_map_points")

@@ -485,7 +485,8 @@ def oracles() -> dict[str, str]:
         "e19_fleet_means": with_blocks(f"SELECT count(*) AS vehicles, {rounded('avg(n)', 4)} AS mean_trips, {rounded('avg(x)', 4)} AS mean_distance, count(a) AS vehicles_with_age FROM (SELECT count(*) AS n, coalesce(sum(Trip_Distance_km), 0) AS x, max(Age_of_Truck_months) AS a FROM et GROUP BY vehicle_id)"),
         "f01_rows_to_trips": r("trip_id, timestamp, vehicle_id_trip, trip_distance_km:r, total_rows", "mg"),
         "f01_match_rate": with_blocks(f"SELECT count(*) AS row_count, {rounded('avg((vehicle_id_trip IS NOT NULL)::INT)')} AS match_rate FROM mg"),
-        "f02_enrichment_join": with_blocks(f"SELECT mg.trip_id, mg.timestamp, {rounded('mg.speed_kmh')} AS speed_kmh, {rounded('x.speed_kmh')} AS speed_kmh_combined, {rounded('x.fuel_level')} AS fuel_level FROM mg LEFT JOIN (SELECT * FROM er WHERE speed_kmh > 60) x ON mg.trip_id = x.trip_id AND mg.timestamp = x.timestamp"),
+        "f02_enrichment_join": with_blocks(f"SELECT mg.trip_id, mg.timestamp, {rounded('mg.speed_kmh')} AS speed_kmh, {rounded('x.speed_kmh')} AS speed_kmh_combined, {rounded('x.fuel_level')} AS fuel_level FROM mg LEFT JOIN er x ON mg.trip_id = x.trip_id AND mg.timestamp = x.timestamp"),
+        "f02_enrichment_all_rows": with_blocks(f"SELECT mg.trip_id, mg.timestamp, {rounded('mg.speed_kmh')} AS speed_kmh, {rounded('x.speed_kmh')} AS speed_kmh_combined, {rounded('x.fuel_level')} AS fuel_level FROM mg LEFT JOIN er x ON mg.trip_id = x.trip_id AND mg.timestamp = x.timestamp"),
         "f03_route_efficiency": r("trip_id, timestamp, speed_mps:r, dist_to_prev:r, time_delta:r, implied_speed:r, bearing_track:r, speed_ratio:r, forward_progress:r, route_eff:r", "rs"),
         "f04_global_quantile": with_blocks(f"SELECT {rounded('quantile_cont(speed_mps, 0.95)', 6)} AS speed_p95 FROM tk"),
         "f05_route_diagnostics": with_blocks(f"""SELECT count(*) AS row_count, count(*) FILTER (speed_mps < 0.5) AS stationary, count(*) FILTER (speed_mps >= 0.5) AS moving, count(*) FILTER (route_eff = 0) AS zero_efficiency,
@@ -600,6 +601,7 @@ def model_checks(with_blocks, rounded) -> dict[str, str]:
     inputs = ", ".join(f"('{c}')" for c in [*TELEMETRY_INPUTS, "vehicle_id_encoded"])
     return {
         "f24_kruskal_pvalues": with_blocks(f"SELECT feature, {rounded('kw_statistic', 9)} AS kw_statistic, degrees_of_freedom, {rounded(chi_square_tail_sql('kw_statistic', 'degrees_of_freedom'), 9)} AS kw_pvalue FROM kw"),
+        "f25_sample_rows": with_blocks("SELECT vehicle_id, s, event_id, round(speed_kmh, 6) AS speed_kmh FROM er ORDER BY md5(concat(event_id, ':42')), event_id LIMIT 20000"),
         "f25_seeded_sample": with_blocks("SELECT least(count(*), 500) AS sample_rows, least(count(*), 500) AS distinct_rows, least(count(*), 500) AS rows_in_table, least(count(*), 500) AS rows_repeated FROM er"),
         "f31_correlation_pvalues": with_blocks("SELECT feature, n, " + ", ".join(f"{rounded(c, 9)} AS {c}" for c in ("pearson_r", "spearman_r", "pearson_t", "spearman_t")) + ", "
                                                + ", ".join(f"{rounded(student_tail_sql(c + '_t', '(n - 2)'), 9)} AS {c}_p" for c in ("pearson", "spearman")) + f" FROM (SELECT *, {tests} FROM rk)"),

@@ -7,11 +7,13 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from haulmetrics.functions.scalars import ratio, round_half_even
+from haulmetrics.plans.staging import stage
 
 # The raw file's columns.
 RAW_COLUMNS = ["Timestamp", "Latitude", "Longitude", "Speed", "EngineStatus", "Odometer",
                "FuelLevelPercentage", "GPSLocated", "Direction"]
 SPARSE_PERCENT = 50
+REPEATS_TO_BROADCAST = 1_000_000  # fingerprints of 16 bytes
 # Cell texts that mean "missing".
 MISSING_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", ""]
@@ -120,8 +122,28 @@ def drop_sparse_columns(df: DataFrame, percent: float = SPARSE_PERCENT) -> DataF
 
 
 def drop_repeated_rows(df: DataFrame) -> DataFrame:
-    """Drop fully equal rows. Copies collapse before the shuffle."""
-    return df.dropDuplicates()
+    """Drop fully equal rows. What is shuffled is a 128-bit fingerprint of each row, and the whole rows of fingerprints seen twice.
+
+    Rows of equal fingerprints are still compared as a whole, so a collision loses nothing. Where too many fingerprints are seen
+    twice to send them to every task, and for columns that have no plain text, whole rows are aggregated at once.
+    """
+    plain = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not all(isinstance(f.dataType, plain) for f in df.schema.fields):
+        return df.dropDuplicates()
+    marked = df.withColumn("_row_mark", _row_mark(df))
+    repeated = stage(marked.groupBy("_row_mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row_mark"), "repeated-rows")
+    if repeated.count() > REPEATS_TO_BROADCAST:
+        return df.dropDuplicates()
+    here = F.broadcast(repeated)
+    return (marked.join(here, "_row_mark", "left_anti").drop("_row_mark")
+            .unionByName(marked.join(here, "_row_mark", "left_semi").drop("_row_mark").dropDuplicates()))
+
+
+def _row_mark(df: DataFrame) -> Column:
+    """A fingerprint of 128 bits: equal for equal rows, a missing value being unlike any other."""
+    columns = [F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    gaps = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return F.struct(F.xxhash64(F.lit(1), gaps, *columns).alias("a"), F.xxhash64(F.lit(2), *columns, gaps).alias("b"))
 
 
 def repeat_counts(df: DataFrame) -> DataFrame:

@@ -126,3 +126,18 @@ def test_pings_through_alias_names(spark):
     assert (row.vehicle_id, row.speed_kmh, row.engine_on, row.gps_ok) == ("A", 12.5, True, True)
     with pytest.raises(ValueError, match="vehicle_id"):
         nz.normalize(raw.drop("Plate"))
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_repeated_rows_by_fingerprint(spark, monkeypatch, most):
+    """Same rows as a plain distinct, with gaps that would hash alike, signed zeros, NaN and names that clash."""
+    monkeypatch.setattr(files, "REPEATS_TO_BROADCAST", most)
+    nan = float("nan")
+    rows = [("a", None, 0.0, 1), (None, "a", 0.0, 1), ("a", None, -0.0, 1), ("b", "b", nan, None), ("b", "b", nan, None), ("b", "b", None, None),
+            (None, None, None, None), (None, None, None, None), ("", None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, n double, count int").repartition(4)
+    show = lambda x: sorted(str(tuple(r)).replace("-0.0", "0.0") for r in x.collect())
+    assert show(files.drop_repeated_rows(df)) == show(df.dropDuplicates())
+    assert files.drop_repeated_rows(df.limit(0)).count() == 0
+    listed = df.selectExpr("array(a) AS a", "count")
+    assert files.drop_repeated_rows(listed).count() == listed.distinct().count()

@@ -77,3 +77,22 @@ def test_plan_of_a_whole_table(spark, rows):
     """Rows meet neither a sketch nor a constant key: they are counted per value first."""
     plan = _plan(global_quantiles(rows.where("g = 'hot'"), PROBS, 10))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "percentile_approx" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", [2, 10**9])
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_the_input_is_read_twice_at_most(spark, hot_rows, keys):
+    """Rows are counted as they leave the input, whatever the size of the groups."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+    df = spark.range(600).selectExpr("if(id < 500, 'hot', cast(id % 7 AS string)) AS g", "cast(id % 97 AS double) AS x", "cast(id AS double) AS y")
+    df = df.mapInArrow(counted, "g string, x double, y double")
+    wanted = {"median_x": ("x", 0.5), "p90_y": ("y", 0.9)}
+    got = {r.g if keys else "": r.asDict() for r in aggregate_with_quantiles(df, keys, [F.max("y").alias("top")], wanted, hot_rows).collect()}
+    assert read.value <= 2 * 600
+    plain = df.groupBy(*keys).agg(F.max("y").alias("top"), F.percentile("x", 0.5).alias("median_x"), F.percentile("y", 0.9).alias("p90_y")).collect()
+    assert got == {r.g if keys else "": r.asDict() for r in plain}

@@ -1,5 +1,6 @@
 """Statistics against pandas and known values."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -149,3 +150,12 @@ def test_no_feature_or_category_is_left_out(spark):
     assert stats.correlation_summary(df, "trip_id", names, "target").count() == 41
     assert stats.box_statistics(df, "category", "target").count() == 20 and stats.box_statistics(df, "category", "target", k=15).count() == 15
     assert stats.kruskal_wallis(df, ["category"], "target").first().degrees_of_freedom == 19
+
+
+def test_sample_cutoff_is_raised_for_shared_keys(spark):
+    """Most rows share a key that hashes high or low; the sample is the same as from a full sort."""
+    df = spark.range(5000).selectExpr("id", "if(id < 4500, 7, id) AS key")
+    for seed in range(4):
+        want = sorted((hashlib.md5(f"{r.key}:{seed}".encode()).hexdigest(), r.key) for r in df.collect())[:60]
+        assert sorted(r.key for r in stats.seeded_sample(df, "key", 60, seed).collect()) == sorted(k for _, k in want)
+    assert stats.seeded_sample(df, "key", 9000).count() == 5000 and stats.seeded_sample(df.limit(0), "key", 5).count() == 0
