@@ -65,30 +65,29 @@ def valid(kind: Column, value: Column) -> Column:
             .otherwise(n.between(*PHONE_DIGITS)))
 
 
-def _pairs(docs: DataFrame, kind: str, pattern: str, must_hold: str | None) -> DataFrame:
-    """A row per match: its value, the text's length before it since the last match, and what stands around it."""
-    rows = docs if must_hold is None else docs.filter(F.instr("text", must_hold) > 0)
-    cut = rows.select("doc_id", "text_key", F.split("text", pattern, -1).alias("pieces"),
-                      F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("values")).filter(F.size("values") > 0)
-    around = F.transform("values", lambda value, i: F.struct(
-        value.alias("value"), F.length(F.element_at(F.col("pieces"), i + 1)).alias("gap"),
-        F.right(F.element_at(F.col("pieces"), i + 1), F.lit(40)).alias("before"),
-        F.left(F.element_at(F.col("pieces"), i + 2), F.lit(2)).alias("after")))
-    return cut.select("doc_id", "text_key", F.lit(kind).alias("kind"), F.posexplode(around).alias("nth", "m")).select(
-        "doc_id", "text_key", "kind", "nth", "m.*")
+def _matches(nth: int, kind: str, strict: bool) -> Column:
+    """An entry per match of the `nth` pattern: its value, the text's length before it since the last match, and what stands around it."""
+    pieces, values = F.col(f"pieces{nth}"), F.col(f"values{nth}")
+    around = F.arrays_zip(values.alias("value"), F.slice(pieces, 1, F.size(values)).alias("before"), F.slice(pieces, 2, F.size(values)).alias("after"))
+    return F.transform(around, lambda m, i: F.struct(
+        F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("nth"), m.value.alias("value"), F.length(m.before).alias("gap"),
+        F.right(m.before, F.lit(40)).alias("before"), F.left(m.after, F.lit(2)).alias("after")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """`doc_id, text_key, kind, base, start, end, value, before, after` of all matches; `base`: a valid base match.
 
-    Rows with the same id and text count once. A null or empty text has none.
+    Each text is read once: the matches of all patterns are one array. Rows with the same id and text count once. A null
+    or empty text has none.
     """
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").filter(F.col("text") != "")
-    parts = [_pairs(texts, kind, BASE[kind], MUST_HOLD.get(kind)).withColumn("strict", F.lit(True)) for kind in KINDS]
-    parts += [_pairs(texts, kind, pattern, None).withColumn("strict", F.lit(False)) for kind, pattern in LOOSE.items()]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    every = [(kind, BASE[kind], True) for kind in KINDS] + [(kind, pattern, False) for kind, pattern in LOOSE.items()]
+    cut = []
+    for nth, (kind, pattern, strict) in enumerate(every):
+        able = F.instr("text", MUST_HOLD[kind]) > 0 if strict and kind in MUST_HOLD else F.lit(True)
+        cut += [F.when(able, F.split("text", pattern, -1)).alias(f"pieces{nth}"), F.when(able, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"values{nth}")]
+    matches = F.flatten(F.array_compact(F.array(*[_matches(nth, kind, strict) for nth, (kind, _, strict) in enumerate(every)])))
+    found = texts.select("doc_id", "text_key", *cut).select("doc_id", "text_key", F.inline(matches))
     found = found.dropDuplicates(["doc_id", "text_key", "kind", "strict", "nth"])
     document = Window.partitionBy("doc_id", "text_key", "kind", "strict").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("value")).over(document)
