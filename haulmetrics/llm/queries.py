@@ -55,7 +55,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+    cut = suffix_dedup.dedup(_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+    return cut.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
