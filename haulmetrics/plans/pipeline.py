@@ -8,7 +8,7 @@ from haulmetrics.operators.points import clean_output
 from haulmetrics.operators.trips_ignition import row_output, trip_output
 from haulmetrics.plans.staging import stage
 from haulmetrics.plans.tables import Tables
-from haulmetrics.sources.files import drop_repeated_rows, drop_sparse_columns, read_mixed_csvs, read_vehicle_csvs
+from haulmetrics.sources.files import drop_repeated_rows, drop_sparse_columns, read_clustered, read_mixed_csvs, read_vehicle_csvs, write_clustered
 
 
 def combine(spark: SparkSession, folder: str, out: str, mixed_headers: bool = True) -> DataFrame:
@@ -30,20 +30,31 @@ def pings_from(combined: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, out: str, mixed_headers: bool = True) -> Tables:
-    """Raw files to every table and report under `out`. `out` must not lie inside `folder`."""
+    """Raw files to every table and report under `out`. `out` must not lie inside `folder`.
+
+    Cleaned pings and engine rows are laid out by vehicle and time; `vehicle_rows` reads some vehicles of them.
+    """
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
+    def clustered(df: DataFrame, name: str, time: str) -> None:
+        write_clustered(df, f"{out}/{name}", "vehicle_id", [time])
+
     tables = Tables(pings_from(combine(spark, folder, out, mixed_headers)), save)
-    save(clean_output(tables.points), "combined_data_cleaned_pass1")
+    clustered(clean_output(tables.points), "combined_data_cleaned_pass1", "timestamp_utc")
     save(trip_output(tables.engine_trips), "trip_file")
-    save(row_output(tables.engine_rows), "row_file")
+    clustered(row_output(tables.engine_rows), "row_file", "timestamp")
     save(trips_hybrid.pipeline_summary(tables.points, tables.trips, tables.days), "pipeline_summary")
     report(tables, save)
     return tables
 
 
+def vehicle_rows(spark: SparkSession, out: str, name: str, vehicles: list[str]) -> DataFrame:
+    """Rows of some vehicles from one of the tables that `run` lays out by vehicle."""
+    return read_clustered(spark, f"{out}/{name}", "vehicle_id", vehicles)
+
+
 def report(tables: Tables, save, most_features: int | None = None, most_categories: int | None = None) -> None:
     """The statistical summaries of the trip analysis, over all features and categories unless limits are given."""
     df, names = tables.analysis, tables.numeric_features

@@ -18,6 +18,7 @@ REPEATS_TO_BROADCAST = 1_000_000  # fingerprints of 16 bytes
 MISSING_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", ""]
 UNNAMED = "_unnamed_"
+GROUP_COLUMN, VEHICLE_GROUPS = "vehicle_group", 64
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -164,3 +165,26 @@ def write_parquet(df: DataFrame, folder: str, by: list[str] | None = None) -> No
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(folder)
+
+
+def vehicle_group(vehicle: Column, groups: int = VEHICLE_GROUPS) -> Column:
+    """The folder a vehicle's rows are in; the number of folders does not grow with the fleet."""
+    return F.pmod(F.xxhash64(vehicle.cast("string")), F.lit(groups)).cast("int")
+
+
+def write_clustered(df: DataFrame, folder: str, key: str, order: list[str], groups: int = VEHICLE_GROUPS) -> None:
+    """Parquet in a folder per vehicle group, each file holding a range of vehicles and times in order.
+
+    Ranges follow from a sample of the rows, so a vehicle with a third of them spreads over many files.
+    """
+    by = [GROUP_COLUMN, key, *order]
+    grouped = df.withColumn(GROUP_COLUMN, vehicle_group(F.col(key), groups))
+    grouped.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(GROUP_COLUMN).parquet(folder)
+
+
+def read_clustered(spark: SparkSession, folder: str, key: str, vehicles: list[str] | None = None, groups: int = VEHICLE_GROUPS) -> DataFrame:
+    """A table written by `write_clustered`, or the rows of some vehicles, for which only their folders and ranges are read."""
+    rows = spark.read.parquet(folder)
+    if vehicles is not None:
+        rows = rows.where(F.col(GROUP_COLUMN).isin(*[vehicle_group(F.lit(v), groups) for v in vehicles]) & F.col(key).isin(*vehicles))
+    return rows.drop(GROUP_COLUMN)

@@ -1,6 +1,7 @@
 """Readers, sinks and normalisation on small hand-written files."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,17 @@ def test_repeated_rows_by_fingerprint(spark, monkeypatch, most):
     assert files.drop_repeated_rows(df.limit(0)).count() == 0
     listed = df.selectExpr("array(a) AS a", "count")
     assert files.drop_repeated_rows(listed).count() == listed.distinct().count()
+
+
+def test_clustered_tables_are_read_by_vehicle(spark, tmp_path):
+    """A third of the rows are one vehicle's; reading another one opens its folder only."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('v', id % 50)) AS vehicle_id", "timestamp_seconds(id) AS ts", "id AS n")
+    folder = str(tmp_path / "t")
+    files.write_clustered(df.repartition(7), folder, "vehicle_id", ["ts"], groups=16)
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    assert rows(files.read_clustered(spark, folder, "vehicle_id")) == rows(df)
+    some = files.read_clustered(spark, folder, "vehicle_id", ["v7", "hot"], groups=16)
+    assert rows(some) == rows(df.where("vehicle_id IN ('v7', 'hot')"))
+    plan = files.read_clustered(spark, folder, "vehicle_id", ["v7"], groups=16)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*vehicle_group#\d+ (=|IN)", plan) and "PushedFilters: [" in plan
+    assert files.read_clustered(spark, folder, "vehicle_id", ["no such"], groups=16).count() == 0

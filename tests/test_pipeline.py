@@ -3,6 +3,7 @@
 import os
 
 from haulmetrics.plans import pipeline
+from haulmetrics.sources.files import read_clustered
 
 
 def write_vehicle(folder, plate, start):
@@ -27,9 +28,12 @@ def test_files_to_predictions(spark, tmp_path):
     assert "Empty" not in spark.read.parquet(f"{out}/combined").columns
     assert tables.pings.count() == 1200
     assert {r.vehicle_id for r in tables.days.select("vehicle_id").distinct().collect()} == {"ABA0048", "BCD12", "XYZ9"}
-    assert len(spark.read.parquet(f"{out}/combined_data_cleaned_pass1").columns) == 25
+    assert len(read_clustered(spark, f"{out}/combined_data_cleaned_pass1", "vehicle_id").columns) == 25
+    for name in ("combined_data_cleaned_pass1", "row_file"):
+        one = pipeline.vehicle_rows(spark, out, name, ["BCD12"])
+        assert one.count() == read_clustered(spark, f"{out}/{name}", "vehicle_id").filter("vehicle_id = 'BCD12'").count() > 0
     assert len(spark.read.parquet(f"{out}/trip_file").columns) == 22
-    assert len(spark.read.parquet(f"{out}/row_file").columns) == 11
+    assert len(read_clustered(spark, f"{out}/row_file", "vehicle_id").columns) == 11
     for name in ("feature_rankings", "correlations", "kruskal", "temporal", "numeric_summary", "actionable_insights", "pipeline_summary"):
         assert os.path.isdir(f"{out}/{name}"), name
     bundle = str(tmp_path / "bundle")
