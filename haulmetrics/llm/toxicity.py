@@ -2,7 +2,8 @@
 
 A document's score is `sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>)` over its distinct terms, so a pair
 of terms can weigh more (or less) than its parts, which an additive model cannot learn. Terms are hashed to
-2^20 buckets; the buckets that the training rows show to be related to the label (chi-square) are the features.
+2^20 buckets. Features are the buckets that the training rows show to be related to the label (chi-square), alone or
+in pairs: every pair of the `PAIR_TERMS` most frequent buckets is tested too, so two terms that only together say something are kept.
 
 The model is fitted on at most about `TRAIN_ROWS` labelled rows (chosen by a hash of their id); scoring reads
 every document's whole text in one pass without a shuffle, and the model every task holds has a fixed size.
@@ -25,7 +26,10 @@ TRAIN_ROWS = 16_384
 MAX_FEATURES = 4_096
 MIN_ROWS = 3
 MIN_CHI_SQUARE = 10.8  # p = 0.001 with one degree of freedom
+PAIR_TERMS = 1_024
+MIN_PAIR_CHI_SQUARE = 33.0  # p = 0.01 over all pairs of that many terms
 FACTORS = 8
+BLOCK = 1_024  # training rows whose gradients are in memory at a time
 
 
 class Machine(NamedTuple):
@@ -88,22 +92,55 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return texts.join(marks, "doc_id").orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").mapInArrow(_training_rows, "toxic int, buckets binary")
 
 
+def chi_square(seen: np.ndarray, bad: np.ndarray, rows: int, toxic: float) -> np.ndarray:
+    """Chi-square (with Yates' correction) of being in `seen` of the rows, `bad` of them toxic, against the label."""
+    out = np.zeros(np.shape(seen))
+    for count, share in ((bad, toxic), (seen - bad, rows - toxic)):
+        for observed, expected in ((count, seen * share / max(rows, 1)), (share - count, (rows - seen) * share / max(rows, 1))):
+            out += np.divide(np.maximum(np.abs(observed - expected) - 0.5, 0) ** 2, expected, out=np.zeros_like(out), where=expected > 0)
+    return out
+
+
+def related_pairs(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets among the most frequent ones that are in a pair related to the label more than either is alone, and the pair's chi-square."""
+    frequent = np.argsort(-seen, kind="stable")[:PAIR_TERMS]
+    frequent = frequent[seen[frequent] >= MIN_ROWS]
+    if len(frequent) < 2 or not 0 < toxic.sum() < len(toxic):
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    place = np.full(len(seen), -1, dtype=np.int32)
+    place[frequent] = np.arange(len(frequent))
+    both, bad = np.zeros((len(frequent),) * 2, dtype=np.float32), np.zeros((len(frequent),) * 2, dtype=np.float32)
+    for first in range(0, len(toxic), BLOCK):
+        low, high = np.searchsorted(owner, (first, first + BLOCK))
+        at, row = place[flat[low:high]], owner[low:high] - first
+        rows = np.zeros((min(BLOCK, len(toxic) - first), len(frequent)), dtype=np.float32)
+        rows[row[at >= 0], at[at >= 0]] = 1
+        marked = rows[toxic[first: first + BLOCK] > 0]
+        both += rows.T @ rows
+        bad += marked.T @ marked
+    strength = chi_square(both.astype(np.float64), bad.astype(np.float64), len(toxic), toxic.sum())
+    alone = np.diag(strength).copy()
+    strength[(both < MIN_ROWS) | (strength < MIN_PAIR_CHI_SQUARE) | (strength <= 1.5 * np.maximum(alone[:, None], alone))] = 0
+    found = np.flatnonzero(strength.max(1) > 0)
+    return frequent[found], strength.max(1)[found]
+
+
 def fit(toxic: np.ndarray, rows: list[np.ndarray], factors: int = FACTORS, rounds: int = 300, rate: float = 0.05,
         decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Feature choice, then full-gradient Adam steps. Without rows, or with one class only, scores follow the prior."""
+    """Feature choice, then full-gradient Adam steps, the gradient added up over blocks of rows. Without rows, or with one class only, scores follow the prior."""
     n, size = len(rows), 1 << BUCKET_BITS
-    flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     toxic = np.asarray(toxic, dtype=np.float64)
     prior = (toxic.sum() + 0.5) / (n + 1) if n else 0.05
     seen, bad = np.bincount(flat, minlength=size).astype(float), np.bincount(flat, toxic[owner] if n else None, minlength=size).astype(float)
     share = toxic.mean() if n else 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        expected = np.array([seen * share, seen * (1 - share), (n - seen) * share, (n - seen) * (1 - share)])
-        observed = np.array([bad, seen - bad, toxic.sum() - bad, n - toxic.sum() - (seen - bad)])
-        chi_square = np.nan_to_num((np.maximum(np.abs(observed - expected) - 0.5, 0) ** 2 / expected).sum(0), posinf=0.0)
-    able = np.flatnonzero((seen >= MIN_ROWS) & (chi_square >= MIN_CHI_SQUARE))
-    chosen = able[np.argsort(-chi_square[able], kind="stable")[:MAX_FEATURES]]
+    related = chi_square(seen, bad, n, toxic.sum())
+    able = np.flatnonzero((seen >= MIN_ROWS) & (related >= MIN_CHI_SQUARE))
+    together, strength = related_pairs(flat, owner, toxic, seen)
+    ranked = np.concatenate((together[np.argsort(-strength, kind="stable")], able[np.argsort(-related[able], kind="stable")]))
+    _, first = np.unique(ranked, return_index=True)
+    chosen = ranked[np.sort(first)[:MAX_FEATURES]]
     feature_of = np.full(size, -1, dtype=np.int16)
     feature_of[chosen] = np.arange(len(chosen))
 
@@ -117,12 +154,17 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], factors: int = FACTORS, round
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
     for step in range(1, rounds + 1):
-        margin, sums = margins(parameters[0][0], parameters[1], parameters[2], features, bounds)
-        error = (sigmoid(margin) - toxic) / n
-        each = error[row]
-        pull = each[:, None] * (sums[row] - parameters[2][features])
-        gradients = [np.array([error.sum()]), np.bincount(features, each, len(chosen)) + decay * parameters[1],
-                     np.stack([np.bincount(features, pull[:, f], len(chosen)) for f in range(factors)], 1) + decay * parameters[2]]
+        gradients = [np.zeros(1), decay * parameters[1], decay * parameters[2]]
+        for low in range(0, n, BLOCK):
+            high = min(n, low + BLOCK)
+            part, own = features[bounds[low]: bounds[high]], row[bounds[low]: bounds[high]] - low
+            margin, sums = margins(parameters[0][0], parameters[1], parameters[2], part, bounds[low: high + 1] - bounds[low])
+            error = (sigmoid(margin) - toxic[low:high]) / n
+            each = error[own]
+            pull = each[:, None] * (sums[own] - parameters[2][part])
+            gradients[0] += error.sum()
+            gradients[1] = gradients[1] + np.bincount(part, each, len(chosen))
+            gradients[2] = gradients[2] + np.stack([np.bincount(part, pull[:, f], len(chosen)) for f in range(factors)], 1)
         for p, g, a, b in zip(parameters, gradients, first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)

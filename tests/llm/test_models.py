@@ -69,3 +69,17 @@ def test_page_with_everything_around_the_article(spark):
             "<section id='comments'><p>I do not agree with this article at all.</p></section><footer>&copy; Site</footer></body>")
     chain = html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     assert html_extract.main_text(chain, page) == "Title here\nFirst sentence of the text, which is long enough to be one.\nSecond paragraph is here."
+
+
+def test_machine_learns_exactly_one_of_two_terms():
+    """No term says anything alone, so only the pair test can choose them."""
+    rng = np.random.default_rng(2)
+    rows, toxic = [], []
+    for _ in range(4000):
+        a, b = (rng.random(2) < 0.5).tolist()
+        rows.append(np.unique(np.concatenate((rng.integers(10, 1000, 5), [1] * a, [2] * b)).astype(np.int64)))
+        toxic.append(int(a != b))
+    machine = toxicity.fit(np.array(toxic), rows)
+    f = machine.feature_of
+    score = lambda *terms: float(machine.scores(np.array([f[t] for t in terms], dtype=np.int64), np.array([0, len(terms)]))[0])
+    assert min(score(1), score(2)) > 0.7 and max(score(1, 2), score()) < 0.3
