@@ -82,12 +82,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").filter(F.col("text") != "")
     every = [(kind, BASE[kind], True) for kind in KINDS] + [(kind, pattern, False) for kind, pattern in LOOSE.items()]
-    cut = []
+    # a text is split only where the pattern is found
+    values, pieces = [], []
     for nth, (kind, pattern, strict) in enumerate(every):
         able = F.instr("text", MUST_HOLD[kind]) > 0 if strict and kind in MUST_HOLD else F.lit(True)
-        cut += [F.when(able, F.split("text", pattern, -1)).alias(f"pieces{nth}"), F.when(able, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"values{nth}")]
+        values.append(F.when(able, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"values{nth}"))
+        pieces.append(F.when(F.size(f"values{nth}") > 0, F.split("text", pattern, -1)).alias(f"pieces{nth}"))
     matches = F.flatten(F.array_compact(F.array(*[_matches(nth, kind, strict) for nth, (kind, _, strict) in enumerate(every)])))
-    found = texts.select("doc_id", "text_key", *cut).select("doc_id", "text_key", F.inline(matches))
+    cut = texts.select("doc_id", "text_key", "text", *values).select("doc_id", "text_key", *[f"values{nth}" for nth in range(len(every))], *pieces)
+    found = cut.select("doc_id", "text_key", F.inline(matches))
     found = found.dropDuplicates(["doc_id", "text_key", "kind", "strict", "nth"])
     document = Window.partitionBy("doc_id", "text_key", "kind", "strict").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("value")).over(document)
