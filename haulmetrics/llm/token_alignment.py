@@ -7,8 +7,10 @@ tokens that share a character, bytes of a character's fallback, and B's own spac
 lengths of the tokens' decoded bytes say where each ends. Where the two do not agree at every coarse cut the tokens do not
 spell the text, and the document has none.
 
-Neither tokenizer merges over the place between a character that is no white space and a space before a word, so texts
-are cut there into segments, and the distinct segments of a task are encoded, refined and grouped once.
+Neither tokenizer merges over the place between a character that is no white space and a space before a word, between a letter
+and a mark that no piece of B holds behind a letter, or between a single line's end and a letter. Texts are cut there into
+segments, and the distinct segments of a task are encoded, refined and grouped once. B sees a segment that begins with no
+space behind a line's end, whose tokens are left out again.
 
 Counts: a slice of documents gives each id pair it holds once, with its number. These are added up over all slices, compared by B id
 (at most as many rows as A has ids), and sent back to the slices that hold the pair, each pair as one row per slice. So a pair that
@@ -36,9 +38,12 @@ from haulmetrics.plans.staging import stage
 SPACE = "▁"
 CACHED_TOKENS = 1 << 21
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters in every version of Unicode
+MARKS = ",.;:!?#$%)\n"
+
 #: Before a space, behind a character that no version of Unicode calls white space and that is not B's sign for a space;
 #: not before spaces that end in other white space or in the end of the text.
-CUT = re.compile(rf"(?<=[^\s᠎{SPACE}])(?= +\S)")
+BEFORE_SPACE = rf"(?<=[^\s\u180e{SPACE}])(?= +\S)"
 
 
 class Spans(NamedTuple):
@@ -106,20 +111,39 @@ def pieces(path: str) -> Coder:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     if any(SPACE in name.lstrip(SPACE) for name in names):
         raise ValueError("a piece holds a space behind another character, so texts cannot be cut before spaces")
+    line_end = np.array(model.encode("\n"), dtype=np.int64)
     token_bytes = [bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
 
     def spans(texts: list[str], data: np.ndarray, starts: np.ndarray) -> Spans:
         # the model puts the first space itself; its spans count from behind it, and each begins where the last one ended
-        found = [x.pieces for x in model.encode([text[1:] for text in texts], return_type="proto", num_threads=1)]
+        inner = np.array([not text.startswith(" ") for text in texts], dtype=bool)
+        found = [x.pieces for x in model.encode([text[1:] if text[0] == " " else "\n" + text for text in texts], return_type="proto", num_threads=1)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         ids = np.array([p.id for x in found for p in x], dtype=np.int64)
-        end = np.array([p.end for x in found for p in x], dtype=np.int64) + np.repeat(starts[:-1] + 1, sizes)
+        end = np.array([p.end for x in found for p in x], dtype=np.int64) + np.repeat(starts[:-1] + np.where(inner, -1, 1), sizes)
+        if inner.any():
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = (place >= len(line_end)) | ~np.repeat(inner, sizes)
+            if (ids[~kept] != np.tile(line_end, int(inner.sum()))).any():
+                raise ValueError("a line's end is no token of its own")
+            ids, end, sizes = ids[kept], end[kept], sizes - len(line_end) * inner
         begin = np.concatenate(([0], end[:-1]))[: len(end)]
         begin[(np.cumsum(sizes) - sizes)[sizes > 0]] = starts[:-1][sizes > 0]
         return Spans(ids, begin, end, sizes)
     return coder(spans, token_bytes)
 
 
+@functools.lru_cache(maxsize=4)
+def cutter(path: str) -> re.Pattern:
+    """Where texts are cut for the sentencepiece model in `path`."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    marks = [m for m in MARKS if not any(re.search(rf"[{LETTERS}]{re.escape(m)}", name) for name in names if m in name)]
+    after_line = [rf"(?<=[^\s\u180e]\n)(?=[{LETTERS}])"] if not any("\n" in name for name in names) else []
+    behind_letter = [rf"(?<=[{LETTERS}])(?=[{re.escape(''.join(marks))}])"] if marks and after_line else []
+    return re.compile("|".join([BEFORE_SPACE, *after_line, *behind_letter]))
+
+
 def refined(tokenizer: Coder, spans: Spans, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte at which each token ends, and whether each text is spelled by its tokens."""
     text = np.repeat(np.arange(len(spans.sizes)), spans.sizes)
@@ -150,7 +174,7 @@ class Aligner:
     """
 
     def __init__(self, a_path: str, b_path: str):
-        self.coders = byte_level(a_path), pieces(b_path)
+        self.coders, self.cutter = (byte_level(a_path), pieces(b_path)), cutter(b_path)
         self.forget()
 
     def forget(self) -> None:
@@ -162,7 +186,7 @@ class Aligner:
         """Numbers of all segments, and the bounds of each text's. An empty text has no segment."""
         if sum(map(len, self.ids)) > CACHED_TOKENS:
             self.forget()
-        found = [CUT.split(" " + text) if text else [] for text in texts]
+        found = [self.cutter.split(" " + text) if text else [] for text in texts]
         numbers = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(found)), dtype=np.int64)
         new, self.numbers.fresh = self.numbers.fresh, []
         for first in range(0, len(new), 16384):

@@ -25,9 +25,9 @@ def odd_texts():
     rng = random.Random(4)
     any_character = lambda: chr(rng.choice([32, 32, rng.randrange(32, 127), rng.randrange(0x300), rng.randrange(0x300, 0xD800), rng.randrange(0xE000, 0x110000)]))
     return ["", " ", "  ", "a ", " a", "a  ", "\n", "a \n", "a \n b", "x▁y", "▁ a", "a ▁b", "<|endoftext|>", "<s> </s> <unk>", "\x00", "a\xa0 b", "a　 b",
-            "it's  he's \t x", "ﬁ Å Å", "﻿x y", "​ a", "a\x1c b", "a\x85 b", "中 文 字", "՘ a ՘", "\U00030000b", "a" * 3000, "ab" * 900,
+            "it's  he's \t x", "ﬁ Å Å", "﻿x y", "​ a", "a\x1c b", "a\x85 b", "中 文 字", "՘ a ՘", "\U00030000b", "a,b.\nC# é.\nÉa\n\nb x\r\ny %$a. \nb", "\n,a\n b", "a" * 3000, "ab" * 900,
             *["".join(any_character() for _ in range(rng.randrange(1, 60))) for _ in range(60)],
-            *["".join(rng.choice("ab  \n\t.,é▁") for _ in range(rng.randrange(1, 40))) for _ in range(60)],
+            *["".join(rng.choice("abE  \n\n\t.,#é▁") for _ in range(rng.randrange(1, 40))) for _ in range(60)],
             *["".join(rng.choice("aabcing") for _ in range(rng.randrange(250, 900))) for _ in range(12)]]
 
 
