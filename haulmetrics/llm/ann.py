@@ -7,8 +7,8 @@ row per id, and probes the lists that the triangle inequality does not rule out.
 after each block a hypothesis test abandons the candidates whose partial distance is too large for them to end below
 the bound. Survivors are scored exactly, in double precision, on the original vectors.
 
-Rows that repeat id and vector are dropped first. Lists are cut into blocks of rows, and queries into blocks too, so no
-task holds more than one block of each, even if a third of all vectors are equal or have the same id. The driver sees the sample, and one row per list.
+Rows that repeat id and vector are dropped first. Lists are cut into blocks of rows. A block is sent to one task once,
+and the queries that probe it stream past it, so no task holds more than a block and a batch of queries, even if a third of all vectors are equal or have the same id. The driver sees the sample, and one row per list.
 """
 
 from collections.abc import Iterator
@@ -25,7 +25,6 @@ SAMPLE_ROWS = 8_192
 LIST_ROWS = 2_048
 MAX_LISTS = 1_024
 BLOCK_ROWS = 8_192
-QUERY_ROWS = 4_096
 COLUMNS = 16
 CONFIDENCE = 2.1
 DENSE_SHARE = 0.05
@@ -110,7 +109,7 @@ def assign(rows: DataFrame, index: Index) -> DataFrame:
     return stage(rows.mapInArrow(run, "vec_id long, embedding array<double>, list int, distance double"), "vector-lists")
 
 
-def probes(queries: DataFrame, index: Index, k: int, radius: np.ndarray, blocks: np.ndarray, query_blocks: int) -> DataFrame:
+def probes(queries: DataFrame, index: Index, k: int, radius: np.ndarray, blocks: np.ndarray) -> DataFrame:
     """A row per query and block of each list it probes, with the bound of its k-th squared distance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,12 +129,10 @@ def probes(queries: DataFrame, index: Index, k: int, radius: np.ndarray, blocks:
                 take = pa.array(query[which])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(probed[which].astype(np.int32)), pa.array(block.astype(np.int32)),
-                    batch["query_block"].take(take), batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(bound[query[which]]),
-                ], names=["list", "block", "query_block", "vec_id", "embedding", "bound"])
+                    batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(bound[query[which]]),
+                ], names=["list", "block", "vec_id", "embedding", "bound"])
 
-    blocked = queries.withColumn("query_block", F.pmod(F.xxhash64(F.lit("query"), "vec_id", "embedding"), F.lit(query_blocks)).cast("int"))
-    return blocked.select("vec_id", "embedding", "query_block").mapInArrow(
-        run, "list int, block int, query_block int, vec_id long, embedding array<double>, bound double")
+    return queries.mapInArrow(run, "list int, block int, vec_id long, embedding array<double>, bound double")
 
 
 def scan(candidates: np.ndarray, queries: np.ndarray, bound: np.ndarray, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -160,42 +157,57 @@ def scan(candidates: np.ndarray, queries: np.ndarray, bound: np.ndarray, confide
     return pairs
 
 
+NEAR_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _best_of_block(index: Index, k: int, confidence: float, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The `k` best rows of one block, in order of their id, for each query of a batch."""
+    asked, sought, bound = np.asarray(queries["vec_id"]), _matrix(queries["embedding"], index.dimensions), np.asarray(queries["bound"])
+    step = max(1, (1 << 22) // len(ids))
+    for first in range(0, len(asked), step):
+        cut = slice(first, first + step)
+        query, found = scan(rotated, index.rotated(sought[cut], False), bound[cut], confidence)
+        query = query + first
+        other = asked[query] != ids[found]
+        query, found = query[other], found[other]
+        score = np.concatenate([np.zeros(0)] + [(sought[query[a: a + (1 << 18)]] * vectors[found[a: a + (1 << 18)]]).sum(1) for a in range(0, len(query), 1 << 18)])
+        best = np.lexsort((-score, ids[found], query))
+        same = (np.diff(query[best]) == 0) & (np.diff(ids[found[best]]) == 0)
+        best = best[np.concatenate((np.ones(min(len(best), 1), dtype=bool), ~same))]
+        query, found, score = query[best], found[best], score[best]
+        rank = np.lexsort((ids[found], -score, query))
+        query, found, score = query[rank], found[rank], score[rank]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < k
+        yield pa.RecordBatch.from_arrays([pa.array(asked[query[top]]), pa.array(ids[found[top]]), pa.array(score[top])], schema=NEAR_SCHEMA)
+
+
 def _best(index: Index, k: int, confidence: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(candidates) or not len(queries):
-            return schema.empty_table()
-        ids, vectors = np.asarray(candidates["vec_id"]), _matrix(candidates["embedding"].combine_chunks(), index.dimensions)
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        asked, sought = np.asarray(queries["vec_id"]), _matrix(queries["embedding"].combine_chunks(), index.dimensions)
-        bound, rotated = np.asarray(queries["bound"]), index.rotated(vectors, True)
-        out = []
-        step = max(1, (1 << 22) // len(ids))
-        for first in range(0, len(asked), step):
-            cut = slice(first, first + step)
-            query, found = scan(rotated, index.rotated(sought[cut], False), bound[cut], confidence)
-            query = query + first
-            other = asked[query] != ids[found]
-            query, found = query[other], found[other]
-            score = np.concatenate([np.zeros(0)] + [(sought[query[a: a + (1 << 18)]] * vectors[found[a: a + (1 << 18)]]).sum(1) for a in range(0, len(query), 1 << 18)])
-            best = np.lexsort((-score, ids[found], query))
-            same = (np.diff(query[best]) == 0) & (np.diff(ids[found[best]]) == 0)
-            best = best[np.concatenate((np.ones(min(len(best), 1), dtype=bool), ~same))]
-            query, found, score = query[best], found[best], score[best]
-            rank = np.lexsort((ids[found], -score, query))
-            query, found, score = query[rank], found[rank], score[rank]
-            place = np.arange(len(query)) - np.searchsorted(query, query)
-            top = place < k
-            out.append(pa.table([asked[query[top]], ids[found[top]], score[top]], schema=schema))
-        return pa.concat_tables(out)
+    """Rows come block by block, each block's vectors before the queries that probe it; the queries stream past."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, block = None, [], None
+        for batch in batches:
+            names = np.asarray(batch["list"]).astype(np.int64) << 32 | np.asarray(batch["block"])
+            asks = np.asarray(batch["is_query"])
+            edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (asks[1:] != asks[:-1]))[: len(batch)]).tolist()
+            for first, end in zip(edges, [*edges[1:], len(batch)], strict=True):
+                part = batch.slice(first, end - first)
+                if names[first] != name:
+                    name, parts, block = names[first], [], None
+                if not asks[first]:
+                    parts.append((np.asarray(part["vec_id"]), _matrix(part["embedding"], index.dimensions)))
+                elif parts:
+                    if block is None:
+                        ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        order = np.argsort(ids, kind="stable")
+                        block = ids[order], vectors[order], index.rotated(vectors[order], True)
+                    yield from _best_of_block(index, k, confidence, *block, part)
 
     return run
 
 
 def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, key: str = "vec_id", vector: str = "embedding",
-           confidence: float = CONFIDENCE, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+           confidence: float = CONFIDENCE, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each row that `is_query` holds for, the `k` other rows of largest inner product.
 
     Ties go to the smaller id. Ids name vectors: rows that repeat an id are one candidate (the better score counts), and
@@ -213,13 +225,13 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, k
     radius, blocks = np.zeros(len(index.centroids)), np.zeros(len(index.centroids), dtype=np.int64)
     for r in facts:
         radius[r.list], blocks[r.list] = r.radius, -(-r.n // block_rows)
-    query_blocks = max(1, -(-sum(r.asked for r in facts) // query_rows))
-    asked = probes(listed.filter(is_query).select("vec_id", "embedding"), index, k, radius, blocks, query_blocks)
+    asked = probes(listed.filter(is_query).select("vec_id", "embedding"), index, k, radius, blocks)
     per_list = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("list") + 1)
-    offered = listed.select("list", F.pmod(F.xxhash64("vec_id", "embedding"), per_list).cast("int").alias("block"),
-                            F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "embedding")
-    cell = ("list", "block", "query_block")
-    near = offered.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_best(index, k, confidence), "query_id long, vec_id long, score double")
+    offered = listed.select("list", F.pmod(F.xxhash64("vec_id", "embedding"), per_list).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "embedding",
+                            F.lit(None).cast("double").alias("bound"))
+    both = offered.unionByName(asked.withColumn("is_query", F.lit(True)))
+    near = both.repartition("list", "block").sortWithinPartitions("list", "block", "is_query").mapInArrow(
+        _best(index, k, confidence), "query_id long, vec_id long, score double")
     pairs = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -114,7 +114,7 @@ def test_neighbours_equal_brute_force(spark):
     vectors = np.concatenate((rng.normal(size=(600, 24)), np.repeat(rng.normal(size=(1, 24)), 300, 0) * 2, rng.normal(size=(100, 24)) * 0.05 + rng.normal(size=24)))
     vectors = vectors.astype(np.float32).astype(float)
     rows = [(int(k), v.tolist()) for k, v in enumerate(vectors)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_rows=100, block_rows=64, query_rows=16).collect()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_rows=100, block_rows=64).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         found.setdefault(r.query_id, []).append(r.vec_id)
@@ -150,7 +150,7 @@ def test_neighbours_of_repeated_ids_equal_brute_force(spark, case):
         rows += [(1000, rng.normal(size=24)) for _ in range(400)] + [(1000, rows[7][1])] * 400
     frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
     found = {}
-    for r in sorted(ann.search(frame, list_rows=100, block_rows=64, query_rows=16).collect(), key=lambda r: r["rank"]):
+    for r in sorted(ann.search(frame, list_rows=100, block_rows=64).collect(), key=lambda r: r["rank"]):
         found.setdefault(r.query_id, []).append(r.vec_id)
     asked = sorted({i for i, _ in rows if i % 20 == 0})
     assert sorted(found) == asked and all(len(x) == len(set(x)) == 20 for x in found.values())
