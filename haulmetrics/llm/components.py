@@ -1,6 +1,6 @@
 """Connected components by alternating large and small stars, all in joins and aggregations."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from haulmetrics.plans.staging import stage
@@ -20,8 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.withColumnRenamed("m", "b"))
-        edges = stage(small.filter("a != b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # what says whether a round changed anything is added up while the round is written
+        facts = Observation("edges")
+        edges = stage(small.filter("a != b").distinct().observe(facts, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = facts.get
         if now == seen:
             break
         seen = now

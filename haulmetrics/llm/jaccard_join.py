@@ -274,7 +274,7 @@ def _groups(group: int):
             for bucket, signature, place, table, flagged in zip(*(batch[c].to_pylist() for c in ("bucket", "signatures", "places", "keys", "hot")), strict=True):
                 table = np.frombuffer(table, dtype=np.int64)
                 if bucket < 0:
-                    yield _hot_rows(np.frombuffer(signature, dtype=np.uint64), table)
+                    yield _hot_rows(np.frombuffer(signature, dtype=np.uint64), table, group)
                     continue
                 raw = np.zeros((len(signature) * 8 // SIGNATURE_BITS, 8), dtype=np.uint8)
                 raw[:, : SIGNATURE_BITS // 8] = np.frombuffer(signature, dtype=np.uint8).reshape(-1, SIGNATURE_BITS // 8)
@@ -292,7 +292,7 @@ def _groups(group: int):
         members = np.repeat(many, times)
         for first in range(0, int(members.sum()), 65536):
             part = np.flatnonzero(members)[first: first + 65536]
-            yield _hot_rows(full[part], keys[part])
+            yield _hot_rows(full[part], keys[part], group)
         listed = np.flatnonzero(~many & (times > 1))
         digest = sums_of(mix(keys.view(np.uint64)), np.append(at, len(full)))[listed]
         _, once = np.unique(digest, return_index=True)
@@ -306,16 +306,22 @@ def _groups(group: int):
     return run
 
 
-def _hot_rows(signature: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32)), pa.array(keys))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), dtype=bool)), pa.array(signature.view(np.int64)), lists], names=["hot", "signature", "keys"])
+def _hot_rows(signature: np.ndarray, keys: np.ndarray, group: int) -> pa.RecordBatch:
+    """Members of hot signatures (in order of the signature), as lists of at most `group` keys each."""
+    at = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1]))[: len(signature)])
+    times = np.diff(np.append(at, len(signature)))
+    pieces = -(-times // group)
+    place = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(at, pieces) + group * place
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(keys))
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), dtype=bool)), pa.array(signature[first].view(np.int64)), lists], names=["hot", "signature", "keys"])
 
 
 def grouped(rows: DataFrame, buckets: int, group: int, name: str) -> tuple[DataFrame, DataFrame]:
     """`keys` (lists, each once) and `signature, key` of hot signatures, from rows of signatures."""
     found = stage(rows.repartition(buckets, "bucket").mapInArrow(_groups(group), GROUP_SCHEMA), name)
     lists = found.filter("NOT hot").select("keys").distinct()
-    return lists, found.filter("hot").select("signature", F.col("keys")[0].alias("key")).distinct()
+    return lists, found.filter("hot").select("signature", F.explode("keys").alias("key")).distinct()
 
 
 # --- one-deletion neighbourhoods ------------------------------------------------------------------------------------
