@@ -24,7 +24,7 @@ from haulmetrics.plans.staging import stage
 
 WINDOW = 10
 SLOP = 30
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 RAREST = 3
 INDEX_SCHEMA = "doc_id long, n_words long, terms binary, counts binary, positions binary"
 MATCH_SCHEMA = "doc_id long, n_words long, hit binary, phrase_items binary, near_items binary"
