@@ -1,19 +1,22 @@
 """Vehicle CSV files in, tables out."""
 
 import csv
-import re
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from haulmetrics.functions.scalars import ratio, round_half_even
-from haulmetrics.plans.staging import stage
+from haulmetrics.plans.staging import fresh_path, stage
 
 # The raw file's columns.
 RAW_COLUMNS = ["Timestamp", "Latitude", "Longitude", "Speed", "EngineStatus", "Odometer",
                "FuelLevelPercentage", "GPSLocated", "Direction"]
 SPARSE_PERCENT = 50
 REPEATS_TO_BROADCAST = 1_000_000  # fingerprints of 16 bytes
+FILES_TO_BROADCAST = 100_000  # a path and some places each
+ONE_FILE_BYTES = 1 << 32  # with this as a file's opening cost, a partition takes one file
+HEADER_BATCH_ROWS = 16
 # Cell texts that mean "missing".
 MISSING_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", ""]
@@ -71,30 +74,57 @@ def header_names(line: str) -> list[str]:
     return names
 
 
-def literal_path(path: str) -> str:
-    """A path in which no character acts as a wildcard."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line that is not blank, of a partition that holds the beginning of one file. The rest is not read."""
+    for batch in batches:
+        if batch.num_rows and batch["start"][0].as_py() > 0:
+            return
+        for at, line in enumerate(batch["value"].to_pylist()):
+            if line.strip():
+                yield batch.slice(at, 1).select(["path", "value"])
+                return
+
+
+def file_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """`path, header` of all `*.csv` of a folder that have a line. A task opens one file and stops behind its header.
+
+    The session's own settings would put many files in a partition, so the files are listed by a session beside it.
+    """
+    beside = spark.newSession()
+    for name, value in {"spark.sql.files.openCostInBytes": ONE_FILE_BYTES, "spark.sql.files.maxPartitionBytes": ONE_FILE_BYTES,
+                        "spark.sql.execution.arrow.maxRecordsPerBatch": HEADER_BATCH_ROWS}.items():
+        beside.conf.set(name, str(value))
+    lines = beside.read.option("pathGlobFilter", "*.csv").text(folder)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    target = fresh_path(spark, "file-headers")
+    first.mapInArrow(_first_line, "path string, value string").withColumnRenamed("value", "header").write.parquet(target)
+    return spark.read.parquet(target)
 
 
 def read_mixed_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """All `*.csv` of a folder by column name; a column a file lacks is NULL in its rows.
 
-    Files are grouped by header line, read one group at a time and united by name. The driver
-    holds file names only, as for any file listing.
+    Files are parsed in one scan, by position. Each meets the places of its header's columns, from which the united
+    columns are taken. Names that differ in case only are one column. The driver holds the different header lines, and no file names.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
-    headers = (lines.select("value", F.col("_metadata.file_path").alias("path"),
-                            F.col("_metadata.file_block_start").alias("start"),
-                            F.monotonically_increasing_id().alias("at"))
-               .where(F.col("start") == 0)
-               .groupBy("path").agg(F.min_by("value", "at").alias("header")))
-    paths: dict[str, list[str]] = {}
-    for row in headers.orderBy("header", "path").toLocalIterator():
-        paths.setdefault(row.header, []).append(literal_path(unquote(row.path)))
-    if not paths:
+    headers = file_headers(spark, folder)
+    lines = [row.header for row in headers.select("header").distinct().orderBy("header").toLocalIterator()]
+    if not lines:
         raise FileNotFoundError(f"no csv files in {folder}")
-    return stack_rows([_with_plate(spark.read.schema(text_schema(header_names(header))).option("header", True).csv(files))
-                       for header, files in paths.items()])
+    names = {line: [name.lower() for name in header_names(line)] for line in lines}
+    united = {name.lower(): name for line in reversed(lines) for name in reversed(header_names(line)) if not name.startswith(UNNAMED)}
+    order = list(dict.fromkeys(name for line in lines for name in names[line] if name in united and name != "carnumberplate"))
+    place = {line: {name: i for i, name in enumerate(its)} for line, its in names.items()}
+    places = spark.createDataFrame([(line, [place[line].get(name, -1) for name in order]) for line in lines], "header string, places array<int>")
+    of_file = headers.join(F.broadcast(places), "header").select("path", "places")
+    if headers.count() <= FILES_TO_BROADCAST:
+        of_file = F.broadcast(of_file)
+    cells = [f"_c{i}" for i in range(max(map(len, names.values())))]
+    rows = (spark.read.schema(text_schema(cells)).option("header", True).option("pathGlobFilter", "*.csv").csv(folder)
+            .select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name")))
+    return rows.join(of_file, "path").select(
+        *[present(F.get("cells", F.get("places", F.lit(k)))).alias(united[name]) for k, name in enumerate(order)],
+        plate_from_file_name(F.col("file_name")).alias("CarNumberPlate"))
 
 
 def stack_rows(parts: list[DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,52 @@ def test_headers_keep_their_places(spark, tmp_path):
     assert got == {("A1", "00:00", "10", "11", None), ("A1", "01:00", "12", "13", None), ("V[1]", "02:00", None, None, "7"), ("V1", "03:00", None, None, None)}
 
 
+def test_many_headers_in_one_scan(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path, f"V {i}.csv", f"Timestamp,x{i},Speed\n{i},a{i},{i * 2}\n")
+    df = files.read_mixed_csvs(spark, str(tmp_path))
+    assert df.columns[:3] == ["Timestamp", "x0", "Speed"] and len(df.columns) == 43
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("csv") == 1
+    for r in df.collect():
+        i = int(r.Timestamp)
+        assert r.CarNumberPlate == f"V{i}" and r.Speed == str(i * 2) and r[f"x{i}"] == f"a{i}"
+        assert sum(r[f"x{k}"] is not None for k in range(40)) == 1
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    write(tmp_path, "A.csv", "\n  \nTime,Speed,CarNumberPlate\n1,2,other\n3\n4,5,6,7\n")
+    write(tmp_path, "B.csv", "\ufeffspeed,TIME\n8,9\n")
+    write(tmp_path, "C.csv", "")
+    write(tmp_path, "D.csv", "Time,Speed\n")
+    df = files.read_mixed_csvs(spark, str(tmp_path))
+    assert [c.lower() for c in df.columns] == ["time", "speed", "carnumberplate"]
+    assert {tuple(r) for r in df.collect()} == {("1", "2", "A"), ("3", None, "A"), ("4", "5", "A"), ("9", "8", "B")}
+
+
+def test_no_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.read_mixed_csvs(spark, str(tmp_path))
+
+
+def test_files_beyond_the_broadcast_limit(spark, folder, monkeypatch):
+    whole = sorted(map(str, files.read_mixed_csvs(spark, folder).collect()))
+    monkeypatch.setattr(files, "FILES_TO_BROADCAST", 0)
+    assert sorted(map(str, files.read_mixed_csvs(spark, folder).collect())) == whole
+
+
+def test_only_the_beginning_is_read_for_headers(spark, tmp_path):
+    write(tmp_path, "A.csv", "a,b\n" + "1,2\n" * 100_000)
+    write(tmp_path, "B.csv", "b\n" + "2\n" * 100_000)
+    headers = {r.path.rsplit("/", 1)[1]: r.header for r in files.file_headers(spark, str(tmp_path)).collect()}
+    assert headers == {"A.csv": "a,b", "B.csv": "b"}
+
+    def lines():
+        yield pa.RecordBatch.from_pydict({"path": ["p"] * 3, "start": [0] * 3, "value": [" ", "a,b", "1,2"]})
+        raise AssertionError("read on")
+    assert [b.to_pylist() for b in files._first_line(lines())] == [[{"path": "p", "value": "a,b"}]]
+
+
 def test_header_names():
     assert files.header_names('\ufeffa,"b,c",,A, d \r\n') == ["a", "b,c", "_unnamed_2", "A.1", "d"]
 
