@@ -1,17 +1,21 @@
 """Training, comparing, saving and applying the route-efficiency models."""
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulmetrics.functions.scalars import clip
 from haulmetrics.operators import features as feat
+from haulmetrics.plans.staging import stage
 
-ZONES = 50
+ZONES, ZONE_STARTS = 50, 10
+STARTS_AT_ONCE = 4
 RIDGE_ALPHA = 1.0
 SEED = 42
 # Boosting rounds of the two models.
@@ -30,13 +34,23 @@ FAMILIES = {
 }
 
 
-def fit_zones(train: DataFrame, k: int = ZONES) -> PipelineModel:
-    """Origin and destination zones, fit on training trips."""
-    stages = []
+def zone_starts(points: DataFrame, zone: str, k: int = ZONES, starts: int = ZONE_STARTS) -> list[KMeansModel]:
+    """A model per seed from `SEED` on, a few at a time."""
+    kmeans = KMeans(k=k, featuresCol=f"_{zone}_point", predictionCol=zone)
+    fits = kmeans.fitMultiple(points, [{kmeans.seed: SEED + i} for i in range(starts)])
+    with ThreadPool(STARTS_AT_ONCE) as pool:
+        found = dict(pool.map(inheritable_thread_target(points.sparkSession)(lambda _: next(fits)), range(starts)))
+    return [found[i] for i in range(starts)]
+
+
+def fit_zones(train: DataFrame, k: int = ZONES, starts: int = ZONE_STARTS) -> PipelineModel:
+    """Origin and destination zones, fit on training trips: of several starts the one of least cost, the first among equals."""
+    points, stages = stage(train.select(*dict.fromkeys(c for columns in ZONE_COLUMNS.values() for c in columns)), "zone-points"), []
     for zone, columns in ZONE_COLUMNS.items():
-        stages.append(VectorAssembler(inputCols=columns, outputCol=f"_{zone}_point"))
-        stages.append(KMeans(k=k, seed=SEED, featuresCol=f"_{zone}_point", predictionCol=zone))
-    return Pipeline(stages=stages).fit(train)
+        assembler = VectorAssembler(inputCols=columns, outputCol=f"_{zone}_point")
+        models = zone_starts(assembler.transform(points), zone, k, starts)
+        stages += [assembler, min(models, key=lambda m: m.summary.trainingCost)]
+    return PipelineModel(stages=stages)
 
 
 def apply_zones(df: DataFrame, zones: PipelineModel) -> DataFrame:

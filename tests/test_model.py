@@ -114,3 +114,16 @@ def test_trips_model_learns_the_bucket_speed_target(spark, frame):
     reference = {r.distance_bucket: r.reference_speed for r in features.reference_speeds(frame.where("is_train")).collect()}
     speed = min(1.0, row.Avg_Speed / (reference[row.distance_bucket] + 1e-6))
     assert row.route_efficiency == pytest.approx(0.5 * row.directness_efficiency + 0.3 * (1 - row.idle_ratio) + 0.2 * speed)
+
+
+def test_zones_take_the_cheapest_start(spark):
+    at = [(a + i * 0.01, b + i * 0.02, b, a) for a, b in ((0.0, 0.0), (5.0, 5.0), (5.0, 0.0), (0.0, 9.0), (2.0, 7.0)) for i in range(8)]
+    train = spark.createDataFrame(at, "lat_start double, lon_start double, lat_end double, lon_end double").repartition(2, "lat_start")
+    zones = model.fit_zones(train, k=4, starts=5)
+    for assembler, chosen in zip(zones.stages[::2], zones.stages[1::2]):
+        points = assembler.transform(train)
+        single = model.zone_starts(points, chosen.getPredictionCol(), k=4, starts=5)
+        assert [m.getSeed() for m in single] == [model.SEED + i for i in range(5)]
+        cost = min(m.summary.trainingCost for m in single)
+        assert chosen.summary.trainingCost == pytest.approx(cost)
+    assert model.apply_zones(train, zones).where("zone_start_id BETWEEN 0 AND 3 AND zone_end_id BETWEEN 0 AND 3").count() == len(at)
