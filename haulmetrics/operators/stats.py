@@ -148,7 +148,8 @@ def spearman_pairs(df: DataFrame, row_id: str, pairs: list[tuple[str, str]],
     ranks = average_ranks(counts, ["i", "within"]).select("i", "within", "bucket", "value", "rank")
     # A row has at most one entry per column and context.
     entry = F.struct((F.col("i") * size + F.col("within")).alias("k"), "rank")
-    by_row = (cells.join(ranks, ["i", "within", "bucket", "value"]).groupBy(row_id)
+    # The file behind the cells says nothing of their number, nor do the counts of that of the ranks: neither side is broadcast.
+    by_row = (cells.join(ranks.hint("merge"), ["i", "within", "bucket", "value"]).groupBy(row_id)
               .agg(F.map_from_entries(F.collect_list(entry)).alias("ranks")))
     keys = sorted({k for *_, kx, ky in lookups for k in (kx, ky)})
     wide = by_row.select(F.array(*[F.try_element_at("ranks", F.lit(k)) for k in keys]).alias("v"))

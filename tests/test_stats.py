@@ -37,6 +37,15 @@ def test_spearman_with_gaps_and_ties(table, bucket_rows):
         assert r.spearman_r == pytest.approx(want.loc[r.x, r.y], abs=1e-12), (r.x, r.y)
 
 
+def test_ranks_are_not_broadcast(spark, table, tmp_path):
+    """A small file says nothing of the cells and ranks made from it."""
+    table[0].write.parquet(str(tmp_path / "rows"))
+    got = stats.spearman_pairs(spark.read.parquet(str(tmp_path / "rows")), "id", [("a", "y"), ("b", "y")])
+    got.collect()
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "value" in line]
+    assert joins and not any("Broadcast" in line for line in joins), joins
+
+
 def test_pearson_and_ranking(table):
     df, pdf = table
     want = pdf[NAMES].corr()
