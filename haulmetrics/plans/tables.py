@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haulmetrics.operators import features, model, points, route, trips_hybrid, trips_ignition
 from haulmetrics.operators.normalize import snake_case, valid_coordinates
 from haulmetrics.operators.timeline import BUCKET_SECONDS
-from haulmetrics.plans.staging import fresh_path, stage
+from haulmetrics.plans.staging import fresh_path, stage_dense
 
 Save = Callable[[DataFrame, str], DataFrame]
 
@@ -21,7 +21,7 @@ class Tables:
     executor costs one stage.
     """
 
-    def __init__(self, pings: DataFrame, save: Save = stage, width_seconds: int = BUCKET_SECONDS):
+    def __init__(self, pings: DataFrame, save: Save = stage_dense, width_seconds: int = BUCKET_SECONDS):
         self._source, self._save, self._width = pings, save, width_seconds
         self.spark: SparkSession = pings.sparkSession
 

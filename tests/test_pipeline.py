@@ -3,6 +3,7 @@
 import os
 
 from haulmetrics.plans import pipeline
+from haulmetrics.plans.tables import Tables
 from haulmetrics.sources.files import read_clustered
 
 
@@ -49,3 +50,10 @@ def test_files_to_predictions(spark, tmp_path):
 def pipeline_required():
     from haulmetrics.operators.features import REQUIRED
     return REQUIRED
+
+
+def test_tables_of_the_analysis_are_written_densely(spark):
+    rows = spark.range(50).select("id")
+    saved = Tables(rows).pings
+    assert [r.id for r in saved.orderBy("id").collect()] == list(range(50))
+    assert all(f.endswith(".zstd.parquet") for f in saved.inputFiles())
