@@ -12,7 +12,9 @@ in more sets is hot. Lists and hot groups are first linked around a few members
 group still holds several components, its sets are indexed again: all their segments, and, if hot ones exceed the
 budget, one-deletion neighbourhoods of the others (threshold 1), which make up for `m - (H + 1) / 2` hot segments.
 What is left, sets of hot segments nearly throughout, links only if they share a shingle that is not hot (then it gives a
-list), or if such shingles are at most a seventh of both; only pairs of that kind are compared through hot groups.
+list), or through their hot shingles alone. Sets with the same hot shingles are one part then, of which the set with the
+fewest other shingles stands for all. Parts are compared in blocks, and what goes on is a spanning forest of their links and,
+for each part, the partner that leaves most room: a set that links with any links with that one, and so do the heads.
 
 Candidates are tested on sizes and parity sketches, which rule out most but no link, and the rest is verified on whole
 sets, read again from the text. Sets are fingerprinted by 64-bit hashes of shingles and sets.
@@ -37,6 +39,8 @@ SIGNATURE_BITS = 40
 SLACK = 1.25
 SELDOM = 3  # a signature met more often in one batch is counted
 CENTRES, SIZES_PER_FACTOR = 4, 8
+BLOCK_SETS, BLOCK_SHINGLES, BLOCK_PAIRS = 256, 1 << 16, 32  # parts and shingles of a block, as a mean; pairs of blocks in a task
+COLUMNS = 4096
 COMMON = 1_000_000  # signatures of the highest counts that every task knows (8 MB); they steer costs, not results
 
 
@@ -320,8 +324,49 @@ def _hot_rows(signature: np.ndarray, keys: np.ndarray, group: int) -> pa.RecordB
 def grouped(rows: DataFrame, buckets: int, group: int, name: str) -> tuple[DataFrame, DataFrame]:
     """`keys` (lists, each once) and `signature, key` of hot signatures, from rows of signatures."""
     found = stage(rows.repartition(buckets, "bucket").mapInArrow(_groups(group), GROUP_SCHEMA), name)
-    lists = found.filter("NOT hot").select("keys").distinct()
-    return lists, found.filter("hot").select("signature", F.explode("keys").alias("key")).distinct()
+    return found.filter("NOT hot").select("keys").distinct(), found.filter("hot").select("signature", "keys")
+
+
+def members(hot: DataFrame) -> DataFrame:
+    """`signature, key` of hot signatures, each once."""
+    return hot.select("signature", F.explode("keys").alias("key")).distinct()
+
+
+def _dealt(slots: int):
+    """Members of hot signatures, packed by slot of their key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch["keys"].flatten())
+            signature = np.repeat(np.asarray(batch["signature"]), np.asarray(batch["keys"].value_lengths()))
+            slot = ((mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            cut = np.searchsorted(slot[order], np.arange(slots + 1))
+            filled = np.flatnonzero(np.diff(cut)).tolist()
+            packed = lambda x: pa.array([x[order[cut[k]: cut[k + 1]]].tobytes() for k in filled], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), packed(keys), packed(signature)], names=["slot", "keys", "signatures"])
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, signature = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for batch in batches:
+        keys += [np.frombuffer(b, dtype=np.int64) for b in batch["keys"].to_pylist()]
+        signature += [np.frombuffer(b, dtype=np.int64) for b in batch["signatures"].to_pylist()]
+    keys, signature = np.concatenate(keys), np.concatenate(signature)
+    order = np.lexsort((signature, keys))
+    keys, signature = keys[order], signature[order]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (signature[1:] != signature[:-1])))[: len(keys)]
+    keys, signature = keys[new], signature[new]
+    at = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]), len(keys))
+    for first in range(0, len(at) - 1, 4096):
+        part = at[first: first + 4097]
+        lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(signature[part[0]: part[-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part[:-1]]), lists], names=["key", "hot"])
+
+
+def hot_of_keys(hot: DataFrame, slots: int) -> DataFrame:
+    """`key, hot`: the hot signatures of each set, which travel packed."""
+    return hot.mapInArrow(_dealt(slots), "slot int, keys binary, signatures binary").repartition(slots, "slot").mapInArrow(_gathered, "key long, hot array<long>")
 
 
 # --- one-deletion neighbourhoods ------------------------------------------------------------------------------------
@@ -329,18 +374,23 @@ def grouped(rows: DataFrame, buckets: int, group: int, name: str) -> tuple[DataF
 DELETION_SCHEMA = "signature long, key long, deleted boolean"
 
 
-def _second_look(batch: pa.RecordBatch, shingles: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per size band: picked sets, differences of band and set, band; owner of each filled segment, whether it is not hot;
-    hot or empty segments of each set; and the segments themselves with their elements."""
+def _is_hot(batch: pa.RecordBatch, row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether signatures of the batch's sets are among the hot ones of their set."""
     buckets = batch["buckets"][0].as_py() if len(batch) else 1
     hot = [np.array(h, dtype=np.int64).view(np.uint64) for h in batch["hot"].to_pylist()]
     of_set = lambda row, signature: mix(mix(row.astype(np.uint64)) ^ signature)
     known = of_set(np.repeat(np.arange(len(hot)), [len(h) for h in hot]), np.concatenate([np.zeros(0, dtype=np.uint64), *hot]))
+    bucket, short = _short(values, buckets)
+    return np.isin(of_set(row, (bucket.astype(np.uint64) << np.uint64(SIGNATURE_BITS)) | short), known)
+
+
+def _second_look(batch: pa.RecordBatch, shingles: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per size band: picked sets, differences of band and set, band; owner of each filled segment, whether it is not hot;
+    hot or empty segments of each set; and the segments themselves with their elements."""
     for picked, most, own, band in schemes(np.diff(bounds)):
         m = np.ceil(SLACK * most).astype(np.int64) + 1
         owner, size, total, where, element, edges = segments(shingles, bounds, picked, m, band, 0)
-        bucket, short = _short(mix(total ^ where), buckets)
-        cool = ~np.isin(of_set(picked[owner], (bucket.astype(np.uint64) << np.uint64(SIGNATURE_BITS)) | short), known)
+        cool = ~_is_hot(batch, picked[owner], mix(total ^ where))
         unfit = m - np.bincount(owner, cool, len(picked)).astype(np.int64)
         yield picked, most, own, band, owner, cool, unfit, (size, total, where), (element, edges)
 
@@ -490,7 +540,7 @@ def link(docs: DataFrame, group: int = GROUP, bucket_signatures: int = BUCKET_SI
 
     # what stars have not joined: all pairs of lists across components; hot groups across components by more signatures
     more = _pairs_across(lists, labels, classes)
-    open_hot = _labelled(hot, labels)
+    open_hot = _labelled(members(hot), labels)
     undecided = open_hot.join(open_hot.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high"), "signature")
     affected = stage(undecided.select("key").distinct(), "hot-sets")
     if not affected.isEmpty():
@@ -511,7 +561,7 @@ def link(docs: DataFrame, group: int = GROUP, bucket_signatures: int = BUCKET_SI
 def _stars(lists: DataFrame, hot: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that join copies at the cost of a row per member: every list around its least key, every hot group, cut by
     size, around a few members that differ from group to group."""
-    sized = hot.join(classes.select("key", "n"), "key").select("signature", "key", F.floor(F.ln("n") * SIZES_PER_FACTOR).alias("size"))
+    sized = members(hot).join(classes.select("key", "n"), "key").select("signature", "key", F.floor(F.ln("n") * SIZES_PER_FACTOR).alias("size"))
     centres = sized.groupBy("signature", "size").agg(
         F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(CENTRES)])).alias("centres"))
     around = sized.join(centres, ["signature", "size"]).select(F.explode("centres").alias("a"), F.col("key").alias("b"))
@@ -523,7 +573,7 @@ def _hot_pairs(sets: DataFrame, lists: DataFrame, hot: DataFrame, labels: DataFr
     """Candidates between sets that share hot signatures but no component yet."""
     pairs = _pairs_across(lists, labels, classes)
 
-    marked = stage(sets.join(hot.groupBy("key").agg(F.collect_set("signature").alias("hot")), "key").withColumn("buckets", F.lit(buckets)), "hot-marked")
+    marked = stage(sets.join(hot_of_keys(hot, buckets), "key").withColumn("buckets", F.lit(buckets)), "hot-marked")
     near = stage(marked.mapInArrow(_deletions, DELETION_SCHEMA).distinct(), "one-deletions")
     both = near.groupBy("signature").agg(F.count_if("deleted").alias("d"), F.count_if(~F.col("deleted")).alias("f")).filter("d > 0 AND f > 0")
     met = near.join(both, "signature")
@@ -532,22 +582,12 @@ def _hot_pairs(sets: DataFrame, lists: DataFrame, hot: DataFrame, labels: DataFr
     across = labelled.join(_labelled(less.select("signature", "key"), labels).withColumnRenamed("key", "b"), "signature").filter("low != component AND a != b")
     pairs = pairs.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    # sets of hot segments nearly throughout: linked ones share a shingle that is not hot, or have few of those between them
-    beyond = stage(_labelled(marked.mapInArrow(_beyond, BEYOND_SCHEMA), labels), "beyond-budget")
-    rest = sets.join(beyond.select("key"), "key")
+    # sets of hot segments nearly throughout: linked ones share a shingle that is not hot, or link by hot shingles alone
+    rest = sets.join(stage(marked.mapInArrow(_beyond, "key long"), "beyond-budget"), "key")
     shared, common = grouped(rest.mapInArrow(_shingle_blobs(buckets, group), BLOB_SCHEMA), buckets, group, "shingle-groups")
     pairs = pairs.unionByName(_pairs_across(shared, labels, classes))
-    few = beyond.join(common.groupBy("key").agg(F.count("*").alias("hot_shingles")), "key")
-    few = stage(few.select("key", "n", "component", "severe", (F.col("n") - F.col("hot_shingles")).alias("own"), F.explode("hot").alias("signature")), "hot-members")
-    left = few.filter("severe AND 7 * own <= n").select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("low"))
-    right = few.select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("component").alias("high"))
-    joined = left.join(right, "signature").filter("low != high AND 7 * (own_a + own_b) <= n_a + n_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    # the larger own part may be on the side that is severe
-    other = few.filter("severe AND 7 * own > n").select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("low"))
-    low_own = few.filter("7 * own <= n").select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("component").alias("high"))
-    turned = other.join(low_own, "signature").filter("low != high AND 7 * (own_a + own_b) <= n_a + n_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    ends = joined.select("a", "b").unionByName(turned.select("a", "b"))
-    return pairs.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    parts = rest.join(hot_of_keys(common, buckets), "key").withColumn("buckets", F.lit(buckets)).mapInArrow(_hot_parts, PART_SCHEMA)
+    return pairs.unionByName(_across(part_links(stage(parts, "hot-parts")), labels))
 
 
 def _shingle_blobs(buckets: int, group: int):
@@ -559,21 +599,138 @@ def _shingle_blobs(buckets: int, group: int):
     return run
 
 
-BEYOND_SCHEMA = "key long, n long, hot array<long>, severe boolean"
-
-
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with more hot or empty segments than their budget, and whether one-deletions cannot make up for them."""
+    """Sets with more hot or empty segments than their budget."""
     for batch in batches:
         shingles, bounds = _sets(batch)
-        lacking, severe = (np.zeros(len(batch), dtype=bool) for _ in range(2))
+        lacking = np.zeros(len(batch), dtype=bool)
         for picked, most, own, _, _, _, unfit, _, _ in _second_look(batch, shingles, bounds):
-            m = np.ceil(SLACK * most).astype(np.int64) + 1
-            lacking[picked] |= unfit > m - own - 1
-            severe[picked] |= 2 * unfit >= 2 * m - own
-        mask = pa.array(lacking)
-        yield pa.RecordBatch.from_arrays([batch["key"].filter(mask), batch["n"].filter(mask), batch["hot"].filter(mask), pa.array(severe).filter(mask)],
-                                         names=["key", "n", "hot", "severe"])
+            lacking[picked] |= unfit > np.ceil(SLACK * most).astype(np.int64) - own
+        yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(lacking))], names=["key"])
+
+
+# --- sets of hot shingles --------------------------------------------------------------------------------------------
+
+PART_SCHEMA = "key long, part long, own long, size long, least long, shingles binary"
+
+
+def _hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets that can link by hot shingles alone (three quarters of them at least): these shingles, and how many others there are."""
+    for batch in batches:
+        shingles, bounds = _sets(batch)
+        n = np.diff(bounds)
+        row = np.repeat(np.arange(len(n)), n)
+        hot = _is_hot(batch, row, shingles)
+        size = np.bincount(row[hot], minlength=len(n)).astype(np.int64)
+        shingles, bounds = _some(shingles[hot], np.concatenate(([0], np.cumsum(size))), np.flatnonzero(4 * size >= 3 * n))
+        at = np.flatnonzero(4 * size >= 3 * n)
+        scattered = mix(shingles)
+        least = [int(scattered[i:j].min().view(np.int64)) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([
+            batch["key"].take(pa.array(at)), pa.array(set_keys(shingles, bounds)), pa.array((n - size)[at]), pa.array(size[at]), pa.array(least, pa.int64()),
+            pa.array([shingles[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
+        ], names=["key", "part", "own", "size", "least", "shingles"])
+
+
+def part_links(parts: DataFrame) -> DataFrame:
+    """Links of sets by their hot shingles alone, enough of them to connect all that link so; no more than a few per set and block.
+
+    In a part, and between two parts, whether sets link depends on how many other shingles (`own`) they have together. So a
+    set that links with any set of another part links with its head (the least `own`), and where several parts are near, the
+    heads of all that a set links with link with the head of its own part.
+    """
+    heads = parts.groupBy("part").agg(F.min(F.struct("own", "key")).alias("head"), F.max("size").alias("size"), F.max("least").alias("least"), F.max("shingles").alias("shingles"))
+    heads = stage(heads.select("part", F.col("head.key").alias("head"), F.col("head.own").alias("head_own"), "size", "least", "shingles"), "part-heads")
+    blocks = heads.join(heads.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s")), "least").withColumn(
+        "block", F.xxhash64("least", F.pmod("part", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)))))
+    blocks = stage(blocks.groupBy("block").agg(F.collect_list(F.struct("part", "head", "head_own", "size", "shingles")).alias("members")), "part-blocks")
+    met = blocks.mapInArrow(_prefixes, "shingle long, block long").groupBy("shingle").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    met = stage(met.select("blocks").distinct().mapInArrow(_block_pairs, "i long, j long").distinct(), "block-pairs")
+    side = lambda x, y: blocks.select(F.col("block").alias(x), F.col("members").alias(y))
+    both = met.join(side("i", "left"), "i").join(side("j", "right"), "j").repartition(met.count() // BLOCK_PAIRS + 1)
+    found = stage(both.mapInArrow(_block_links, "part long, room long, a long, b long"), "part-links")
+    best = found.filter("part IS NOT NULL").groupBy("part").agg(F.max_by("b", "room").alias("b"), F.max("room").alias("room"))
+    within = parts.join(heads.select("part", "head", "head_own"), "part").filter("3 * (own + head_own) <= size").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    nearest = parts.join(best, "part").filter("3 * own <= room").select(F.col("key").alias("a"), "b")
+    pairs = found.filter("part IS NULL").select("a", "b").unionByName(within).unionByName(nearest).filter("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles by which blocks meet: of each part, the quarter that comes first; linked parts share one of those."""
+    for batch in batches:
+        for block, inside in zip(batch["block"].to_pylist(), batch["members"].to_pylist(), strict=True):
+            first = [np.sort(mix(np.frombuffer(x["shingles"], dtype=np.uint64)))[: x["size"] // 4 + 1] for x in inside]
+            shingle = np.unique(np.concatenate(first)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.full(len(shingle), block, dtype=np.int64))], names=["shingle", "block"])
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks that meet, each block with itself too."""
+    for batch in batches:
+        seen = set()
+        for blocks in batch["blocks"].to_pylist():
+            seen.update((x, y) for i, x in enumerate(blocks) for y in blocks[i:])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], pa.int64()) for k in (0, 1)], names=["i", "j"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks: a spanning forest of the links between heads (no part), and each part's partner that leaves most room,
+    three times the shingles of its own that a set of the part may have."""
+    for batch in batches:
+        for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+            both = [*left, *right] if left != right else left
+            side = slice(len(left)), slice(len(both) - len(right), len(both))
+            part, head, own, size = (np.array([x[c] for x in both], dtype=np.int64) for c in ("part", "head", "head_own", "size"))
+            common = _common([x["shingles"] for x in left], [x["shingles"] for x in right])
+            room = 7 * common - 3 * (size[side[0], None] + size[None, side[1]])
+            room[part[side[0], None] == part[None, side[1]]] = -1
+            rows = []
+            for spare, near, mine in ((room - 3 * own[None, side[1]], head[side[1]], part[side[0]]), ((room - 3 * own[side[0], None]).T, head[side[0]], part[side[1]])):
+                best = spare.argmax(1)
+                most = spare[np.arange(len(best)), best]
+                rows += [(int(p), int(m), None, int(b)) for p, m, b in zip(mine, most, near[best], strict=True) if m >= 0]
+            linked = np.zeros((len(both), len(both)), dtype=bool)
+            linked[side] = room >= 3 * (own[side[0], None] + own[None, side[1]])
+            rows += [(None, None, int(head[i]), int(head[j])) for i, j in _forest(linked | linked.T)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["part", "room", "a", "b"])
+
+
+def _common(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many shingles each of the left sets has in common with each of the right ones."""
+    arrays = [[np.frombuffer(b, dtype=np.uint64) for b in x] for x in (left, right)]
+    known = np.intersect1d(*(np.unique(np.concatenate(x)) for x in arrays))
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    marks = []
+    for x in arrays:
+        value = np.concatenate(x)
+        at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+        hit = known[at] == value if len(known) else np.zeros(len(value), dtype=bool)
+        marks.append((np.repeat(np.arange(len(x)), [len(y) for y in x])[hit], at[hit]))
+    for first in range(0, len(known), COLUMNS):
+        tables = []
+        for x, (row, at) in zip(arrays, marks, strict=True):
+            table = np.zeros((len(x), min(COLUMNS, len(known) - first)), dtype=np.float32)
+            inside = (at >= first) & (at < first + COLUMNS)
+            table[row[inside], at[inside] - first] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a graph, from its matrix."""
+    out, fresh = [], np.ones(len(linked), dtype=bool)
+    for start in range(len(linked)):
+        walk = [start] if fresh[start] else []
+        fresh[start] = False
+        while walk:
+            at = walk.pop()
+            found = np.flatnonzero(linked[at] & fresh).tolist()
+            fresh[found] = False
+            out += [(at, x) for x in found]
+            walk += found
+    return out
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

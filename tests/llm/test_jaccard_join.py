@@ -97,3 +97,33 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7 + 93), (200, 201), (202, 201), (300, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 200: 200, 201: 200, 202: 200}
+
+
+def test_sets_of_hot_shingles_are_connected_by_few_pairs(spark, monkeypatch):
+    """Every link by hot shingles alone is in a component of the pairs, whose number grows with the sets and not with their square."""
+    import numpy as np
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
+    rng = random.Random(7)
+    hot = [frozenset(rng.sample(range(1, 2**60), 40)) for _ in range(3)]
+    sets = [(frozenset(rng.sample(sorted(base := rng.choice(hot)), len(base) - rng.randint(0, 8))), rng.randint(0, 8)) for _ in range(300)]
+    sets = [(p, own) for p, own in sets if 4 * len(p) >= 3 * (len(p) + own)]
+    rows = []
+    for key, (p, own) in enumerate(sets):
+        values = np.array(sorted(p), dtype=np.uint64)
+        part = int(jaccard_join.set_keys(values, np.array([0, len(p)]))[0])
+        rows.append((key, part, own, len(p), int(jaccard_join.mix(values).min().view(np.int64)), bytearray(values.tobytes())))
+    pairs = jaccard_join.part_links(spark.createDataFrame(rows, jaccard_join.PART_SCHEMA)).collect()
+
+    def named(edges):
+        name = list(range(len(sets)))
+        for _ in sets:
+            for a, b in edges:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    linked = [(a, b) for a in range(len(sets)) for b in range(a)
+              if 7 * len(sets[a][0] & sets[b][0]) >= 3 * (len(sets[a][0]) + sets[a][1] + len(sets[b][0]) + sets[b][1])]
+    assert {(p.a, p.b) for p in pairs} <= {(b, a) for a, b in linked}
+    assert named([(p.a, p.b) for p in pairs]) == named(linked)
+    assert len(pairs) < 4 * len(sets) < len(linked)
