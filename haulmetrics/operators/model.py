@@ -21,6 +21,7 @@ SEED = 42
 # Boosting rounds of the two models.
 BOOSTING_ROUNDS = {"telemetry": 300, "trips": 200}
 LEARNING_RATE, MIN_LEAF_ROWS = 0.05, 20
+FIT_ROWS = 100_000  # training rows a task should have, where there are more tasks than cores
 TREE_DEPTH = 5  # 32 leaves, next to the 31 of a leaf-wise tree
 MODEL_VERSION = "spark_gbt_v1"
 # One-hot encoded inputs.
@@ -126,6 +127,12 @@ class Bundle:
         return self.encoder.transform(feat.fill_features(df, list(meta.numeric_features)))
 
 
+def for_fitting(vectors: DataFrame, rows: int) -> DataFrame:
+    """The same rows in no more partitions than rows or cores ask for. A boosting round runs a dozen stages, each of a task
+    per partition that reports to the driver, so what it costs should follow from the rows and not from the shuffle settings."""
+    return vectors.coalesce(max(vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // FIT_ROWS)))
+
+
 def train(frame: DataFrame, feature_set: str = "telemetry", rounds: int | None = None) -> tuple[Bundle, DataFrame]:
     """Fit on `is_train` rows; gives the bundle and both models' metrics per split.
 
@@ -142,7 +149,7 @@ def train(frame: DataFrame, feature_set: str = "telemetry", rounds: int | None =
     facts = rows.agg(F.avg(feat.TARGET).alias("m"), F.count(F.lit(1)).alias("n")).first()
     with_levels = feat.fill_features(feat.encode_vehicle(apply_zones(frame, zones), means, F.lit(facts.m)), numeric)
     encoder = fit_encoder(with_levels.where("is_train"), numeric)
-    vectors = encoder.transform(with_levels).select("trip_id", "is_train", feat.TARGET, "features")
+    vectors = for_fitting(encoder.transform(with_levels).select("trip_id", "is_train", feat.TARGET, "features"), facts.n)
     vectors.persist()
     try:
         ridge = fit_ridge(vectors.where("is_train"))

@@ -127,3 +127,9 @@ def test_zones_take_the_cheapest_start(spark):
         cost = min(m.summary.trainingCost for m in single)
         assert chosen.summary.trainingCost == pytest.approx(cost)
     assert model.apply_zones(train, zones).where("zone_start_id BETWEEN 0 AND 3 AND zone_end_id BETWEEN 0 AND 3").count() == len(at)
+
+
+@pytest.mark.parametrize("rows, partitions", [(500, 4), (700_000, 7), (10**9, 40)])
+def test_fits_run_on_as_many_tasks_as_rows_or_cores_ask_for(spark, rows, partitions):
+    few = model.for_fitting(spark.range(500).repartition(40), rows)
+    assert few.rdd.getNumPartitions() == partitions and sorted(r.id for r in few.collect()) == list(range(500))
