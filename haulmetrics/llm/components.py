@@ -10,7 +10,7 @@ def components(edges: DataFrame) -> DataFrame:
     """`(a, b)` edges between longs to `(node, component)`, the least node of each component; nodes without edge are left out.
 
     A round makes every node point to the least one it knows of; edges become stars in a logarithmic number of rounds.
-    Each round is written, so a lost executor repeats one round.
+    Each round is written, and so is the result, which plans that use it several times scan.
     """
     edges = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -27,5 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")

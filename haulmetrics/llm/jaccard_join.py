@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SIGNATURE_BITS = 40
 SLACK = 1.25
 SELDOM = 3  # a signature met more often in one batch is counted
 CENTRES, SIZES_PER_FACTOR = 4, 8
+STARS = 8  # centres of hot groups that a set is compared with first; what they leave apart is compared later
+PIECE_SHINGLES, PIECE_CENTRES = 1 << 18, 1 << 18  # shingles and centres a task works on at a time
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_PAIRS = 256, 1 << 16, 32  # parts and shingles of a block, as a mean; pairs of blocks in a task
 COLUMNS = 4096
 COMMON = 1_000_000  # signatures of the highest counts that every task knows (8 MB); they steer costs, not results
@@ -255,13 +258,34 @@ def _text_blobs(buckets: int, group: int, common: np.ndarray):
 def _set_blobs(buckets: int, group: int):
     """The same for sets at hand, with all their segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _whole_sets(batches):
             shingles, bounds = _sets(batch)
             row, value = signatures(shingles, bounds, True)
             yield from blobs(np.asarray(batch["key"])[row], value, buckets, group)
     return run
 
 
+def _one_by_one(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """Rows of the batch as Python values, one at a time."""
+    return ((*(batch[c][i].as_py() for c in columns),) for i in range(len(batch)))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int, unit: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of about `most` values of the list column (or units of bytes of the binary one) each."""
+    for batch in batches:
+        lengths = batch[column].value_lengths() if pa.types.is_list(batch[column].type) else pc.binary_length(batch[column])
+        ends = np.cumsum(np.asarray(pc.fill_null(lengths, 0), dtype=np.int64) // unit)
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _pieces(batches, "shingles", PIECE_SHINGLES, 8)
+
+
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = batch["shingles"].to_pylist()
     return np.frombuffer(b"".join(column), dtype=np.uint64), np.concatenate(([0], np.cumsum([len(b) // 8 for b in column]))).astype(np.int64)
@@ -275,7 +299,7 @@ def _groups(group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full, keys, hot = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         for batch in batches:
-            for bucket, signature, place, table, flagged in zip(*(batch[c].to_pylist() for c in ("bucket", "signatures", "places", "keys", "hot")), strict=True):
+            for bucket, signature, place, table, flagged in _one_by_one(batch, "bucket", "signatures", "places", "keys", "hot"):
                 table = np.frombuffer(table, dtype=np.int64)
                 if bucket < 0:
                     yield _hot_rows(np.frombuffer(signature, dtype=np.uint64), table, group)
@@ -377,9 +401,8 @@ DELETION_SCHEMA = "signature long, key long, deleted boolean"
 def _is_hot(batch: pa.RecordBatch, row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether signatures of the batch's sets are among the hot ones of their set."""
     buckets = batch["buckets"][0].as_py() if len(batch) else 1
-    hot = [np.array(h, dtype=np.int64).view(np.uint64) for h in batch["hot"].to_pylist()]
     of_set = lambda row, signature: mix(mix(row.astype(np.uint64)) ^ signature)
-    known = of_set(np.repeat(np.arange(len(hot)), [len(h) for h in hot]), np.concatenate([np.zeros(0, dtype=np.uint64), *hot]))
+    known = of_set(np.repeat(np.arange(len(batch)), np.asarray(batch["hot"].value_lengths())), np.asarray(batch["hot"].flatten()).view(np.uint64))
     bucket, short = _short(values, buckets)
     return np.isin(of_set(row, (bucket.astype(np.uint64) << np.uint64(SIGNATURE_BITS)) | short), known)
 
@@ -397,7 +420,7 @@ def _second_look(batch: pa.RecordBatch, shingles: np.ndarray, bounds: np.ndarray
 
 def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sets with more hot or empty segments than their budget: signatures of the other segments, whole and less one element."""
-    for batch in batches:
+    for batch in _whole_sets(batches):
         shingles, bounds = _sets(batch)
         keys = np.asarray(batch["key"])
         for picked, most, own, _, owner, cool, unfit, (size, total, where), (element, edges) in _second_look(batch, shingles, bounds):
@@ -417,7 +440,7 @@ def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+        for x, y in _one_by_one(batch, "left", "right"):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             common = int((y[at] == x).sum())
@@ -428,8 +451,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
-        mask = pa.array([7 * sketch_distance(x, y) <= n + m for n, m, x, y in zip(*columns, strict=True)], pa.bool_())
+        mask = pa.array([7 * sketch_distance(x, y) <= n + m for n, m, x, y in _one_by_one(batch, "n_a", "n_b", "sketch_a", "sketch_b")], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
 
@@ -472,7 +494,7 @@ def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each list (bounded in length): the pairs across components that sizes and sketches do not rule out."""
     for batch in batches:
         out = []
-        for members in batch["members"].to_pylist():
+        for members, in _one_by_one(batch, "members"):
             members = sorted((x["n"], x["key"], x["component"], x["sketch"]) for x in members)
             for i, (n, key, component, sketch) in enumerate(members):
                 for m, other, far, longer in members[i + 1:]:
@@ -488,7 +510,7 @@ def _pairs_across(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> Da
     rows = _labelled(lists.select(F.xxhash64("keys").alias("list"), F.explode("keys").alias("key")), labels)
     full = rows.join(classes.select("key", "n", "sketch"), "key").groupBy("list").agg(
         F.collect_list(F.struct("key", "component", "n", "sketch")).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return full.filter("low != high").select("members").mapInArrow(_list_pairs, "a long, b long").distinct()
+    return stage(full.filter("low != high").select("members").mapInArrow(_list_pairs, "a long, b long").distinct(), "list-pairs")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -559,16 +581,35 @@ def link(docs: DataFrame, group: int = GROUP, bucket_signatures: int = BUCKET_SI
 
 
 def _stars(lists: DataFrame, hot: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that join copies at the cost of a row per member: every list around its least key, every hot group, cut by
-    size, around a few members that differ from group to group."""
+    """Pairs that join copies: every list around its least key; every hot group, cut by size, around a few members that
+    differ from group to group, of which a set takes those it meets most often. So the rows grow with the sets, however
+    many hot groups a set is in."""
     sized = members(hot).join(classes.select("key", "n"), "key").select("signature", "key", F.floor(F.ln("n") * SIZES_PER_FACTOR).alias("size"))
     centres = sized.groupBy("signature", "size").agg(
         F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(CENTRES)])).alias("centres"))
-    around = sized.join(centres, ["signature", "size"]).select(F.explode("centres").alias("a"), F.col("key").alias("b"))
+    met = sized.join(centres, ["signature", "size"]).groupBy("key").agg(F.flatten(F.collect_list("centres")).alias("centres"))
+    around = met.mapInArrow(_frequent_centres, "a long, b long")
     pairs = lists.select(F.array_min("keys").alias("a"), F.explode("keys").alias("b")).unionByName(around)
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _frequent_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set the other sets that are centres of most of its groups, `STARS` of them at most."""
+    for batch in _pieces(batches, "centres", PIECE_CENTRES):
+        keys, centre = np.asarray(batch["key"]), np.asarray(batch["centres"].flatten())
+        row = np.repeat(np.arange(len(keys)), np.asarray(batch["centres"].value_lengths()))
+        order = np.lexsort((centre, row))
+        centre, row = centre[order], row[order]
+        at = np.flatnonzero(np.concatenate(([True], (centre[1:] != centre[:-1]) | (row[1:] != row[:-1])))[: len(centre)])
+        times, centre, row = np.diff(np.append(at, len(centre))), centre[at], row[at]
+        other = centre != keys[row]
+        times, centre, row = times[other], centre[other], row[other]
+        order = np.lexsort((mix(centre.view(np.uint64)), -times, row))
+        centre, row = centre[order], row[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < STARS
+        yield pa.RecordBatch.from_arrays([pa.array(centre[first]), pa.array(keys[row[first]])], names=["a", "b"])
+
+
 def _hot_pairs(sets: DataFrame, lists: DataFrame, hot: DataFrame, labels: DataFrame, classes: DataFrame, buckets: int, group: int) -> DataFrame:
     """Candidates between sets that share hot signatures but no component yet."""
     pairs = _pairs_across(lists, labels, classes)
@@ -593,7 +634,7 @@ def _hot_pairs(sets: DataFrame, lists: DataFrame, hot: DataFrame, labels: DataFr
 def _shingle_blobs(buckets: int, group: int):
     """Every shingle of sets at hand as a signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _whole_sets(batches):
             shingles, bounds = _sets(batch)
             yield from blobs(np.repeat(np.asarray(batch["key"]), np.diff(bounds)), shingles, buckets, group)
     return run
@@ -601,7 +642,7 @@ def _shingle_blobs(buckets: int, group: int):
 
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets with more hot or empty segments than their budget."""
-    for batch in batches:
+    for batch in _whole_sets(batches):
         shingles, bounds = _sets(batch)
         lacking = np.zeros(len(batch), dtype=bool)
         for picked, most, own, _, _, _, unfit, _, _ in _second_look(batch, shingles, bounds):
@@ -616,7 +657,7 @@ PART_SCHEMA = "key long, part long, own long, size long, least long, shingles bi
 
 def _hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sets that can link by hot shingles alone (three quarters of them at least): these shingles, and how many others there are."""
-    for batch in batches:
+    for batch in _whole_sets(batches):
         shingles, bounds = _sets(batch)
         n = np.diff(bounds)
         row = np.repeat(np.arange(len(n)), n)
@@ -659,7 +700,7 @@ def part_links(parts: DataFrame) -> DataFrame:
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles by which blocks meet: of each part, the quarter that comes first; linked parts share one of those."""
     for batch in batches:
-        for block, inside in zip(batch["block"].to_pylist(), batch["members"].to_pylist(), strict=True):
+        for block, inside in _one_by_one(batch, "block", "members"):
             first = [np.sort(mix(np.frombuffer(x["shingles"], dtype=np.uint64)))[: x["size"] // 4 + 1] for x in inside]
             shingle = np.unique(np.concatenate(first)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.full(len(shingle), block, dtype=np.int64))], names=["shingle", "block"])
@@ -678,7 +719,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of two blocks: a spanning forest of the links between heads (no part), and each part's partner that leaves most room,
     three times the shingles of its own that a set of the part may have."""
     for batch in batches:
-        for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+        for left, right in _one_by_one(batch, "left", "right"):
             both = [*left, *right] if left != right else left
             side = slice(len(left)), slice(len(both) - len(right), len(both))
             part, head, own, size = (np.array([x[c] for x in both], dtype=np.int64) for c in ("part", "head", "head_own", "size"))

@@ -127,3 +127,29 @@ def test_sets_of_hot_shingles_are_connected_by_few_pairs(spark, monkeypatch):
     assert {(p.a, p.b) for p in pairs} <= {(b, a) for a, b in linked}
     assert named([(p.a, p.b) for p in pairs]) == named(linked)
     assert len(pairs) < 6 * len(sets) and 2 * len(pairs) < len(linked)
+
+
+def test_stars_grow_with_the_sets_and_not_with_their_hot_groups(spark):
+    """Sets in many hot groups make a bounded number of pairs each, and groups of the same members are still joined."""
+    rng = random.Random(11)
+    keys = list(range(200))
+    hot = [(s, rng.sample(keys, 60)) for s in range(80)]
+    classes = spark.createDataFrame([(k, 100) for k in keys], "key long, n long")
+    lists = spark.createDataFrame([([1000, 1001, 1002],)], "keys array<long>")
+    pairs = [(p.a, p.b) for p in jaccard_join._stars(lists, spark.createDataFrame(hot, "signature long, keys array<long>"), classes).collect()]
+    assert {(1000, 1001), (1000, 1002)} <= set(pairs) and all(a < b for a, b in pairs) and len(pairs) == len(set(pairs))
+    assert len(pairs) - 2 <= jaccard_join.STARS * len(keys)
+    together = {frozenset(m) for _, m in hot}
+    assert all(any({a, b} <= m for m in together) for a, b in pairs if a < 1000)
+    assert {k for p in pairs for k in p} >= set(keys)
+
+
+def test_batches_are_worked_on_in_pieces():
+    """All rows come once and in order, and a piece holds about as many shingles as it may."""
+    import pyarrow as pa
+    sizes = [0, 5, 1, 30, 2, 2, 2, 0, 7, 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([b"12345678" * n for n in sizes], pa.binary()), pa.array([list(range(n)) for n in sizes], pa.list_(pa.int64()))],
+                                       names=["key", "shingles", "hot"])
+    for pieces in (list(jaccard_join._pieces([batch, batch], "shingles", 6, 8)), list(jaccard_join._pieces([batch, batch], "hot", 6))):
+        assert [k for x in pieces for k in x["key"].to_pylist()] == 2 * list(range(10))
+        assert all(len(x) == 1 or sum(sizes[k] for k in x["key"].to_pylist()) <= 6 for x in pieces)
