@@ -17,7 +17,7 @@ TRIP_GAP_MINUTES = 15
 VEHICLE_LINE = Timeline(("vehicle_id",), ("seq",))
 STEP_COLUMNS = [
     "lat_prev", "lon_prev", "time_prev", "time_delta_hours", "time_delta_min", "gps_step_raw", "speed_smoothed", "odo_step_km",
-    "starts_trip", "first_ping", "starts_ignition", "to_next_on_sec", "implied_speed_kmh", "invalid_odo_step", "gps_step_km", "odo_gps_ratio"]
+    "starts_trip", "first_ping", "starts_ignition", "ignitions_inside", "to_next_on_sec", "implied_speed_kmh", "invalid_odo_step", "gps_step_km", "odo_gps_ratio"]
 
 CLEAN_COLUMNS = [
     "timestamp_utc", "vehicle_id", "engine_on", "speed_kmh", "speed_smoothed", "odometer_km", "lat", "lon",
@@ -89,6 +89,8 @@ def point_steps(pings: DataFrame, width_seconds: int = BUCKET_SECONDS) -> DataFr
     df = df.withColumns({
         **lag_features(), **ignition_columns(), "speed_smoothed": smoothed_speed(), "odo_step_km": F.col("odometer_km") - F.col("prev.odometer_km"),
         "starts_trip": hybrid_trip_start(), "first_ping": F.col("prev").isNull()}).drop("prev", "next")
+    # the rows lie in pieces here, so the count costs no shuffle of its own
+    df = df.withColumn("ignitions_inside", VEHICLE_LINE.running_inside(F.col("starts_ignition").cast("int")))
     df = df.withColumns({
         "implied_speed_kmh": implied_speed(F.col("gps_step_raw"), F.col("time_delta_hours")),
         "invalid_odo_step": invalid_odometer(F.col("odo_step_km"), F.col("time_delta_hours"))})

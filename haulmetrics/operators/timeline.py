@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from haulmetrics.plans.staging import stage
+
 BUCKET_SECONDS = 6 * 3600
 
 
@@ -52,7 +54,9 @@ class Timeline:
         A struct is NULL only where there is no such row.
         """
         at, piece = self._position(), self._piece
-        ends = [F.max_by(c, at).alias(f"_last_{c}") for c in before] + [F.min_by(c, at).alias(f"_first_{c}") for c in after]
+        # the leading order column is its own position, which spares a sort before the aggregation
+        ends = ([(F.max(c) if c == self.order[0] else F.max_by(c, at)).alias(f"_last_{c}") for c in before]
+                + [(F.min(c) if c == self.order[0] else F.min_by(c, at)).alias(f"_first_{c}") for c in after])
         inside, carried, joined = [], [F.col(c) for c in piece], []
         for name, columns, end, step in (("prev", before, "_last_", F.lag), ("next", after, "_first_", F.lead)):
             if columns:
@@ -64,21 +68,29 @@ class Timeline:
         kept = [c for c in df.columns if c not in ("prev", "next")]
         return df.select(*kept, *inside).join(pieces, piece, "left").select(*kept, *joined)
 
-    def running(self, df: DataFrame, totals: dict[str, Column], per_key: DataFrame | None = None) -> DataFrame:
+    def running_inside(self, total: Column) -> Column:
+        """Running sum (current row included) that starts over in each piece."""
+        return F.sum(total).over(self._inside().rowsBetween(Window.unboundedPreceding, 0))
+
+    def running(self, df: DataFrame, totals: dict[str, Column], per_key: DataFrame | None = None,
+                inside: dict[str, str] | None = None) -> DataFrame:
         """Add running sums (current row included) of integer expressions.
 
         `per_key` is a table with one row per key whose columns come along with the carried
-        totals (see `attach`).
+        totals (see `attach`). `inside` names the columns of a staged `df` that hold `running_inside` of every total
+        already. Then the pieces are written first: with their size known, Spark sends a small table of them to the
+        rows, which need not be shuffled again.
         """
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
-        upto = self._inside().rowsBetween(Window.unboundedPreceding, 0)
         pieces = (df.groupBy(*self._piece).agg(*[F.sum(x).alias(f"_sum_{n}") for n, x in totals.items()])
                   .select(*self._piece, *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals]))
         extra = []
         if per_key is not None:
             extra = [c for c in per_key.columns if c not in self.keys]
             pieces = pieces.join(per_key, list(self.keys), "left")
-        rows = df.select("*", *[F.sum(x).over(upto).alias(f"_in_{n}") for n, x in totals.items()])
+        if inside:
+            pieces = stage(pieces, "pieces")
+        rows = df.select("*", *[(F.col(inside[n]) if inside else self.running_inside(x)).alias(f"_in_{n}") for n, x in totals.items()])
         sums = [(F.col(f"_in_{n}") + F.coalesce(f"_carry_{n}", F.lit(0))).cast("bigint").alias(n) for n in totals]
         return rows.join(pieces, self._piece, "left").select(*[c for c in df.columns if c not in totals], *sums, *extra)
 

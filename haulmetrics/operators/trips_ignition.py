@@ -7,6 +7,7 @@ from haulmetrics.functions.scalars import clip, is_true, ratio, seconds, total
 from haulmetrics.operators.points import STEP_COLUMNS, VEHICLE_LINE, on_vehicle_line
 from haulmetrics.operators.quantiles import HOT_ROWS, as_struct, global_quantiles
 from haulmetrics.operators.timeline import BUCKET_SECONDS, Timeline
+from haulmetrics.plans.staging import stage
 
 GAP_CAP_SECONDS = 300
 IDLE_KMH = 1.0
@@ -49,14 +50,15 @@ def engine_on_rows(steps: DataFrame) -> DataFrame:
     Engine-on pings of a trip are consecutive, so the next ping belongs to the trip exactly if its engine
     is on. `steps` is read several times, a few columns each: pass the staged table.
     """
-    df = steps.drop(*[c for c in STEP_COLUMNS if c not in ("starts_ignition", "to_next_on_sec")])
+    df = steps.drop(*[c for c in STEP_COLUMNS if c not in ("starts_ignition", "ignitions_inside", "to_next_on_sec")])
     started = df.groupBy("vehicle_id").agg(F.count_if("starts_ignition").alias("trips"))
-    df = VEHICLE_LINE.running(df, {"_number": F.col("starts_ignition").cast("int")}, vehicle_offsets(started)).where("engine_on")
+    df = VEHICLE_LINE.running(df, {"_number": F.col("starts_ignition").cast("int")}, vehicle_offsets(started),
+                              {"_number": "ignitions_inside"}).where("engine_on")
     return (df.withColumns({
                 "trip_id": (F.col("offset") + F.col("_number")).cast("bigint"),
                 "delta_t_sec": F.coalesce(clip(F.col("to_next_on_sec"), 0, GAP_CAP_SECONDS), F.lit(0.0)),
                 "is_idle": is_true(F.col("speed_kmh") <= IDLE_KMH), "is_moving": is_true(F.col("speed_kmh") > IDLE_KMH)})
-            .withColumnsRenamed({"ts": "timestamp", "gps_ok": "gps_valid"}).drop("starts_ignition", "to_next_on_sec", "_number", "offset"))
+            .withColumnsRenamed({"ts": "timestamp", "gps_ok": "gps_valid"}).drop("starts_ignition", "ignitions_inside", "to_next_on_sec", "_number", "offset"))
 
 
 def row_output(rows: DataFrame) -> DataFrame:
@@ -108,13 +110,13 @@ def add_efficiencies(trips: DataFrame) -> DataFrame:
 def truck_ages(pings: DataFrame, window_days: int = AGE_WINDOW_DAYS) -> DataFrame:
     """Months in service per vehicle: highest odometer over the monthly distance of its last days.
 
-    First and last readings are taken per vehicle and day, which meets on the map side. Single pings are looked at again
-    only for the one day of each vehicle that the start of its window cuts.
+    First and last readings are taken per vehicle and day, which meets on the map side, and are written to the shared folder,
+    as they are read twice. Single pings are looked at again only for the one day of each vehicle that the start of its window cuts.
     """
     known = F.when(F.col("odometer_km").isNotNull(), F.col("ts"))
     ends = [F.max_by("odometer_km", known).alias("_last"), F.min_by("odometer_km", known).alias("_first")]
     day = F.to_date("ts").alias("day")
-    daily = pings.groupBy("vehicle_id", day).agg(*ends, F.max("ts").alias("_ts"), F.max("odometer_km").alias("_odometer"))
+    daily = stage(pings.groupBy("vehicle_id", day).agg(*ends, F.max("ts").alias("_ts"), F.max("odometer_km").alias("_odometer")), "vehicle-days")
     latest = daily.groupBy("vehicle_id").agg(F.max("_ts").alias("_latest"), F.max("_odometer").alias("_odometer"))
     cuts = latest.select("vehicle_id", (F.col("_latest") - F.expr(f"INTERVAL {window_days} DAYS")).alias("_cut")).withColumn("day", F.to_date("_cut"))
     whole = daily.join(cuts.select("vehicle_id", F.col("day").alias("_day")), "vehicle_id").where(F.col("day") > F.col("_day"))

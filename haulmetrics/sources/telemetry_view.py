@@ -3,12 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulmetrics.operators.timeline import BUCKET_SECONDS, Timeline
+from haulmetrics.plans.staging import stage_dense
 
 EPOCH = 1704067200
 
 
 def all_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a ping; `first_at_second` marks the one kept per vehicle and second."""
+    """Every event as a ping; `first_at_second` marks the one kept per vehicle and second.
+
+    Pings are written to the shared folder once, with what each piece of a vehicle's line adds up to by itself.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -33,7 +37,12 @@ def all_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (F.when(turn == forward, F.col("step_m")).when(turn == back, -F.col("step_m"))
                 .otherwise(F.lit(0)))
 
-    pings = line.running(pings, {"odo": F.col("step_m"), "ym": heading(0, 2), "xm": heading(1, 3)})
+    totals = {"odo": F.col("step_m"), "ym": heading(0, 2), "xm": heading(1, 3)}
+    inside = {n: f"{n}_inside" for n in totals}
+    # written before the totals are carried on, so that events are parsed, shuffled and ordered once for rows and pieces
+    pings = stage_dense(pings.select("*", F.coalesce(gap != 0, F.lit(True)).alias("first_at_second"),
+                                     *[line.running_inside(x).alias(inside[n]) for n, x in totals.items()]).drop("prev"), "every_ping")
+    pings = line.running(pings, totals, inside=inside)
     km = 50000 + F.col("odo") / F.lit(1000.0)
     return pings.select(
         "vehicle_id", "s", F.timestamp_seconds("s").alias("ts"), "event_id", "k", "engine_on", "gps_ok", "speed_kmh",
@@ -42,7 +51,7 @@ def all_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(101.6) + F.col("xm") / F.lit(111195.0)).alias("lon"),
         ((F.col("k") * 37 + F.col("event_id")) % 361).cast("bigint").alias("direction"),
         F.col("k").cast("double").alias("fuel_level"),
-        F.coalesce(gap != 0, F.lit(True)).alias("first_at_second"))
+        "first_at_second")
 
 
 def one_per_second(all_pings: DataFrame) -> DataFrame:

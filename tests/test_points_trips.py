@@ -91,6 +91,16 @@ def test_ignition_ids_run_on_over_vehicles(spark):
                    ("b", 4, 300.0, False), ("b", 4, 300.0, True), ("b", 4, 0.0, True), ("d", 7, 0.0, True)]
 
 
+def test_ignition_ids_do_not_shuffle_the_rows_again(spark, tmp_path):
+    """Counts inside a piece come with the steps; narrow pieces make every carry matter."""
+    rows = [(v, i * 61, i % 5 > 1, 1.0, 1.0) for v in "abc" for i in range(60)]
+    points.point_steps(pings(spark, rows), 300).write.parquet(str(tmp_path / "steps"))
+    got = trips_ignition.engine_on_rows(spark.read.parquet(str(tmp_path / "steps")))
+    # 12 trips of each vehicle, and one number more than that is used by each
+    assert by_second(got, "vehicle_id", "trip_id") == [(v, k * 13 + i // 5 + 1) for k, v in enumerate("abc") for i in range(60) if i % 5 > 1]
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trip_scores(spark):
     rows = [("a", 0, True, 0.0, None), ("a", 300, True, 60.0, 10.0), ("a", 600, True, 60.0, 8.0), ("b", 0, True, 50.0, 5.0)]
     df = pings(spark, rows)

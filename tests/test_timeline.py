@@ -53,3 +53,23 @@ def test_no_window_holds_a_whole_key(rows):
     specs = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "windowspecdefinition(" in line]
     row_level = [s for s in specs if "seq" in s]
     assert row_level and all(s.startswith("key") and "bucket" in s.split("ASC")[0] for s in row_level)
+
+
+def test_running_from_sums_inside_pieces_is_not_shuffled_again(rows, spark, tmp_path):
+    per_key = spark.createDataFrame([("hot", 9), ("a", 8)], "key string, extra int")
+    rows.withColumn("inside", LINE.running_inside(F.col("flag"))).write.parquet(str(tmp_path / "rows"))
+    staged = spark.read.parquet(str(tmp_path / "rows"))
+    got = LINE.running(staged, {"n": F.col("flag")}, per_key, {"n": "inside"}).select("key", "seq", "n", "extra")
+    want = LINE.running(rows, {"n": F.col("flag")}, per_key).select("key", "seq", "n", "extra")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_and_last_of_the_leading_order_column(rows):
+    """Taken by `max` and `min`, not by a position of two columns, which would sort the rows first."""
+    line = Timeline(("key",), ("seq", "flag"))
+    w = Window.partitionBy("key").orderBy("seq", "flag")
+    got = line.neighbours(rows, before=["seq"], after=["seq"])
+    want = rows.select("key", "seq", F.lag("seq").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
+    assert sorted(got.select("key", "seq", F.col("prev.seq").alias("p"), F.col("next.seq").alias("n")).collect(), key=str) == sorted(want.collect(), key=str)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
