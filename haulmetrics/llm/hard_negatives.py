@@ -7,12 +7,14 @@ Candidates are put into blocks by the nearest of a few pivots, anchors into tree
 once; the trees stream past it, tree by tree, in the order in which every anchor's parent stands before it. For the first anchor of a tree
 all scores with the block are taken. For any other one, the score at its parent plus or minus edge length times candidate norm
 bounds the score, and the parent's own interval is widened where it was not scored itself. Only candidates whose interval
-reaches a window (or, for positives, the best lower bounds) are scored. Before that, a pivot and the radius around it rule out
-whole blocks for an anchor by the same inequality; such an anchor is not sent to them.
+reaches a window (or, for positives, the best lower bounds) are scored. Anchors whose edge is too long to rule out much, judged by some
+of the block's rows, are heads like the first one: all scores of a tree's heads are one matrix product. Before that, a pivot and the
+radius around it rule out whole blocks for an anchor by the same inequality; such an anchor is not sent to them.
 
 What is bounded: pivots are drawn on the driver from at most about `PIVOT_ROWS` rows; a block holds about `BLOCK_ROWS` rows and a tree
 `TREE_ROWS` anchors, hot pivots and hot labels being dealt out by hash. All anchors meet all rows that the bounds do not rule
-out, in blocks, so the work of a table without structure is anchors times rows, and the shuffle anchors times blocks.
+out, in blocks, so the work of a table without structure is anchors times rows, and the shuffle anchors times blocks. Neither anchors nor
+what is sent to blocks is ever broadcast: their files say little of their size, since whole numbers pack well.
 """
 
 from collections.abc import Iterator
@@ -30,7 +32,9 @@ POSITIVES, NEGATIVES = 5, 3
 WINDOW = (50, 95)  # per cent of the positive's score
 PIVOT_ROWS, PIVOTS = 4_096, 64
 BLOCK_ROWS, TREE_ROWS = 16_384, 256
-EXACT = 2 ** 52  # up to here sums of products are exact in doubles
+EXACT, SINGLE = 2 ** 52, 2 ** 24  # up to here sums of products are exact in doubles, and in floats
+JUDGES, REACHED = 256, 0.25  # rows of a block that judge an edge; a longer share of them in reach makes a head
+FEW_BLOCKS = 8_192  # names of so many blocks are broadcast
 
 
 class Pivots(NamedTuple):
@@ -52,13 +56,13 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     return rows.select("vec_id", moved.alias("label"), F.transform("x", lambda v: F.floor(v * SCALE).cast("double")).alias("x"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dimensions: int, dtype: type = np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dimensions)
+    return np.asarray(column.flatten(), dtype=dtype).reshape(-1, dimensions)
 
 
 def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products of whole numbers: in doubles if they hold them, else in 64-bit integers."""
+    """Inner products of whole numbers: in the floating type they come in if it holds them, else in 64-bit integers."""
     return np.rint(a @ b).astype(np.int64) if exact else a.astype(np.int64) @ b.astype(np.int64)
 
 
@@ -82,8 +86,17 @@ def spanning_tree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 class Shape(NamedTuple):
     dimensions: int
     exact: bool
+    single: bool
     pivots: Pivots
 
+    @property
+    def element(self) -> str:
+        return "float" if self.single else "double"
+
+    @property
+    def dtype(self) -> type:
+        return np.float32 if self.single else np.float64
+
 
 def fit(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 5, pivots: int = PIVOTS, pivot_rows: int = PIVOT_ROWS) -> Shape | None:
     """Up to `pivots` pivots, one per `block_rows` rows, from about `pivot_rows` rows; the length that most vectors have counts (the longer of two equally common ones)."""
@@ -97,10 +110,7 @@ def fit(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 5, pivots: in
     wanted = int(min(pivots, -(-sizes[0].n // block_rows)))
     found = drawn.orderBy(F.xxhash64(F.lit(seed), "vec_id", "x"), "vec_id").select("x").limit(wanted).collect()
     centres = np.unique(np.array([r.x for r in found] or [[0.0] * sizes[0].d]), axis=0)
-    return Shape(sizes[0].d, sizes[0].longest < EXACT, Pivots(centres))
-
-
-PLACED_SCHEMA = "vec_id long, label long, x array<double>, pivot int, far double, norm double"
+    return Shape(sizes[0].d, sizes[0].longest < EXACT, sizes[0].longest < SINGLE, Pivots(centres))
 
 
 def place(rows: DataFrame, shape: Shape) -> DataFrame:
@@ -111,13 +121,13 @@ def place(rows: DataFrame, shape: Shape) -> DataFrame:
                 batch = whole.slice(first, 4096)
                 x = _matrix(batch["x"], shape.dimensions)
                 pivot = shape.pivots.nearest(x)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot.astype(np.int32)), pa.array(np.sqrt(((x - shape.pivots.rows[pivot]) ** 2).sum(1))),
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["x"].cast(pa.list_(pa.from_numpy_dtype(shape.dtype))), pa.array(pivot.astype(np.int32)), pa.array(np.sqrt(((x - shape.pivots.rows[pivot]) ** 2).sum(1))),
                                                   pa.array(np.sqrt((x ** 2).sum(1)))], names=["vec_id", "label", "x", "pivot", "far", "norm"])
     usual = rows.filter(F.size("x") == shape.dimensions)
     facts = usual.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).first()
     if facts.ids < facts.n:
         usual = usual.dropDuplicates(["vec_id", "label", "x"])
-    return stage(usual.mapInArrow(run, PLACED_SCHEMA), "placed-vectors")
+    return stage(usual.mapInArrow(run, f"vec_id long, label long, x array<{shape.element}>, pivot int, far double, norm double"), "placed-vectors")
 
 
 def trees(placed: DataFrame, is_anchor: str, shape: Shape, tree_rows: int) -> DataFrame:
@@ -131,16 +141,24 @@ def trees(placed: DataFrame, is_anchor: str, shape: Shape, tree_rows: int) -> Da
     sizes = anchors.groupBy("pivot").agg(F.ceil(F.count("*") / tree_rows).alias("parts"))  # at most one row per pivot
     dealt = anchors.join(F.broadcast(sizes), "pivot").withColumn("tree", F.xxhash64("pivot", F.pmod(F.xxhash64("vec_id", "x"), F.col("parts"))))
     built = dealt.select("vec_id", "label", "x", "norm", "tree").groupBy("tree").applyInArrow(
-        run, "vec_id long, label long, x array<double>, norm double, tree long, nth long, parent long, edge double")
+        run, f"vec_id long, label long, x array<{shape.element}>, norm double, tree long, nth long, parent long, edge double")
     return stage(built, "anchor-trees")
 
 
-def blocks(placed: DataFrame, by_label: bool, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates with their block, and a row per block: its label (positives only) and pivot."""
+def blocks(placed: DataFrame, by_label: bool, block_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Candidates with their block, a row per block with its label (positives only) and pivot, and whether these rows are few."""
     keys = ["label", "pivot"] if by_label else ["pivot"]
     sizes = placed.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    dealt = placed.join(sizes, keys).withColumn("block", F.xxhash64(*keys, F.pmod(F.xxhash64(F.lit("block"), "vec_id", "x"), F.col("parts"))))
-    return dealt.select("block", "vec_id", "label", "x", "norm"), dealt.select("block", *keys).distinct()
+    names = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64(*keys, "part").alias("block"), *keys)
+    few = names.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS
+    dealt = placed.join(F.broadcast(sizes) if few else sizes.hint("merge"), keys).withColumn(
+        "block", F.xxhash64(*keys, F.pmod(F.xxhash64(F.lit("block"), "vec_id", "x"), F.col("parts"))))
+    return dealt.select("block", "vec_id", "label", "x", "norm"), names, few
+
+
+def send(anchors: DataFrame, names: DataFrame, few: bool, key: str) -> DataFrame:
+    """A row per anchor and block of its key. Anchors stay where they are or are shuffled."""
+    return anchors.join(F.broadcast(names) if few else names.hint("merge"), key)
 
 
 class Block(NamedTuple):
@@ -160,6 +178,11 @@ class Tree:
         self.high: dict[int, np.ndarray] = {}
         self.vectors: dict[int, np.ndarray] = {}
 
+    def head(self, nth: int, vector: np.ndarray, scores: np.ndarray) -> None:
+        """An anchor whose scores with the whole block are known."""
+        self.low[nth] = self.high[nth] = scores
+        self.vectors[nth] = vector
+
     def visit(self, nth: int, parent: int, vector: np.ndarray, edge: float, able) -> tuple[np.ndarray, np.ndarray]:
         """Candidates that `able(low, high)` does not rule out, and their scores. The parent stands before its children;
         one that was not sent here is replaced by the last anchor seen, at their distance."""
@@ -204,56 +227,139 @@ STREAM_COLUMNS = ["block", "is_anchor", "tree", "nth", "parent", "edge", "vec_id
 FOUND_SCHEMA = "anchor_id long, anchor_label long, positive_id long, positive_score long, vec_id long, score long"
 
 
+class Asked(NamedTuple):
+    """An anchor, and the windows that it asks for (negatives only): positive, its score, least and most score of the window."""
+
+    id: int
+    label: int
+    windows: list[tuple[int, int, int, int]]
+
+
+def windows_of(scores: list[dict] | None, window: tuple[int, int]) -> list[tuple[int, int, int, int]]:
+    """Least per cent rounded up, most per cent rounded down; empty windows are left out."""
+    all_of_them = [(p["vec_id"], p["score"], -(-window[0] * p["score"] // 100), window[1] * p["score"] // 100) for p in scores or []]
+    return [w for w in all_of_them if w[2] <= w[3]]
+
+
+def heads(block: Block, vectors: np.ndarray, parent: np.ndarray, edge: np.ndarray, asked: list[Asked], shape: Shape, by_label: bool) -> np.ndarray:
+    """Whether an anchor's edge is too long to rule out much of the block. Some of its rows judge, so this decides on time alone."""
+    some = slice(None, None, -(-len(block.ids) // JUDGES))
+    at = products(vectors, block.x[some].T, shape.exact)[parent]
+    slack = edge[:, None] * block.norms[some]
+    if by_label:
+        reached = at + slack >= (at - slack).max(axis=1, keepdims=True)
+    else:
+        least = np.array([min((w[2] for w in a.windows), default=0) for a in asked], dtype=np.float64)
+        most = np.array([max((w[3] for w in a.windows), default=0) for a in asked], dtype=np.float64)
+        reached = (at + slack >= least[:, None]) & (at - slack <= most[:, None])
+    far = reached.mean(axis=1) > REACHED
+    far[0] = True
+    return far
+
+
+def _chains(nth: np.ndarray, parent: np.ndarray, edge: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the parents among these anchors of a tree, and edges; a parent that is not among them is replaced by the anchor before, at their distance."""
+    place = np.minimum(np.searchsorted(nth, parent), len(nth) - 1)
+    there = (nth[place] == parent) & (place < np.arange(len(nth)))
+    before = np.maximum(np.arange(len(nth)) - 1, 0)
+    distance = np.sqrt(((vectors - vectors[before]).astype(np.float64) ** 2).sum(1))
+    return np.where(there, place, before), np.where(there, edge, distance)
+
+
 def _stream(shape: Shape, positives: int, negatives: int, window: tuple[int, int], by_label: bool):
     """Rows come block by block, candidates first, then anchors tree by tree in order."""
-    def positives_of(tree: Tree, row: dict, block: Block) -> Iterator[tuple]:
-        other = (block.ids != row["vec_id"]) & (block.labels == row["label"])
+    def positives_of(asked: Asked, block: Block, picked: np.ndarray | None, scores: np.ndarray) -> Iterator[tuple]:
+        ids = block.ids if picked is None else block.ids[picked]
+        if picked is None:
+            other = np.flatnonzero((ids != asked.id) & (block.labels == asked.label))
+            if len(other) < len(ids):
+                ids, scores = ids[other], scores[other]
+        best = best_of(scores, ids, positives)
+        for vec_id, score in zip(ids[best].tolist(), scores[best].tolist(), strict=True):
+            yield asked.id, asked.label, None, None, vec_id, int(score)
+
+    def near_best(asked: Asked, block: Block):
+        other = (block.ids != asked.id) & (block.labels == asked.label)
 
         def able(low: np.ndarray, high: np.ndarray) -> np.ndarray:
             # nothing whose upper bound is under the best lower bounds can be among the first
             if not block.distinct or other.sum() <= positives:
                 return other
             return other & (high >= np.partition(low[other], -positives)[-positives])
-        picked, scores = tree.visit(row["nth"], row["parent"], np.array(row["x"]), row["edge"], able)
-        for k in best_of(scores, block.ids[picked], positives).tolist():
-            yield row["vec_id"], row["label"], None, None, int(block.ids[picked[k]]), int(scores[k])
-
-    def negatives_of(tree: Tree, row: dict, block: Block) -> Iterator[tuple]:
-        other = (block.ids != row["vec_id"]) & (block.labels != row["label"])
-        # whole scores of the window: least per cent rounded up, most per cent rounded down
-        asked = [(p["vec_id"], p["score"], -(-window[0] * p["score"] // 100), window[1] * p["score"] // 100) for p in row["scores"]]
+        return able
+
+    def negatives_of(asked: Asked, block: Block, picked: np.ndarray | None, scores: np.ndarray) -> Iterator[tuple]:
+        if not asked.windows:
+            return
+        if picked is None:
+            picked = np.flatnonzero(scores >= min(w[2] for w in asked.windows))
+            picked = picked[(block.ids[picked] != asked.id) & (block.labels[picked] != asked.label)]
+            scores = scores[picked]
+        ids = block.ids[picked]
+        below = np.flatnonzero(scores <= min(w[3] for w in asked.windows))
+        if len(below) > 64 * negatives:
+            # the first of every window are among these or higher ones, whichever window starts above them
+            under = scores[below]
+            least = np.partition(under, len(under) - 8 * negatives)[len(under) - 8 * negatives]
+            if len(np.unique(ids[below[under >= least]])) >= negatives:
+                kept = np.flatnonzero(scores >= least)
+                ids, scores = ids[kept], scores[kept]
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        for positive, score, least, most in asked.windows:
+            first, end = np.searchsorted(-scores, (-most, -least + 1))
+            inside = slice(first, min(end, first + negatives)) if block.distinct else first + best_of_all(scores[first:end], ids[first:end], negatives)
+            for vec_id, found in zip(ids[inside].tolist(), scores[inside].tolist(), strict=True):
+                yield asked.id, asked.label, positive, score, vec_id, int(found)
+
+    def in_window(asked: Asked, block: Block):
+        other = (block.ids != asked.id) & (block.labels != asked.label)
 
         def reached(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            return other & np.logical_or.reduce([(high >= least) & (low <= most) for _, _, least, most in asked])
-        picked, scores = tree.visit(row["nth"], row["parent"], np.array(row["x"]), row["edge"], reached)
-        for positive, score, least, most in asked:
-            inside = np.flatnonzero((scores >= least) & (scores <= most))
-            for k in inside[best_of(scores[inside], block.ids[picked[inside]], negatives)].tolist():
-                yield row["vec_id"], row["label"], positive, score, int(block.ids[picked[k]]), int(scores[k])
-
-    found = positives_of if by_label else negatives_of
+            return other & np.logical_or.reduce([(high >= least) & (low <= most) for _, _, least, most in asked.windows] or [np.zeros(len(low), dtype=bool)])
+        return reached
+
+    found, able = (positives_of, near_best) if by_label else (negatives_of, in_window)
+
+    def meet(block: Block, part: pa.RecordBatch) -> Iterator[tuple]:
+        """Anchors of one tree, in order, with the block."""
+        nth, vectors = np.asarray(part["nth"]), _matrix(part["x"], shape.dimensions, shape.dtype)
+        ids, labels = part["vec_id"].to_pylist(), part["label"].to_pylist()
+        asked = [Asked(i, label, windows_of(s, window)) for i, label, s in zip(ids, labels, part["scores"].to_pylist(), strict=True)]
+        parent, edge = _chains(nth, np.asarray(part["parent"]), np.asarray(part["edge"]), vectors)
+        far = heads(block, vectors, parent, edge, asked, shape, by_label)
+        rows = np.flatnonzero(far)
+        whole = dict(zip(rows.tolist(), vectors[rows] @ block.x.T if shape.exact else products(vectors[rows], block.x.T, False), strict=True))
+        above = set(parent[~far].tolist())
+        tree = Tree(block, shape.exact)
+        for k, one in enumerate(asked):
+            if k in whole:
+                if k in above:
+                    tree.head(k, vectors[k], whole[k])
+                yield from found(one, block, None, whole[k])
+            else:
+                yield from found(one, block, *tree.visit(k, int(parent[k]), vectors[k], float(edge[k]), able(one, block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, parts, block, tree_id, tree = None, [], None, None, None
+        name, parts, block = None, [], None
         for batch in batches:
-            out: list[tuple] = []
-            names, anchor = np.asarray(batch["block"]), np.asarray(batch["is_anchor"])
-            edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (anchor[1:] != anchor[:-1]))[: len(batch)]).tolist()
+            names, anchor, trees = np.asarray(batch["block"]), np.asarray(batch["is_anchor"]), np.asarray(batch["tree"].fill_null(0))
+            changes = (names[1:] != names[:-1]) | (anchor[1:] != anchor[:-1]) | (trees[1:] != trees[:-1])
+            edges = np.flatnonzero(np.append(True, changes)[: len(batch)]).tolist()
             for first, end in zip(edges, [*edges[1:], len(batch)], strict=True):
                 part = batch.slice(first, end - first)
                 if names[first] != name:
-                    name, parts, block, tree_id = names[first], [], None, None
+                    name, parts, block = names[first], [], None
                 if not anchor[first]:
-                    parts.append((np.asarray(part["vec_id"]), np.asarray(part["label"]), _matrix(part["x"], shape.dimensions), np.asarray(part["norm"])))
+                    parts.append((np.asarray(part["vec_id"]), np.asarray(part["label"]), _matrix(part["x"], shape.dimensions, shape.dtype), np.asarray(part["norm"])))
+                    continue
+                if not parts:  # the hash left this part of its pivot without rows
                     continue
                 if block is None:
                     ids, labels, x, norms = (np.concatenate(c) for c in zip(*parts, strict=True))
                     block = Block(ids, labels, x, norms, len(np.unique(ids)) == len(ids))
-                for row in part.to_pylist():
-                    if row["tree"] != tree_id:
-                        tree_id, tree = row["tree"], Tree(block, shape.exact)
-                    out += found(tree, row, block)
-            yield _found_batch(out)
+                for k in range(0, len(part), TREE_ROWS):
+                    yield _found_batch(list(meet(block, part.slice(k, TREE_ROWS))))
     return run
 
 
@@ -275,7 +381,7 @@ def _probes(wanted: DataFrame, shape: Shape, radius: np.ndarray, window: tuple[i
                 slack = np.asarray(batch["norm"])[:, None] * radius * (1 + 1e-9) + 1e-3
                 row, pivot = np.nonzero((at + slack >= least[:, None]) & (at - slack <= most[:, None]) & (radius >= 0))
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(pivot.astype(np.int32))], names=[*whole.schema.names, "pivot"])
-    schema = "vec_id long, label long, x array<double>, norm double, tree long, nth long, parent long, edge double, scores array<struct<vec_id:long,score:long>>"
+    schema = f"vec_id long, label long, x array<{shape.element}>, norm double, tree long, nth long, parent long, edge double, scores array<struct<vec_id:long,score:long>>"
     return wanted.select("vec_id", "label", "x", "norm", "tree", "nth", "parent", "edge", "scores").mapInArrow(run, f"{schema}, pivot int")
 
 
@@ -314,18 +420,18 @@ def mine(vectors: DataFrame, is_anchor: str = "vec_id % 50 = 0", positives: int
     placed = place(rows, shape)
     anchors = trees(placed, is_anchor, shape, tree_rows)
 
-    candidates, names = blocks(placed, True, block_rows)
-    asked = anchors.join(names.select("block", "label"), "label").withColumn("scores", F.lit(None).cast("array<struct<vec_id:long,score:long>>"))
+    candidates, names, few = blocks(placed, True, block_rows)
+    asked = send(anchors, names.select("block", "label"), few, "label").withColumn("scores", F.lit(None).cast("array<struct<vec_id:long,score:long>>"))
     near = _meet(candidates, asked).mapInArrow(_stream(shape, positives, negatives, window, True), FOUND_SCHEMA)
     best = stage(_first(near, ["anchor_id", "anchor_label"], positives), "positives")
 
     scores = best.groupBy("anchor_id", "anchor_label").agg(F.collect_list(F.struct("vec_id", "score")).alias("scores"))  # at most `positives` each
-    wanted = anchors.join(scores, (F.col("vec_id") == F.col("anchor_id")) & (F.col("label") == F.col("anchor_label")))
+    wanted = anchors.join(scores.hint("merge"), (F.col("vec_id") == F.col("anchor_id")) & (F.col("label") == F.col("anchor_label")))
     radius = np.full(len(shape.pivots.rows), -1.0)
     for r in placed.groupBy("pivot").agg(F.max("far").alias("radius")).collect():  # at most one row per pivot
         radius[r.pivot] = r.radius
-    candidates, names = blocks(placed, False, block_rows)
-    asked = _probes(wanted, shape, radius, window).join(names, "pivot")
+    candidates, names, few = blocks(placed, False, block_rows)
+    asked = send(_probes(wanted, shape, radius, window), names, few, "pivot")
     near = _meet(candidates, asked).mapInArrow(_stream(shape, positives, negatives, window, False), FOUND_SCHEMA)
     first = _first(near, ["anchor_id", "anchor_label", "positive_id", "positive_score"], negatives)
     return first.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -97,6 +97,34 @@ def test_integers_beyond_doubles(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def broadcast_types(plan, inside=False):
+    """Types of the columns that broadcasts of a physical plan hold."""
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    inside = inside or plan.nodeName().startswith("BroadcastExchange")
+    found = [plan.output().apply(k).dataType().simpleString() for k in range(plan.output().size())] if inside else []
+    return found + [t for k in range(plan.children().size()) for t in broadcast_types(plan.children().apply(k), inside)]
+
+
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    """Files of anchors are small beside their rows, and the rows sent to blocks are many times the anchors."""
+    frames, write = [], hard_negatives.stage
+    monkeypatch.setattr(hard_negatives, "stage", lambda df, name: (frames.append(df), write(df, name))[1])
+    rows = clustered(3000, 0.3)
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = hard_negatives.mine(table, "vec_id % 2 = 0", block_rows=300, tree_rows=50)
+    types = [broadcast_types(df._jdf.queryExecution().executedPlan()) for df in [*frames, got]]
+    assert any(types) and not any("array" in t for some in types for t in some)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, lambda i: i % 2 == 0)
+
+
+def test_empty_parts_of_pivots_and_long_sums(spark):
+    """A pivot's parts are dealt by hash, and some get no row; scores above 2^24 are not exact in floats."""
+    rows = clustered(300, 0.3)
+    assert result(spark, rows, block_rows=1, tree_rows=4) == brute(rows)
+    long = [(i, label, [40.0 * v for v in vector]) for i, label, vector in rows]
+    assert max(max(abs(s) for s in r[4:]) for r in brute(long)) > 2 ** 24 and result(spark, long, block_rows=100) == brute(long)
+
+
 def test_query_equals_brute_force(spark):
     table = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     rows = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
