@@ -34,6 +34,7 @@ PIVOT_ROWS, PIVOTS = 4_096, 64
 BLOCK_ROWS, TREE_ROWS = 16_384, 256
 EXACT, SINGLE = 2 ** 52, 2 ** 24  # up to here sums of products are exact in doubles, and in floats
 JUDGES, REACHED = 256, 0.25  # rows of a block that judge an edge; a longer share of them in reach makes a head
+FOUND_ROWS = 8_192  # of results, before they are sent on
 FEW_BLOCKS = 8_192  # names of so many blocks are broadcast
 
 
@@ -217,6 +218,14 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return best_of_all(scores, ids, k)
 
 
+def best_distinct(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The same where no id stands twice."""
+    if len(scores) <= 8 * k:
+        return np.lexsort((ids, -scores))[:k]
+    some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+
+
 def best_of_all(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     order = np.lexsort((ids, -scores))
     _, first = np.unique(ids[order], return_index=True)
@@ -241,6 +250,11 @@ def windows_of(scores: list[dict] | None, window: tuple[int, int]) -> list[tuple
     return [w for w in all_of_them if w[2] <= w[3]]
 
 
+def _hull(asked: Asked) -> tuple[int, int]:
+    """Least and most score of all windows, which overlap; without a window nothing is in it."""
+    return min((w[2] for w in asked.windows), default=1), max((w[3] for w in asked.windows), default=0)
+
+
 def heads(block: Block, vectors: np.ndarray, parent: np.ndarray, edge: np.ndarray, asked: list[Asked], shape: Shape, by_label: bool) -> np.ndarray:
     """Whether an anchor's edge is too long to rule out much of the block. Some of its rows judge, so this decides on time alone."""
     some = slice(None, None, -(-len(block.ids) // JUDGES))
@@ -249,9 +263,8 @@ def heads(block: Block, vectors: np.ndarray, parent: np.ndarray, edge: np.ndarra
     if by_label:
         reached = at + slack >= (at - slack).max(axis=1, keepdims=True)
     else:
-        least = np.array([min((w[2] for w in a.windows), default=0) for a in asked], dtype=np.float64)
-        most = np.array([max((w[3] for w in a.windows), default=0) for a in asked], dtype=np.float64)
-        reached = (at + slack >= least[:, None]) & (at - slack <= most[:, None])
+        hulls = np.array([_hull(a) for a in asked], dtype=np.float64)
+        reached = (at + slack >= hulls[:, :1]) & (at - slack <= hulls[:, 1:])
     far = reached.mean(axis=1) > REACHED
     far[0] = True
     return far
@@ -274,7 +287,7 @@ def _stream(shape: Shape, positives: int, negatives: int, window: tuple[int, int
             other = np.flatnonzero((ids != asked.id) & (block.labels == asked.label))
             if len(other) < len(ids):
                 ids, scores = ids[other], scores[other]
-        best = best_of(scores, ids, positives)
+        best = (best_distinct if block.distinct else best_of)(scores, ids, positives)
         for vec_id, score in zip(ids[best].tolist(), scores[best].tolist(), strict=True):
             yield asked.id, asked.label, None, None, vec_id, int(score)
 
@@ -315,8 +328,10 @@ def _stream(shape: Shape, positives: int, negatives: int, window: tuple[int, int
     def in_window(asked: Asked, block: Block):
         other = (block.ids != asked.id) & (block.labels != asked.label)
 
+        least, most = _hull(asked)
+
         def reached(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            return other & np.logical_or.reduce([(high >= least) & (low <= most) for _, _, least, most in asked.windows] or [np.zeros(len(low), dtype=bool)])
+            return other & (high >= least) & (low <= most)
         return reached
 
     found, able = (positives_of, near_best) if by_label else (negatives_of, in_window)
@@ -341,7 +356,7 @@ def _stream(shape: Shape, positives: int, negatives: int, window: tuple[int, int
                 yield from found(one, block, *tree.visit(k, int(parent[k]), vectors[k], float(edge[k]), able(one, block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, parts, block = None, [], None
+        name, parts, block, out = None, [], None, []
         for batch in batches:
             names, anchor, trees = np.asarray(batch["block"]), np.asarray(batch["is_anchor"]), np.asarray(batch["tree"].fill_null(0))
             changes = (names[1:] != names[:-1]) | (anchor[1:] != anchor[:-1]) | (trees[1:] != trees[:-1])
@@ -359,7 +374,11 @@ def _stream(shape: Shape, positives: int, negatives: int, window: tuple[int, int
                     ids, labels, x, norms = (np.concatenate(c) for c in zip(*parts, strict=True))
                     block = Block(ids, labels, x, norms, len(np.unique(ids)) == len(ids))
                 for k in range(0, len(part), TREE_ROWS):
-                    yield _found_batch(list(meet(block, part.slice(k, TREE_ROWS))))
+                    out += meet(block, part.slice(k, TREE_ROWS))
+                    if len(out) >= FOUND_ROWS:
+                        yield _found_batch(out)
+                        out = []
+        yield _found_batch(out)
     return run
 
 
@@ -412,7 +431,7 @@ def mine(vectors: DataFrame, is_anchor: str = "vec_id % 50 = 0", positives: int
     score counting. Vectors whose length is not the usual one take no part. Without usable rows, or without a
     positive or a negative, there is no row.
     """
-    rows = usable(vectors, key, vector, label)
+    rows = stage(usable(vectors, key, vector, label), "usable-vectors")  # read several times
     empty = rows.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     shape = fit(rows, block_rows)
     if shape is None:
