@@ -92,7 +92,8 @@ class Shape(NamedTuple):
 
     @property
     def element(self) -> str:
-        return "float" if self.single else "double"
+        """What components are kept as; where floats hold the sums, no component is above 2^12."""
+        return "short" if self.single else "double"
 
     @property
     def dtype(self) -> type:
@@ -122,7 +123,7 @@ def place(rows: DataFrame, shape: Shape) -> DataFrame:
                 batch = whole.slice(first, 4096)
                 x = _matrix(batch["x"], shape.dimensions)
                 pivot = shape.pivots.nearest(x)
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["x"].cast(pa.list_(pa.from_numpy_dtype(shape.dtype))), pa.array(pivot.astype(np.int32)), pa.array(np.sqrt(((x - shape.pivots.rows[pivot]) ** 2).sum(1))),
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["x"].cast(pa.list_(pa.int16() if shape.single else pa.float64())), pa.array(pivot.astype(np.int32)), pa.array(np.sqrt(((x - shape.pivots.rows[pivot]) ** 2).sum(1))),
                                                   pa.array(np.sqrt((x ** 2).sum(1)))], names=["vec_id", "label", "x", "pivot", "far", "norm"])
     usual = rows.filter(F.size("x") == shape.dimensions)
     facts = usual.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).first()
